@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import exact, lines, mixing, packing, quality, repeats, sharding, simhash, token_files
+
+
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +24,113 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.doubling_levels(_documents(spark, sf_dir), length=13)
     return found.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_substring_dedup)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), vocabulary(), size=2048, end_id=1)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.quality(_documents(spark, sf_dir), labels)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "stratum")
+
+
+#: Shards of the sharding query.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir).select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(_documents(spark, sf_dir), vocabulary(), end_id=0))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir), shingle=3, distance=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_documents(spark, sf_dir), min_sites=5)
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup, op2_exact_dedup, op3_substring_dedup, op4_packing, op5_quality_rules,
+        op6_sharding, op7_token_files, op8_simhash_near_dedup, op9_mixing, op10_line_dedup,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": """
+        WITH t AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+            FROM documents)
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+        FROM t WINDOW g AS (PARTITION BY norm)""",
+    "op6_sharding": f"""
+        WITH t AS (SELECT {sharding.lookup_table(SHARDS)} AS slots),
+        d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
+        SELECT doc_id, slot, slots[slot + 1]::INTEGER AS shard FROM d, t""",
+    "op9_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce('s' || source, 'n') AS site,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+            FROM documents),
+        s AS (
+            SELECT site, source, count(*) AS docs, sum(size)::BIGINT AS source_size,
+                   [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight
+            FROM d GROUP BY site, source),
+        r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM s),
+        l AS (
+            SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+                       - coalesce(sum(cap) OVER (ORDER BY ratio, site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(weight) OVER (ORDER BY ratio, site ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM r),
+        m AS (SELECT arg_min(level, (ratio, site)) FILTER (level <= ratio) AS level FROM l),
+        t AS (
+            SELECT l.site, l.source_size, ceil(l.docs / 20000)::BIGINT AS blocks,
+                   least(l.cap, coalesce(m.level * l.weight, l.cap)) AS target
+            FROM l, m),
+        c AS (
+            SELECT d.*, t.source_size, t.target, length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)::INTEGER) & 3) AS class,
+                   (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT // 64) % t.blocks AS salt,
+                   ('0x' || substr(md5('mix' || d.site), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+            FROM d JOIN t USING (site)),
+        k AS (
+            SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
+                   row_number() OVER (PARTITION BY site ORDER BY class DESC, salt, size DESC, doc_id) AS rank
+            FROM c)
+        SELECT doc_id, size, source_size, target,
+               least(floor(e * rank + u) - floor(e * (rank - 1) + u), 2)::BIGINT * size AS taken
+        FROM k""",
+    "op10_line_dedup": r"""
+        WITH p AS (
+            SELECT doc_id, coalesce('s' || source, 'n') AS site, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents),
+        q AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS core FROM p),
+        b AS (SELECT core, min(doc_id) AS first_doc FROM q WHERE core <> '' GROUP BY core HAVING count(DISTINCT site) >= 5),
+        r AS (SELECT q.*, b.core IS NOT NULL AND (q.doc_id <> b.first_doc) AS gone FROM q LEFT JOIN b ON q.core = b.core)
+        SELECT d.doc_id, coalesce(count(r.pos) FILTER (r.core <> ''), 0)::BIGINT AS n_lines,
+               coalesce(count(*) FILTER (r.gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (NOT r.gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id""",
+}
