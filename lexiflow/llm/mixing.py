@@ -71,3 +71,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     copies = F.least(upto - F.floor(expects * (F.col("ahead") + F.col("rank") - 1) + start), F.lit(most).cast("long"))
     return ranked.withColumn("copies", copies).select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
+
+
+def emit(docs: DataFrame, **more) -> DataFrame:
+    """docs with each row as often as mix() takes it; equal rows of one doc_id are emitted together."""
+    table = docs.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"])
+    taken = mix(docs, **more).groupBy(F.col("doc_id").alias("_doc"), "row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    met = table.join(taken, table.doc_id.cast("long").eqNullSafe(taken._doc) & (table["_key"] == taken.row_key))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -86,10 +86,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in found)], names=names)
 
 
-def counts(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """COUNTS of every row of docs, and base_failed.  Null text: no words."""
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
-    return table.mapInArrow(_count, COUNTS).withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
+def counts(docs: DataFrame, stratum: str = "lang", rows: bool = False) -> DataFrame:
+    """COUNTS of every row of docs, and base_failed; with the whole row too if asked.  Null text: no words."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text")]
+    if rows:
+        found = docs.select(*columns, F.struct(*map(F.col, docs.columns)).alias("row")).mapInArrow(_count_rows, f"row {docs.schema.simpleString()}, {COUNTS}")
+    else:
+        found = docs.select(*columns).mapInArrow(_count, COUNTS)
+    return found.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _count, after the row itself (column 3)."""
+    for batch in batches:
+        at = 0
+        for found in _count([batch]):
+            yield pa.record_batch([batch.column(3).slice(at, found.num_rows), *found.columns], names=["row", *found.schema.names])
+            at += found.num_rows
 
 
 def binomial_tail(k: int, n: int, rate: float) -> float:
@@ -155,3 +168,10 @@ def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.01, delta: floa
     shared_dir(docs.sparkSession)
     counted = counts(docs, stratum).checkpoint()
     return counted.withColumn("kept", ~F.col("base_failed") & verdict(fit(counted, labels, limit, delta)))
+
+
+def keep(docs: DataFrame, labels: DataFrame, limit: float = 0.01, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
+    """The rows of docs that quality() keeps, whole; texts aren't shuffled but counted twice."""
+    shared_dir(docs.sparkSession)
+    cutoffs = fit(counts(docs, stratum), labels, limit, delta)
+    return counts(docs, stratum, rows=True).where(~F.col("base_failed") & verdict(cutoffs)).select("row.*")
