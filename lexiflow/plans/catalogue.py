@@ -1,4 +1,575 @@
 """Queries of the library by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numerics
+from ..functions import text as T
+from ..functions.ids import ordered_digest, stable_id
+from ..functions.typography import typography
+from ..operators import alignment, knowledge, render, review, rules, selection, sequences
+from ..sources import html
+from ..streaming import logs
+from . import domain
+from .domain import table, with_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- revisions and coverage --------------------------------------------------------------
+CURRENT = with_tables("log", "active", body="SELECT segment_id, id, adapter, revision FROM active")
+
+
+@query(CURRENT)
+def current_revision(spark, d):
+    return sequences.current_translations(domain.translation_log(spark, d)).select("segment_id", "id", "adapter", "revision")
+
+
+@query(with_tables("log", "active", body="SELECT segment_id, id, adapter FROM active"))
+def streaming_current_revision(spark, d):
+    return logs.current_by_stream(spark, d)
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey AS owner, l_linenumber AS revision, count(*) AS copies FROM lineitem GROUP BY ALL)
+    SELECT r.owner, sum(r.copies)::BIGINT AS records, sum(r.copies - 1)::BIGINT AS repeated,
+           count(*) FILTER (r.revision > 1 AND p.revision IS NULL) AS without_parent
+    FROM r LEFT JOIN r p ON p.owner = r.owner AND p.revision = r.revision - 1 GROUP BY r.owner""")
+def revision_integrity_violations(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("revision")).agg(F.count("*").alias("copies"))
+    # distinct revisions in order: a gap shows between neighbours, without a self join
+    before = F.lag("revision").over(Window.partitionBy("owner").orderBy("revision"))
+    rows = rows.withColumn("gap", (F.col("revision") > 1) & (before.isNull() | (before != F.col("revision") - 1)))
+    return rows.groupBy("owner").agg(F.sum("copies").alias("records"), F.sum(F.col("copies") - 1).alias("repeated"), F.count_if("gap").alias("without_parent"))
+
+
+@query(with_tables("log", "active", body="""
+    SELECT 'issue_' || substr(sha256('missing_translation' || chr(31) || c_custkey || chr(31) || 'Segment has no completed translation'), 1, 16) AS id,
+           'missing_translation' AS kind, 'Segment has no completed translation' AS message, c_custkey AS segment_id, 'error' AS severity, 'open' AS status
+    FROM customer WHERE c_custkey NOT IN (SELECT segment_id FROM active)"""))
+def missing_translation(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("segment_id"))
+    return rules.missing_translation(asked, sequences.current_translations(domain.translation_log(spark, d)))
+
+
+@query(with_tables("log", "active", body="SELECT segment_id, id FROM active WHERE segment_id NOT IN (SELECT s_suppkey FROM supplier)"))
+def orphan_translation(spark, d):
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("segment_id"))
+    active = sequences.current_translations(domain.translation_log(spark, d))
+    return active.join(known, "segment_id", "left_anti").select("segment_id", "id")
+
+
+@query("""
+    SELECT source, count(*) AS required, count(l.doc_id) AS reviewed, round(count(l.doc_id) / count(*), 6) AS coverage
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source""")
+def review_coverage_by_source(spark, d):
+    reviewed = table(spark, d, "labels").select("doc_id").distinct().withColumn("seen", F.lit(1))
+    met = table(spark, d, "documents").select("doc_id", "source").join(reviewed, "doc_id", "left")
+    return met.groupBy("source").agg(F.count("*").alias("required"), F.count("seen").alias("reviewed"), F.round(F.count("seen") / F.count("*"), 6).alias("coverage"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unreviewed_records(spark, d):
+    seen = table(spark, d, "labels").select(F.col("doc_id").alias("input_translation_id"), F.col("doc_id").alias("output_translation_id"))
+    return table(spark, d, "documents").select("doc_id").join(review.reviewed_ids(seen).withColumnRenamed("record_id", "doc_id"), "doc_id", "left_anti")
+
+
+# -- segments, units, context --------------------------------------------------------------
+@query(with_tables("lines", "segments", body="SELECT section_id, document, pos, text, ordinal, in_section FROM segments"))
+def segment_lines(spark, d):
+    return domain.segments(spark, d).select("section_id", "document", F.col("pos").cast("long").alias("pos"), "text", "ordinal", F.col("in_section").cast("long").alias("in_section"))
+
+
+@query(with_tables("lines", "segments", body="SELECT section_id, in_section, segment_id FROM segments"))
+def stable_segment_ids(spark, d):
+    return domain.segments(spark, d).select("section_id", F.col("in_section").cast("long").alias("in_section"), "segment_id")
+
+
+@query(with_tables("lines", "segments", "units", body="SELECT section_id, unit_no, unit_id, array_to_string(segment_ids, ' ') AS segment_ids FROM units"))
+def translation_units(spark, d):
+    return domain.units(spark, d).select("section_id", "unit_no", "unit_id", F.array_join("segment_ids", " ").alias("segment_ids"))
+
+
+@query(with_tables("lines", "segments", body="""
+    , n AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS q FROM segments WINDOW w AS (PARTITION BY document ORDER BY ordinal))
+    SELECT section_id, in_section // 3 AS unit_no, arg_min(coalesce(p, ''), in_section) AS previous_text, arg_max(coalesce(q, ''), in_section) AS next_text
+    FROM n GROUP BY ALL"""))
+def unit_context_neighbours(spark, d):
+    near = sequences.document_neighbours(domain.segments(spark, d))
+    unit = F.floor(F.col("in_section") / 3).cast("long").alias("unit_no")
+    return near.groupBy("section_id", unit).agg(F.min_by(F.coalesce("previous_text", F.lit("")), "in_section").alias("previous_text"), F.max_by(F.coalesce("next_text", F.lit("")), "in_section").alias("next_text"))
+
+
+@query("""
+    SELECT conv_id, turn, role, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def conversation_neighbours(spark, d):
+    return sequences.neighbours(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "previous_text", "next_text")
+
+
+@query(with_tables("lines", "segments", body="""
+    SELECT section_id, in_section, substr(text, 1, 1600) AS text
+    FROM (SELECT *, count(*) OVER (PARTITION BY section_id) AS n FROM segments)
+    WHERE in_section IN (0, n // 2, n - 1)"""))
+def first_middle_last_sample(spark, d):
+    return sequences.first_middle_last(domain.segments(spark, d), "section_id", "in_section").select("section_id", F.col("in_section").cast("long").alias("in_section"), F.substring("text", 1, 1600).alias("text"))
+
+
+@query(with_tables("lines", "segments", body="""
+    , c AS (SELECT section_id, in_section, count(*) OVER (PARTITION BY section_id) AS n FROM segments)
+    SELECT section_id, in_section FROM c
+    WHERE n <= 40 OR in_section IN (SELECT round_even(k * (n - 1) / 29.0::DOUBLE, 0)::BIGINT FROM range(30) t(k))"""))
+def stratified_sample_30(spark, d):
+    return sequences.stratified(domain.segments(spark, d), "section_id", "in_section").select("section_id", F.col("in_section").cast("long").alias("in_section"))
+
+
+@query("WITH RECURSIVE " + with_tables("lines", "segments", body="""
+    , f AS (
+        SELECT section_id, 0::BIGINT AS k, length(text)::BIGINT AS used, 1::BIGINT AS kept FROM segments WHERE in_section = 0
+        UNION ALL
+        SELECT f.section_id, f.k + 1, CASE WHEN f.used + length(s.text) <= 2000 THEN f.used + length(s.text) ELSE f.used END,
+               f.kept + (f.used + length(s.text) <= 2000)::BIGINT
+        FROM f JOIN segments s ON s.section_id = f.section_id AND s.in_section = f.k + 1)
+    SELECT section_id, arg_max(used, k) AS used, arg_max(kept, k) AS kept FROM f GROUP BY section_id""").removeprefix("WITH "))
+def dossier_budget_fold(spark, d):
+    kept = sequences.budget_fold(domain.segments(spark, d), "section_id", "in_section", F.length("text"), "segment_id", cap=2000)
+    return kept.select("section_id", "used", F.size("kept").cast("long").alias("kept"))
+
+
+def _pending_units(spark, d):
+    rows = domain.segments(spark, d).withColumn("unit_no", F.floor(F.col("in_section") / 3).cast("long"))
+    units = rows.groupBy("document", "section_id", "unit_no").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.length("raw")).alias("input"), F.min("ordinal").alias("ordinal"), F.count("*").alias("segments"))
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("section_id")).distinct()
+    return selection.pending(units, done, "section_id")
+
+
+PENDING = """
+    , p AS (
+        SELECT document, section_id, in_section // 3 AS unit_no, sum(length(text))::BIGINT AS chars, sum(length(raw))::BIGINT AS input,
+               min(ordinal) AS ordinal, count(*) AS segments
+        FROM segments WHERE section_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL)"""
+
+
+@query(with_tables("lines", "segments", body=PENDING + """
+    , r AS (
+        SELECT *, row_number() OVER w AS k, first(section_id) OVER w AS s0, sum(chars) OVER w AS c, sum(input) OVER w AS i FROM p
+        WINDOW w AS (PARTITION BY document ORDER BY ordinal)),
+    b AS (SELECT *, max((section_id <> s0 OR k > 10 OR (k > 1 AND c > 1500) OR (k > 1 AND (i + 3) // 4 + floor(0.6::DOUBLE * c + 0.999::DOUBLE) > 2000))::INT)
+          OVER (PARTITION BY document ORDER BY ordinal) AS broken FROM r)
+    SELECT document, section_id, unit_no, chars FROM b WHERE broken = 0"""))
+def agent_batch_prefix(spark, d):
+    return sequences.batch_prefix(_pending_units(spark, d), "document", "ordinal", "section_id", "chars", "input", most_units=10, chars=1500, tokens=2000).select("document", "section_id", "unit_no", "chars")
+
+
+@query("WITH RECURSIVE " + with_tables("lines", "segments", body=PENDING + """
+    , f AS (
+        SELECT section_id, unit_no, 0::BIGINT AS c, 1::BIGINT AS n, chars AS s, input + 512 AS i, chars FROM p WHERE unit_no = 0
+        UNION ALL
+        SELECT section_id, unit_no, c + full_::BIGINT, CASE WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN full_ THEN chars ELSE s + chars END,
+               CASE WHEN full_ THEN input + 512 ELSE i + input + 512 END, chars
+        FROM (SELECT p.section_id, p.unit_no, f.c, f.n, f.s, f.i, p.chars, p.input,
+                     f.n >= 5 OR f.s + p.chars > 1500 OR (f.i + p.input + 512 + 3) // 4 + floor(0.6::DOUBLE * (f.s + p.chars) + 0.999::DOUBLE) > 3000 AS full_
+              FROM f JOIN p ON p.section_id = f.section_id AND p.unit_no = f.unit_no + 1))
+    SELECT section_id, c AS checkpoint, count(*) AS units, sum(chars)::BIGINT AS chars FROM f GROUP BY ALL""").removeprefix("WITH "))
+def campaign_checkpoints(spark, d):
+    packed = sequences.checkpoints(_pending_units(spark, d), "section_id", "ordinal", "unit_no", "chars", "input", most_units=5, chars=1500, tokens=3000)
+    return packed.select("section_id", "checkpoint", "units", "chars")
+
+
+@query(with_tables("lines", "segments", body=PENDING + """
+    SELECT document, section_id, unit_no FROM (
+        SELECT *, sum(segments) OVER (PARTITION BY document ORDER BY ordinal) AS s, row_number() OVER (PARTITION BY document ORDER BY ordinal) AS k FROM p)
+    WHERE s <= 40 OR k = 1"""))
+def campaign_candidates(spark, d):
+    return sequences.campaign_candidates(_pending_units(spark, d), "document", "ordinal", "segments", 40).select("document", "section_id", "unit_no")
+
+
+@query(with_tables("lines", "segments", body="SELECT section_id, in_section FROM segments WHERE contains(lower(text), 'lorem') OR section_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
+def selected_segments(spark, d):
+    named = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("section_id"), F.lit(True).alias("named")).distinct()
+    met = domain.segments(spark, d).join(named, "section_id", "left").where("named OR contains(lower(text), 'lorem')")
+    return met.select("section_id", F.col("in_section").cast("long").alias("in_section"))
+
+
+# -- rules ---------------------------------------------------------------------------------
+REPEATED = r"""
+    , k AS (SELECT *, lower(text) AS key FROM pairs
+            WHERE NOT passed AND NOT regexp_full_match(raw, '\s*!\[[^\]]*\]\([^)]+\)\s*'))
+    SELECT segment_id FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT lower(output)) > 1)"""
+SHORT = r"SELECT segment_id FROM pairs WHERE NOT passed AND length(trim(output, ' ' || chr(9) || chr(13))) < greatest(1, length(text) // 20)"
+
+
+@query(with_tables("lines", "segments", "pairs", body=REPEATED))
+def repeated_source_inconsistent(spark, d):
+    return rules.repeated_source_inconsistent(rules.prepared(domain.mock_pairs(spark, d))).select("segment_id")
+
+
+@query(with_tables("lines", "segments", "pairs", body=SHORT))
+def suspiciously_short(spark, d):
+    return rules.suspiciously_short(rules.prepared(domain.mock_pairs(spark, d))).select("segment_id")
+
+
+@query()
+def format_signature_mismatch(spark, d):
+    return rules.format_mismatch(rules.prepared(domain.mock_pairs(spark, d)))
+
+
+MARK_COUNTS = {"code": r"`[^`\n]+`", "image": r"!\[[^\]]*\]\([^)]+\)", "strong": r"\*\*[^*\n]+\*\*|__[^_\n]+__", "link": r"\[[^\]]+\]\([^)]+\)"}
+
+
+@query(with_tables("lines", "segments", body="SELECT section_id, " + ", ".join(f"sum(len(regexp_extract_all(raw, '{p}')))::BIGINT AS {n}" for n, p in MARK_COUNTS.items()) + " FROM segments GROUP BY section_id"))
+def format_mark_counts(spark, d):
+    marks = domain.segments(spark, d).select("section_id", T.format_signature(F.col("raw")).alias("m"))
+
+    def count(name):
+        return F.sum(F.size(F.filter("m", lambda x: x == name))).alias(name)
+
+    return marks.groupBy("section_id").agg(*map(count, MARK_COUNTS))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(regexp_extract_all(regexp_replace(text, '[^0-9]+', ' ', 'g'), '[0-9]+')), ' ') AS digits FROM documents""")
+def digit_runs(spark, d):
+    runs = F.array_sort(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", F.array_join(runs, " ").alias("digits"))
+
+
+@query()
+def numeric_literals(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.numbers(F.col("text")).alias("numbers"))
+
+
+@query()
+def numeric_anchors(spark, d):
+    return domain.segments(spark, d).select("segment_id", numerics.anchors(F.col("text")).alias("anchors"))
+
+
+@query()
+def numeric_anchor_mismatch(spark, d):
+    ready = rules.prepared(domain.mock_pairs(spark, d))
+    parts = [rules.numeric_anchor_mismatch(ready, m).withColumn("mode", F.lit(m)) for m in ("relaxed", "balanced", "strict")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def acronyms(spark, d):
+    return domain.segments(spark, d).select("segment_id", F.explode(T.acronyms(F.col("text"))).alias("acronym"))
+
+
+@query(with_tables("lines", "segments", body=r"""
+    SELECT segment_id, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z]{2,8}')))) AS capitals
+    FROM segments"""))
+def capital_runs(spark, d):
+    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.regexp_like(x, F.lit("^[A-Z]{2,8}$"))))
+    return domain.segments(spark, d).select("segment_id", F.explode(words).alias("capitals"))
+
+
+@query()
+def acronym_missing(spark, d):
+    return rules.acronym_missing(rules.prepared(domain.mock_pairs(spark, d)), domain.glossary(spark, d))
+
+
+TERMS = r"""
+    , t AS (SELECT segment_id, output, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS token FROM pairs WHERE NOT passed),
+    m AS (SELECT t.segment_id, g.term FROM t JOIN glossary g ON t.token = lower(g.term)
+          WHERE NOT contains(lower(t.output), lower(g.preferred_translation)) AND NOT contains(lower(t.output), lower(g.allowed_variants[1])))
+    SELECT segment_id, 'Expected approved translation for term ''' || term || '''' AS message FROM m"""
+
+
+@query(with_tables("lines", "segments", "pairs", "glossary", body=TERMS))
+def terminology_mismatch(spark, d):
+    return rules.terminology_mismatch(rules.prepared(domain.mock_pairs(spark, d)), domain.glossary(spark, d)).select("segment_id", "message")
+
+
+@query(with_tables("lines", "segments", body="SELECT segment_id, section_id FROM segments WHERE contains(lower(text), 'tion')"))
+def terminology_impact(spark, d):
+    return knowledge.impact(domain.segments(spark, d), " Tion ").select("segment_id", "section_id")
+
+
+@query(with_tables("lines", "segments", "glossary", body="""
+    SELECT document, term, segment_id, hit FROM (
+        SELECT s.document, g.term, s.segment_id, row_number() OVER (PARTITION BY s.document, g.term ORDER BY s.ordinal) AS hit
+        FROM segments s JOIN glossary g ON contains(lower(s.text), lower(g.term))) WHERE hit <= 8"""))
+def concept_hits_top8(spark, d):
+    terms = domain.glossary(spark, d).select("term")
+    return knowledge.term_hits(domain.segments(spark, d), terms, 8, ["document"]).select("document", "term", "segment_id", "hit")
+
+
+ISSUES = with_tables("lines", "segments", "pairs", "glossary", body=f"""
+    , m AS (SELECT section_id FROM segments WHERE section_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+    a AS (SELECT 'missing_translation' AS kind, 'error' AS severity FROM m),
+    b AS (SELECT 'suspiciously_short' AS kind, 'warning' AS severity FROM ({SHORT} AND section_id NOT IN (SELECT section_id FROM m))),
+    k AS (SELECT *, lower(text) AS key FROM pairs WHERE NOT passed AND section_id NOT IN (SELECT section_id FROM m)
+          AND NOT regexp_full_match(raw, '\\s*!\\[[^\\]]*\\]\\([^)]+\\)\\s*')),
+    c AS (SELECT 'repeated_source_inconsistent' AS kind, 'warning' AS severity FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT lower(output)) > 1))
+    SELECT kind, severity, count(*) AS issues FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY ALL""")
+
+
+@query(ISSUES)
+def issues_union_by_kind(spark, d):
+    """Documents labelled bad have no translation; the others have mock ones with faults."""
+    segments = domain.segments(spark, d)
+    bad = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("section_id")).distinct()
+    pairs = domain.faulty(segments).join(bad, "section_id", "left_anti")
+    ready = rules.prepared(pairs)
+    missing = rules.missing_translation(segments, pairs.select("segment_id"))
+    found = missing.unionByName(rules.suspiciously_short(ready)).unionByName(rules.repeated_source_inconsistent(ready))
+    return found.groupBy("kind", "severity").agg(F.count("*").alias("issues"))
+
+
+@query("""
+    WITH i AS (SELECT o_orderkey AS segment_id, o_custkey % 5 AS id, CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'warning' END AS severity FROM orders),
+    r AS (SELECT DISTINCT l_orderkey AS segment_id, l_suppkey % 5 AS id FROM lineitem WHERE l_returnflag = 'R')
+    SELECT i.segment_id, i.id::VARCHAR AS id, CASE WHEN r.id IS NOT NULL THEN 'warning' ELSE severity END AS severity,
+           CASE WHEN r.id IS NOT NULL THEN 'resolved' ELSE 'open' END AS status
+    FROM i LEFT JOIN r ON r.segment_id = i.segment_id AND r.id = i.id""")
+def resolution_downgrade(spark, d):
+    issues = table(spark, d, "orders").select(F.col("o_orderkey").alias("segment_id"), (F.col("o_custkey") % 5).cast("string").alias("id"), F.when(F.col("o_orderstatus") == "F", F.lit("error")).otherwise(F.lit("warning")).alias("severity"), F.lit("open").alias("status"))
+    held = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("segment_id"), F.col("l_orderkey").alias("translation_record_id"), (F.col("l_suppkey") % 5).cast("string").alias("issue_id"))
+    active = table(spark, d, "orders").select(F.col("o_orderkey").alias("segment_id"), F.col("o_orderkey").alias("id"))
+    return rules.resolve(issues, active, held)
+
+
+# -- knowledge -------------------------------------------------------------------------------
+@query(with_tables("lines", "segments", body=r"""
+    , w AS (SELECT DISTINCT segment_id, ordinal, document, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}'))) AS term FROM segments)
+    SELECT term, count(*) AS n, least(0.9::DOUBLE, 0.5::DOUBLE + count(*) * 0.1::DOUBLE) AS confidence FROM w
+    WHERE term NOT IN ('The', 'This', 'That', 'Chapter', 'Part', 'Inside') GROUP BY term HAVING count(*) >= 2"""))
+def proper_noun_candidates(spark, d):
+    """Single capitalised ASCII words, which SQL can find too."""
+    words = r"(?<![A-Za-z])[A-Z][a-z]{2,}(?![A-Za-z])"
+    return knowledge.candidates(domain.segments(spark, d), words, 2).select("term", F.col("n").cast("long").alias("n"), "confidence")
+
+
+@query()
+def name_phrase_candidates(spark, d):
+    return knowledge.candidates(domain.segments(spark, d)).select("term", "n", "confidence")
+
+
+def _candidates(spark, d):
+    names = F.array(*map(F.lit, ["standard", "official", "academic", "publisher", "community"]))
+    brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.split("p_name", " ")[0].alias("term"), F.col("p_name").alias("candidate_translation"), F.element_at(names, brand % 5 + 1).alias("authority"), (F.col("p_size") / 50).alias("confidence"))
+
+
+PART = """
+    WITH c AS (
+        SELECT p_partkey::VARCHAR AS id, split_part(p_name, ' ', 1) AS term, p_name AS candidate_translation,
+               ['standard', 'official', 'academic', 'publisher', 'community'][regexp_extract(p_brand, '([0-9]+)', 1)::INT % 5 + 1] AS authority,
+               5 - regexp_extract(p_brand, '([0-9]+)', 1)::INT % 5 AS rank, p_size / 50 AS confidence FROM part)"""
+
+
+@query(PART + """
+    SELECT lower(term) AS term_key, arg_max(id, (rank, confidence, id)) AS selected_candidate_id, arg_max(candidate_translation, (rank, confidence, id)) AS selected_translation,
+           CASE WHEN max((rank, confidence, id))[1] >= 4 AND max((rank, confidence, id))[2] >= 0.9 THEN 'approved' ELSE 'proposed' END AS status
+    FROM c GROUP BY lower(term)""")
+def terminology_adjudication(spark, d):
+    return knowledge.adjudicate(_candidates(spark, d), True).select("term_key", "selected_candidate_id", "selected_translation", "status")
+
+
+@query(PART + "SELECT lower(term) AS term_key, sha256(string_agg(DISTINCT id, '|' ORDER BY id)) AS candidates_digest FROM c GROUP BY lower(term)")
+def decision_digest(spark, d):
+    return knowledge.adjudicate(_candidates(spark, d)).select("term_key", "candidates_digest")
+
+
+def _signal_sql(words):
+    return " + ".join(f"sum((length(t) - length(replace(t, '{w}', ''))) // {len(w)})" for w in words)
+
+
+#: Syllables of the invented texts stand for the words of the domains.
+INVENTED = {"political economy": ["tion", "and"], "technology and society": ["ing", "the"], "history": ["ent", "ich"], "social science": ["eau", "que"]}
+
+
+@query("WITH s AS (SELECT source, lower(text) AS t FROM documents), r AS (" + " UNION ALL ".join(f"SELECT source, '{n}' AS domain, ({_signal_sql(w)})::BIGINT AS score, {k} AS place FROM s GROUP BY source" for k, (n, w) in enumerate(INVENTED.items())) + ") SELECT source, domain, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, place) AS rank FROM r WHERE score > 0) WHERE rank <= 3")
+def domain_signal_top3(spark, d):
+    found = knowledge.top_domains(table(spark, d, "documents"), "source", signals=INVENTED)
+    return found.select("source", "domain", "score", "rank")
+
+
+@query("""
+    WITH e AS (SELECT n_name AS term, 'kept' AS note FROM nation), n AS (
+        SELECT DISTINCT upper(split_part(text, ' ', 1)) AS term, 'new' AS note FROM benchmark UNION SELECT upper(n_name), 'new' FROM nation)
+    SELECT term, note FROM e UNION ALL SELECT term, note FROM n WHERE lower(term) NOT IN (SELECT lower(term) FROM e)""")
+def glossary_merge_no_overwrite(spark, d):
+    old = table(spark, d, "nation").select(F.col("n_name").alias("term"), F.lit("kept").alias("note"))
+    new = table(spark, d, "benchmark").select(F.upper(F.split_part("text", F.lit(" "), F.lit(1))).alias("term")).union(old.select(F.upper("term"))).distinct().withColumn("note", F.lit("new"))
+    return selection.merge_without_overwrite(old, new, "term")
+
+
+@query("SELECT conv_id, t.e AS evidence_id FROM (SELECT conv_id, unnest([conv_id, conv_id * 2 + turn]) AS e FROM conversations) t WHERE t.e NOT IN (SELECT doc_id FROM documents)")
+def evidence_fk_violations(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.array("conv_id", F.col("conv_id") * 2 + F.col("turn")).alias("evidence"))
+    return selection.evidence_violations(rows, "conv_id", "evidence", table(spark, d, "documents"), "doc_id")
+
+
+# -- scopes and summaries ----------------------------------------------------------------------
+@query(with_tables("log", "active", body="SELECT segment_id % 10 AS scope, sha256(string_agg(id, chr(31) ORDER BY segment_id)) AS digest FROM active GROUP BY 1"))
+def scope_digest(spark, d):
+    active = sequences.current_translations(domain.translation_log(spark, d))
+    segments = active.select("segment_id", F.col("segment_id").alias("ordinal"), (F.col("segment_id") % 10).alias("scope"))
+    return review.scope_digests(segments, active.select("segment_id", "id"), "scope")
+
+
+@query(with_tables("log", "active", body="""
+    , g AS (SELECT segment_id % 10 AS scope, sha256(string_agg(id, chr(31) ORDER BY segment_id)) AS digest FROM active GROUP BY 1),
+    old AS (SELECT * FROM log WHERE status = 'completed' AND _pos < (SELECT max(event_id) * 0.998 FROM events)
+            QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY revision DESC, _pos) = 1),
+    h AS (SELECT segment_id % 10 AS scope, sha256(string_agg(id, chr(31) ORDER BY segment_id)) AS digest FROM old GROUP BY 1)
+    SELECT g.scope, g.digest FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.scope = g.scope AND h.digest = g.digest)"""))
+def stale_scopes(spark, d):
+    """Scopes that records changed after most of the log was reviewed."""
+    log = domain.translation_log(spark, d)
+    last = log.agg((F.max("_pos") * 0.998).alias("_last"))
+    before = log.join(F.broadcast(last), F.col("_pos") < F.col("_last")).drop("_last")
+
+    def digests(active):
+        rows = active.select("segment_id", F.col("segment_id").alias("ordinal"), (F.col("segment_id") % 10).alias("scope"))
+        return review.scope_digests(rows, active.select("segment_id", "id"), "scope")
+
+    seen = digests(sequences.current_translations(before)).select(F.col("scope").alias("scope_id"), F.col("digest").alias("input_digest"), F.col("digest").alias("output_digest"))
+    return review.stale_scopes(digests(sequences.current_translations(log)), seen, "scope").select("scope", "digest")
+
+
+@query()
+def truncate_summary(spark, d):
+    return review.summarize(domain.segments(spark, d)).select("section_id", "summary", F.array_join("key_points", "|").alias("key_points"))
+
+
+# -- alignment -----------------------------------------------------------------------------------
+def _editions(spark, d):
+    docs = table(spark, d, "documents").select("source", "lang", F.col("doc_id").alias("section_id"))
+    rows = docs.withColumn("ordinal", F.row_number().over(Window.partitionBy("source", "lang").orderBy("section_id")) - 1)
+    return rows.withColumn("book", F.col("source")).withColumn("chapter_key", F.concat(F.lit("chapter-"), F.floor(F.col("ordinal") / 2).cast("string")))
+
+
+EDITIONS = """WITH e AS (SELECT source AS book, lang, doc_id AS section_id, o AS ordinal, 'chapter-' || o // 2 AS chapter_key
+    FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS o FROM documents)),
+    l AS (SELECT book, lang, chapter_key, arg_max(section_id, ordinal) AS section_id, max(ordinal) AS ordinal FROM e GROUP BY ALL),
+    a AS (SELECT s.book, s.chapter_key, s.section_id AS source_section_id, r.section_id AS reference_section_id, r.ordinal AS start
+          FROM l s JOIN l r ON r.book = s.book AND r.chapter_key = s.chapter_key AND r.lang = 'de' WHERE s.lang = 'en')"""
+
+
+@query(EDITIONS + " SELECT book, chapter_key, source_section_id, reference_section_id, 0.98::DOUBLE AS confidence FROM a")
+def chapter_alignment(spark, d):
+    e = _editions(spark, d)
+    return alignment.align(e.where("lang = 'en'"), e.where("lang = 'de'")).select("book", "chapter_key", "source_section_id", "reference_section_id", "confidence")
+
+
+@query(EDITIONS + """, n AS (SELECT *, lead(start) OVER (PARTITION BY book ORDER BY start) AS stop FROM a)
+    SELECT n.book, n.source_section_id, e.section_id AS reference_section_id
+    FROM n JOIN e ON e.book = n.book AND e.lang = 'de' AND e.ordinal >= n.start AND (n.stop IS NULL OR e.ordinal < n.stop)""")
+def chapter_range_cover(spark, d):
+    e = _editions(spark, d)
+    reference = e.where("lang = 'de'")
+    return alignment.ranges(alignment.align(e.where("lang = 'en'"), reference), reference).select("book", "source_section_id", "reference_section_id")
+
+
+@query(EDITIONS + """, s AS (SELECT book, section_id, ordinal AS pos, count(*) OVER (PARTITION BY book) AS n FROM e WHERE lang = 'en'),
+    r AS (SELECT book, section_id, ordinal AS pos, count(*) OVER (PARTITION BY book) AS m FROM e WHERE lang = 'de'),
+    c AS (SELECT s.book, s.pos, round_even(s.pos / greatest(1, s.n - 1) * greatest(0, q.m - 1), 0)::BIGINT AS center
+          FROM s JOIN (SELECT DISTINCT book, m FROM r) q USING (book))
+    SELECT c.book, c.pos::INT AS source_pos, c.center, r.section_id FROM c JOIN r ON r.book = c.book AND r.pos BETWEEN greatest(0, c.center - 1) AND c.center + 1""")
+def reference_window(spark, d):
+    e = _editions(spark, d).withColumn("pos", F.col("ordinal").cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("book", "lang")))
+    found = alignment.proportional_window(e.where("lang = 'en'"), e.where("lang = 'de'").select("book", "pos", "n", "section_id"), "book")
+    return found.select("book", F.col("source_pos").cast("int").alias("source_pos"), "center", "section_id")
+
+
+# -- imports and editions ----------------------------------------------------------------------------
+TAGS = {"paragraphs": "<p[ />]|<p>", "headings": "<h[1-6][ >]", "images": "<img[ />]", "links": "<a[ >]"}
+
+
+@query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(x, '{p}'))::BIGINT AS {n}" for n, p in TAGS.items()) + " FROM (SELECT page_id, lower(regexp_replace(html, '<script.*?</script>', '', 'gs')) AS x FROM pages)")
+def html_import_report(spark, d):
+    body = F.lower(F.regexp_replace("html", "(?s)<script.*?</script>", ""))
+    return table(spark, d, "pages").select("page_id", *[F.regexp_count(body, F.lit(p)).cast("long").alias(n) for n, p in TAGS.items()])
+
+
+@query()
+def html_import_blocks(spark, d):
+    return table(spark, d, "pages").select("page_id", html.converted(F.col("html")).alias("r")).select("page_id", "r.markdown", "r.paragraphs", "r.headings", "r.images", "r.links")
+
+
+@query()
+def reader_typography(spark, d):
+    return domain.segments(spark, d).select("segment_id", typography("text").alias("text"))
+
+
+def _edition(spark, d, content):
+    rows = domain.segments(spark, d).select("document", "section_id", "ordinal", "raw", F.lit("paragraph").alias("kind"), F.replace("raw", F.lit("e"), F.lit("E")).alias("output")).where("length(raw) > 80")
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.concat(F.lit("Section "), F.col("doc_id")).alias("title"), F.lit(2).alias("level"), F.concat(F.lit("Teil "), F.col("doc_id")).alias("translated_title"))
+    blocks = render.rendered_blocks(rows, titles, content, typeset=False)
+    return render.render(blocks, "section_id").select("section_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"), F.length("markdown").alias("chars"))
+
+
+def _edition_sql(heading, block):
+    return with_tables("lines", "segments", body=f"""
+    , s AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY ordinal) AS k FROM segments WHERE length(raw) > 80),
+    b AS (SELECT section_id, ordinal, CASE WHEN k = 1 THEN {heading} || chr(10) || chr(10) ELSE '' END || {block} AS block FROM s),
+    r AS (SELECT section_id, string_agg(block, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS m FROM b GROUP BY section_id)
+    SELECT section_id, sha256(m) AS markdown_sha256, length(m)::INT AS chars FROM r""")
+
+
+@query(_edition_sql("'## Teil ' || section_id", "replace(raw, 'e', 'E')"))
+def render_markdown_blocks(spark, d):
+    """Editions of a document's long lines (over 80 characters, so none is a heading)."""
+    return _edition(spark, d, "translated")
+
+
+@query(_edition_sql("'## Section ' || section_id || ' / Teil ' || section_id", "'> ' || raw || chr(10) || chr(10) || replace(raw, 'e', 'E') || chr(10) || chr(10) || '---'"))
+def bilingual_render(spark, d):
+    return _edition(spark, d, "bilingual")
+
+
+# -- administration --------------------------------------------------------------------------------------
+@query(with_tables("lines", "segments", body="""
+    , t AS (SELECT document, count(DISTINCT section_id) AS sections, count(*) AS segments, count(DISTINCT (section_id, in_section // 3)) AS units,
+                   count(*) FILTER (section_id IN (SELECT doc_id FROM labels)) AS translations FROM segments GROUP BY document)
+    SELECT *, CASE WHEN translations = segments THEN 'completed' ELSE 'in_progress' END AS translate FROM t"""))
+def manifest_status(spark, d):
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("section_id"), F.lit(1).alias("done")).distinct()
+    per_section = domain.lines(spark, d).groupBy("document", "section_id").agg(F.count("*").alias("n")).join(done, "section_id", "left")
+    counts = per_section.groupBy("document").agg(F.count("*").alias("sections"), F.sum("n").alias("segments"), F.sum(F.ceil(F.col("n") / 3)).cast("long").alias("units"), F.coalesce(F.sum(F.when(F.col("done") == 1, F.col("n"))), F.lit(0)).alias("translations"))
+    return counts.withColumn("translate", F.when(F.col("translations") == F.col("segments"), F.lit("completed")).otherwise(F.lit("in_progress")))
+
+
+@query(with_tables("log", "active", body="""
+    SELECT 'translation_coverage' AS check_id, count(*) = 0 AS passed FROM customer WHERE c_custkey NOT IN (SELECT segment_id FROM active)
+    UNION ALL SELECT 'non_mock_translation', count(*) FILTER (adapter = 'click') = 0 FROM active
+    UNION ALL SELECT 'revision_integrity', count(*) = count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem
+    UNION ALL SELECT 'segment_review_coverage', count(*) = 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'ambiguity_evidence', count(*) = 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""))
+def audit_checks(spark, d):
+    """Checks of the audit that need data alone, each one row."""
+    active = sequences.current_translations(domain.translation_log(spark, d))
+    asked, docs, labels = table(spark, d, "customer").select(F.col("c_custkey").alias("segment_id")), table(spark, d, "documents"), table(spark, d, "labels")
+    repeated = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
+
+    def none(check, violations):
+        return violations.agg((F.count("*") == 0).alias("passed")).select(F.lit(check).alias("check_id"), "passed")
+
+    parts = [
+        none("translation_coverage", asked.join(active, "segment_id", "left_anti")),
+        none("non_mock_translation", active.where("adapter = 'click'")),
+        none("revision_integrity", repeated),
+        none("segment_review_coverage", docs.join(labels, "doc_id", "left_anti")),
+        none("ambiguity_evidence", labels.join(docs, "doc_id", "left_anti")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
