@@ -44,19 +44,20 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, site: str = "source") -> Da
 
     Lines are split at line feeds and compared without blanks at their ends;
     blank ones stay.  Null text stays null; a null site is one site.  A document
-    without doc_id is never the first that has a line.  All other columns stay.
+    without doc_id is never the first that has a line.  All other columns stay,
+    but _lines and _removed are replaced.
     """
     shared_dir(docs.sparkSession)
-    table = docs.withColumn("row_key", F.xxhash64("text"))
-    slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"), "text")
+    table = docs.withColumn("__row", F.xxhash64("text"))
+    slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row_key"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"), "text")
     found = boilerplate(slim, min_sites)
     gone = _lines(slim).join(found, KEY).where("first_doc IS NULL OR doc_id IS NULL OR doc_id <> first_doc")
-    gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).agg(F.collect_set("pos").alias("_gone"))
-    split = table.withColumn("_parts", F.split("text", "\n", -1)).drop("text")
-    met = split.join(gone, split.doc_id.eqNullSafe(gone._doc) & (split.row_key == gone._key), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
-    kept = F.when(F.col("_gone").isNull(), F.col("_parts")).otherwise(F.transform(left, lambda i: F.get("_parts", i)))
+    gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).agg(F.collect_set("pos").alias("__gone"))
+    split = table.withColumn("__parts", F.split("text", "\n", -1)).drop("text")
+    met = split.join(gone, split.doc_id.cast("long").eqNullSafe(gone["__doc"]) & split["__row"].eqNullSafe(gone["__key"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
+    kept = F.when(F.col("__gone").isNull(), F.col("__parts")).otherwise(F.transform(left, lambda i: F.get("__parts", i)))
     met = met.withColumn("text", F.array_join(kept, "\n"))
-    content = F.size(F.filter("_parts", lambda x: F.btrim(x, F.lit(BLANK)) != ""))
-    met = met.withColumn("_lines", F.greatest(content, F.lit(0)).cast("long")).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return met.select(*docs.columns, "_lines", "_removed")
+    content = F.size(F.filter("__parts", lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+    counts = [F.greatest(content, F.lit(0)).cast("long").alias("_lines"), F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("_removed")]
+    return met.select(*[c for c in docs.columns if c not in ("_lines", "_removed")], *counts)

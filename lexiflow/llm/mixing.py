@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 def emit(docs: DataFrame, **more) -> DataFrame:
     """docs with each row as often as mix() takes it; equal rows of one doc_id are emitted together."""
-    table = docs.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"])
-    taken = mix(docs, **more).groupBy(F.col("doc_id").alias("_doc"), "row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    met = table.join(taken, table.doc_id.cast("long").eqNullSafe(taken._doc) & (table["_key"] == taken.row_key))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    table = docs.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"])
+    taken = mix(docs, **more).groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__row")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    met = table.join(taken, table.doc_id.cast("long").eqNullSafe(taken["__doc"]) & (table["__key"] == taken["__row"]))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
