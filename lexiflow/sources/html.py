@@ -11,6 +11,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = (*HEADINGS, "p", "blockquote", "li")
+#: Tags whose start ends an open paragraph.
+ENDS_PARAGRAPH = (*BLOCKS, "article", "aside", "div", "dl", "fieldset", "footer", "form", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 MARKS = {"em": "*", "i": "*", "strong": "**", "b": "**"}
 COUNTS = ["paragraphs", "headings", "images", "links", "footnote_links"]
@@ -39,7 +41,7 @@ class Reader(HTMLParser):
         self.counts["images"] += tag == "img"
         self.counts["links"] += tag == "a"
         self.counts["footnote_links"] += tag == "a" and ("noteref" in a.get("epub:type", "").split() or a.get("role") == "doc-noteref" or "footnoteup" in classes)
-        if tag == "p":  # an open paragraph ends where the next begins
+        if tag in ENDS_PARAGRAPH:
             self._close("p")
         if tag == "img":
             self.blocks.append({"tag": "img", "text": f"![{a.get('alt', '').strip()}]({a.get('src', '')})", "plain": "", "classes": set()})
