@@ -11,6 +11,7 @@ U+00C0 to U+00FF); all else stays within a longer part.
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -24,13 +25,18 @@ _SEEN[0x21:0x7F] = True
 class Encoder:
     """ids(data, bounds) of documents; `keep` bounds the parts remembered."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
+        # a byte-level token's text has a character for each byte
+        vocab = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, number in vocab.items():
+            self.widths[number] = len(token)
         self._clear()
 
     def _clear(self) -> None:
@@ -64,33 +70,58 @@ class Encoder:
         keys, first, which = np.unique(Rolling(BYTE_VALUE[data]).spans(start, end), return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > self.keep:
             self._clear()
-        place = [self.known.get(k, -1) for k in keys.tolist()]
-        missing = [i for i, p in enumerate(place) if p < 0]
-        if missing:
-            raw = data.tobytes()
-            spans = zip(start[first[missing]].tolist(), end[first[missing]].tolist())
-            found = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in spans], add_special_tokens=False)
-            self._add(keys[missing].tolist(), [x.ids for x in found])
-            for i in missing:
-                place[i] = self.known[int(keys[i])]
-        at = np.array(place, np.int64)[which]
+        place = np.fromiter(map(self.known.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = len(self.known) + np.arange(len(missing))
+            self._add(keys[missing].tolist(), *self._encode(data, start[first[missing]], end[first[missing]]))
+        at = place[which]
         begin, count = self.begin[at], self.count[at]
         ids = self.pool[expand(begin, begin + count)]
         total = per_document(count, np.searchsorted(start, bounds, "left"))
         return ids, np.concatenate(([0], np.cumsum(total)))
 
-    def _add(self, keys: list[int], ids: list[list[int]]) -> None:
-        n, lengths = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each part) of new parts.
+
+        Parts that begin with a cut space are encoded joined, as they would stand
+        in a text, and told apart by the bytes of their ids; others alone.
+        """
+        lengths = end - start
+        ends_seen = _SEEN[data[end - 1]]
+        joined = (data[start] == 0x20) & ends_seen & (lengths > 1) & _SEEN[data[np.minimum(start + 1, len(data) - 1)]]
+        order = np.concatenate((np.flatnonzero(joined), np.flatnonzero(~joined)))
+        n = int(joined.sum())
+        raw = data[expand(start[order], end[order])].tobytes()
+        stop = np.concatenate(([0], np.cumsum(lengths[order])))
+        cuts = [*stop[: n + 1 : 512].tolist()] if n else [0]
+        if n and cuts[-1] != stop[n]:
+            cuts.append(int(stop[n]))
+        cuts += stop[n + 1 :].tolist()
+        texts = [raw[a:b].decode("utf-8") for a, b in zip(cuts[:-1], cuts[1:])]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32, sum(map(len, found)))
+        at = np.cumsum(self.widths[flat], dtype=np.int64)
+        upto = np.searchsorted(at, stop[1:], "right")
+        count = np.diff(np.concatenate(([0], upto)))
+        # back in the order asked for
+        counts = np.empty(len(order), np.int64)
+        counts[order] = count
+        begin = np.empty(len(order), np.int64)
+        begin[order] = upto - count
+        return flat[expand(begin, begin + counts)], counts
+
+    def _add(self, keys: list[int], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + len(ids) > len(self.begin):
+        while n + len(keys) > len(self.begin):
             self.begin, self.count = np.concatenate((self.begin, np.zeros_like(self.begin))), np.concatenate((self.count, np.zeros_like(self.count)))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.begin[n : n + len(ids)] = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.count[n : n + len(ids)] = lengths
+        self.begin[n : n + len(keys)] = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        self.count[n : n + len(keys)] = lengths
         self.used += len(flat)
-        self.known.update(zip(keys, range(n, n + len(ids))))
+        self.known.update(zip(keys, range(n, n + len(keys))))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -79,7 +79,7 @@ def _cut(vocabulary: str, end_id: int, size: int, batches: Iterator[pa.RecordBat
         coder = coder or encoder(vocabulary)
         data, bounds = ragged(batch.column(1))
         doc_ids = batch.column(0).to_pylist()
-        for i, j in slices(bounds):
+        for i, j in slices(bounds, 2 << 20):
             ids, ends = coder.ids(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             ends = ends[1:] + np.arange(1, j - i + 1)
             full = np.full(len(ids) + j - i, end_id, np.uint32)

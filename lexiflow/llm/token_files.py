@@ -152,7 +152,7 @@ def _write(folder: str, vocabulary: str, end_id: int, wide: bool, batches: Itera
         if writer is None:
             writer, coder = ShardWriter(folder, part, wide), encoder(vocabulary)
         data, bounds = ragged(batch.column(1))
-        for i, j in slices(bounds):
+        for i, j in slices(bounds, 2 << 20):
             ids, ends = coder.ids(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             ends = ends[1:] + np.arange(1, j - i + 1)
             full = np.full(len(ids) + j - i, end_id, np.uint32)
