@@ -47,6 +47,19 @@ def reference_text(rows: DataFrame, adaptations: DataFrame) -> DataFrame:
     return met.withColumn("reference_text", F.coalesce("adapted_text", F.nullif("raw", F.lit("")), "text")).drop("adapted_text")
 
 
+def best_sections(documents: DataFrame, sections: DataFrame, segments: DataFrame, book: str = "book") -> DataFrame:
+    """The section of a book that each of its source documents (name, content) is.
+
+    A title in the content counts 1,000, each of its segments of 12 characters or
+    more that stands in it 1; of equals the first section.  Pairs are made within
+    a book only.
+    """
+    titled = documents.join(sections, book).where(F.contains("content", "title")).select(book, "name", "section_id", F.lit(1000).alias("score"))
+    held = documents.join(segments.where("length(text) >= 12"), book).where(F.contains("content", "text")).select(book, "name", "section_id", F.lit(1).alias("score"))
+    scores = titled.unionByName(held).groupBy(book, "name", "section_id").agg(F.sum("score").alias("score")).join(sections.select("section_id", "ordinal"), "section_id")
+    return scores.groupBy(book, "name").agg(F.max_by(F.struct("section_id", "ordinal", "score"), F.struct("score", -F.col("ordinal"))).alias("b")).select(book, "name", "b.section_id", "b.ordinal", "b.score")
+
+
 def convert(rows: DataFrame, dictionary: DataFrame, text: str = "text", longest: int = 8) -> DataFrame:
     """text with the longest dictionary phrases (phrase, adapted) put in place of what they match, left to right.
 

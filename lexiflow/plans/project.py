@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,6 +85,17 @@ class Store:
         finally:
             rows.unpersist()
 
+    @contextmanager
+    def lock(self, name: str):
+        """One writer at a time: a file that only one can make."""
+        fs, p = self._hadoop(self.path("state", "json", self.project_id, name + ".lock"))
+        if not fs.createNewFile(p):
+            raise RuntimeError(f"another {name} runs on this project")
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
     def put_json(self, name: str, value: dict) -> None:
         self.put(self.path("state", "json", self.project_id, name), json.dumps(value, ensure_ascii=False, indent=2).encode())
 
@@ -234,6 +246,7 @@ class Project:
             "concept_rules": concepts, "confidence": 0.65 if concepts else 0.5, "generated_by": {"adapter": "heuristic", "model": "domain-signals-v1"}, "generated_at": now(),
         }
         self.s.put_json("translation_brief.json", brief)
+        self.note("brief", "Translation brief", [f"{k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in brief.items() if k not in ("concept_rules", "generated_by")] + [f"{r['source_term']}: {r['preferred_rendering']}" for r in concepts])
         self.step("analyze", "completed")
         return brief
 
@@ -250,10 +263,16 @@ class Project:
         new = todo.withColumn("adapter", F.lit("heuristic")).withColumn("model", F.lit("extract-v1")).withColumn("revision", revision).withColumn("created_at", F.lit(now())).withColumn("confidence", F.lit(0.6))
         new = new.withColumn("id", stable_id("summary", F.col("section_id"), F.col("source_digest"), F.col("adapter"), F.col("model"), F.col("revision")))
         n = self.s.append("section_summaries", new)
+        told = sequences.current(self.s.read("section_summaries"), "section_id").orderBy("section_id")
+        self.note("summaries", "Section summaries", [f"{r['section_id']}: {r['summary']}" for r in told.select("section_id", "summary").toLocalIterator()])
         self.s.append("ambiguities", selection.append_new(self.s.read("ambiguities"), review.ambiguities(rows)))
         self.step("summarize", "completed")
         return n
 
+    def note(self, name: str, title: str, lines: list[str]) -> None:
+        """A mirror of a result for readers."""
+        self.s.put(self.s.path("notes", self.id, f"{name}.md"), "\n".join([f"# {title}", "", *(f"- {x}" for x in lines), ""]).encode())
+
     def propose_knowledge(self, least: int = 2) -> tuple[int, int]:
         glossary, entities = knowledge.propose(self._segments(), self.s.read("glossary").drop("_pos"), self.s.read("entities").drop("_pos"), least)
         return self.s.overwrite("glossary", glossary).count(), self.s.overwrite("entities", entities).count()
@@ -296,8 +315,9 @@ class Project:
     def translate(self, segment_ids=(), section_ids=(), term: str = "", reason: str = "initial", most_units: int | None = None, adapter=review.mock, name: str = "mock", model: str = "mock-v1") -> int:
         asked = selection.select_segments(self.s.read("segments").drop("_pos"), segment_ids, section_ids, term)
         again = bool(segment_ids or section_ids or term)
-        new = review.translate(self.s.read("units"), asked, self.s.read("translations"), adapter, name, model, again, reason, most_units)
-        n = self.s.append("translations", new)
+        with self.s.lock("translate"):
+            new = review.translate(self.s.read("units"), asked, self.s.read("translations"), adapter, name, model, again, reason, most_units)
+            n = self.s.append("translations", new)
         self.step("translate", "completed" if self.complete() else "in_progress")
         return n
 
@@ -484,7 +504,11 @@ class Project:
                 if "epub" in formats:
                     resources = None
                     if self.source.get("source_format") == "epub":
-                        resources = epub.Resources(self.s.get(self.source["original_path"]), {})
+                        original = self.s.get(self.source["original_path"])
+                        texts = self.spark.createDataFrame([(self.id, *t) for t in epub.document_texts(original)], "book string, name string, content string")
+                        sections = titles.select(F.lit(self.id).alias("book"), "section_id", "title", F.col("section_ordinal").alias("ordinal"))
+                        best = alignment.best_sections(texts, sections, self._segments().withColumn("book", F.lit(self.id))).collect()
+                        resources = epub.Resources(original, {r["name"]: f"section-{r['ordinal']:04d}.xhtml" for r in best})
                     self.s.put(f"{folder}/{content}.epub", epub.write_epub(self.source["title"], self.record["target_language"], pages, list(facts.items()), resources))
                     out.append(f"{folder}/{content}.epub")
                 if "docx" in formats:
@@ -514,6 +538,7 @@ class Project:
                 images = len(re.findall(r"!\[[^\]]*\]\([^)]+\)", self.s.get(source["source_path"]).decode()))
         checks = audit.audit(self.tables(), self.record, source, self.s.get_json("translation_brief.json"), artifacts, self.s.get_json("export_metadata.json"), images, allow_mock)
         self.s.put_json("v1_audit.json", {"ready": audit.ready(checks), "checks": checks, "generated_at": now()})
+        self.note("audit", "Audit", [f"{c['id']}: {c['status']}" for c in checks])
         return audit.ready(checks), checks
 
     # -- administration ---------------------------------------------------------------------------------

@@ -81,7 +81,7 @@ def candidate_ids(rows: DataFrame) -> DataFrame:
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """A CSV glossary; arrays are joined by bars, blank parts dropped, a blank confidence is 1."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    items = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    items = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     columns = []
     for field in schema_of("glossary"):
         column = F.col(field.name) if field.name in raw.columns else F.lit(None).cast("string")

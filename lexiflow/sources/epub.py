@@ -47,6 +47,12 @@ def read_epub(content: bytes, fallback_title: str) -> tuple[str, str, dict[str,
     return "\n\n".join(blocks) + "\n", title or fallback_title, counts
 
 
+def document_texts(content: bytes) -> list[tuple[str, str]]:
+    """(name, visible text) of the spine's documents."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [(n, " ".join(unescape(re.sub(r"<[^>]+>", " ", z.read(n).decode("utf-8", "replace"))).split())) for n in spine(z)[1]]
+
+
 # -- writing --------------------------------------------------------------------------------
 def inline_html(text: str) -> str:
     out = escape(text, quote=False)
