@@ -15,6 +15,8 @@ from .shared import shared_dir
 
 BLANK = " \t\r\x0b\x0c"
 KEY = ["h1", "h2"]
+#: Parts that each line is dealt to when it meets the lines found.
+SALTS = 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -24,6 +26,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", "row_key", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def salted(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """lines joined with found by KEY; a line that all documents have is dealt to SALTS tasks."""
+    copied = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key", "pos"), F.lit(SALTS)).cast("int"))
+    return dealt.join(copied, [*KEY, "salt"]).drop("salt")
+
+
 def boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12) -> DataFrame:
     """(h1, h2, first_doc) of lines that stand in min_sites sites or more.
 
@@ -34,7 +43,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: i
     spread = lines.groupBy(*KEY).agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("doc_id").alias("first_doc"))
     spread = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("sites") >= F.lit(min_sites * (1 - band))).checkpoint()
     near = spread.where(F.col("sites") <= F.lit(min_sites * (1 + band)))
-    exact = lines.join(near.select(*KEY), KEY, "left_semi").select(*KEY, "site").distinct().groupBy(*KEY).count().where(F.col("count") >= min_sites)
+    exact = salted(lines, near.select(*KEY)).select(*KEY, "site").distinct().groupBy(*KEY).count().where(F.col("count") >= min_sites)
     settled = near.join(exact, KEY, "left_semi")
     return spread.where(F.col("sites") > F.lit(min_sites * (1 + band))).unionByName(settled).select(*KEY, "first_doc")
 
@@ -51,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, site: str = "source") -> Da
     table = docs.withColumn("__row", F.xxhash64("text"))
     slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row_key"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"), "text")
     found = boilerplate(slim, min_sites)
-    gone = _lines(slim).join(found, KEY).where("first_doc IS NULL OR doc_id IS NULL OR doc_id <> first_doc")
+    gone = salted(_lines(slim), found).where("first_doc IS NULL OR doc_id IS NULL OR doc_id <> first_doc")
     gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).agg(F.collect_set("pos").alias("__gone"))
     split = table.withColumn("__parts", F.split("text", "\n", -1)).drop("text")
     met = split.join(gone, split.doc_id.cast("long").eqNullSafe(gone["__doc"]) & split["__row"].eqNullSafe(gone["__key"]), "left")
