@@ -25,6 +25,18 @@ def write(path, text):
     return str(path)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """A few rows a table: compiling their plans takes longer than running them."""
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def done(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("done")
