@@ -11,7 +11,7 @@ U+00C0 to U+00FF); all else stays within a longer part.
 from __future__ import annotations
 
 import os
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -25,7 +25,7 @@ _SEEN[0x21:0x7F] = True
 class Encoder:
     """ids(data, bounds) of documents; `keep` bounds the parts remembered."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,11 +40,28 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        #: keys in order and their numbers: all but the latest, and the latest
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.size = self.used = 0
+        self.pool = np.zeros(1 << 16, np.uint16 if len(self.widths) <= 1 << 16 else np.uint32)
+        self.begin = np.zeros(1 << 14, np.int32)
+        self.count = np.zeros(1 << 14, np.int32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of known keys, -1 for others."""
+        place = np.full(len(keys), -1, np.int64)
+        for have, numbers in self.known:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                same = have[at] == keys
+                place[same] = numbers[at[same]]
+        return place
+
+    @staticmethod
+    def _merged(a, b):
+        keys, numbers = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], numbers[order]
 
     def parts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Starts of the parts."""
@@ -68,16 +85,16 @@ class Encoder:
         start = self.parts(data, bounds)
         end = np.append(start[1:], len(data))
         keys, first, which = np.unique(Rolling(BYTE_VALUE[data]).spans(start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.keep:
+        if self.size + len(keys) > self.keep:
             self._clear()
-        place = np.fromiter(map(self.known.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        place = self._places(keys)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            place[missing] = len(self.known) + np.arange(len(missing))
-            self._add(keys[missing].tolist(), *self._encode(data, start[first[missing]], end[first[missing]]))
+            place[missing] = self.size + np.arange(len(missing))
+            self._add(keys[missing], *self._encode(data, start[first[missing]], end[first[missing]]))
         at = place[which]
-        begin, count = self.begin[at], self.count[at]
-        ids = self.pool[expand(begin, begin + count)]
+        begin, count = self.begin[at].astype(np.int64), self.count[at].astype(np.int64)
+        ids = self.pool[expand(begin, begin + count)].astype(np.uint32)
         total = per_document(count, np.searchsorted(start, bounds, "left"))
         return ids, np.concatenate(([0], np.cumsum(total)))
 
@@ -111,8 +128,8 @@ class Encoder:
         begin[order] = upto - count
         return flat[expand(begin, begin + counts)], counts
 
-    def _add(self, keys: list[int], flat: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
+    def _add(self, keys: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = self.size
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         while n + len(keys) > len(self.begin):
@@ -121,7 +138,10 @@ class Encoder:
         self.begin[n : n + len(keys)] = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         self.count[n : n + len(keys)] = lengths
         self.used += len(flat)
-        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.size += len(keys)
+        self.known[1] = self._merged(self.known[1], (keys, np.arange(n, self.size, dtype=np.int32)))
+        if len(self.known[1][0]) > 100_000:
+            self.known = [self._merged(*self.known), (keys[:0], np.zeros(0, np.int32))]
 
 
 _ENCODERS: dict[str, Encoder] = {}

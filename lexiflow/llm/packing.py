@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .encode import encoder
 from .shared import shared_dir
-from .textops import U64, mix, ragged, slices
+from .textops import mix, ragged, released, slices, U64
 
 BUCKETS, AXES, AXIS_BITS = 64, 3, 16
 
@@ -73,13 +73,14 @@ def curve_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 PIECES = "curve long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+@released
 def _cut(vocabulary: str, end_id: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = None
     for batch in batches:
         coder = coder or encoder(vocabulary)
         data, bounds = ragged(batch.column(1))
         doc_ids = batch.column(0).to_pylist()
-        for i, j in slices(bounds, 2 << 20):
+        for i, j in slices(bounds):
             ids, ends = coder.ids(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             ends = ends[1:] + np.arange(1, j - i + 1)
             full = np.full(len(ids) + j - i, end_id, np.uint32)
@@ -125,6 +126,7 @@ class Bins:
                 self.rooms ^= 1 << room
 
 
+@released
 def _pack(size: int, block_pieces: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 

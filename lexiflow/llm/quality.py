@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .repeats import expand
 from .shared import shared_dir
-from .textops import BYTE_VALUE, SEPARATOR, Rolling, U64, Words, mix, per_document, ragged, slices
+from .textops import BYTE_VALUE, mix, per_document, ragged, released, Rolling, SEPARATOR, slices, U64, Words
 
 COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
@@ -77,6 +77,7 @@ def count_slice(data: np.ndarray, bounds: np.ndarray, window: int = 5) -> list[n
     return [n_words, word_chars, n_symbols, n_lines, n_dup_lines, per_document(np.cumsum(step[:-1]) > 0, w.first)]
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in COUNTS.split(", ")]
     for batch in batches:
@@ -96,6 +97,7 @@ def counts(docs: DataFrame, stratum: str = "lang", rows: bool = False) -> DataFr
     return found.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
+@released
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As _count, after the row itself (column 3)."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import BYTE_VALUE, Rolling, U64, Words, concat, groups, pack_ints, per_document, ragged, sliding_min, slices, unpack_ints
+from .textops import BYTE_VALUE, concat, groups, pack_ints, per_document, ragged, Rolling, slices, sliding_min, tidy, U64, unpack_ints, Words
 
 MESSAGE = "bucket long, chunk long, pass int, part long, a binary, b binary, c binary"
 NAMES = ["bucket", "chunk", "pass", "part", "a", "b", "c"]
@@ -341,19 +341,31 @@ def remove_repeats(docs: DataFrame, tokens: str, length: int, runs: bool, with_t
 
 
 def _request_first(plan, docs):
-    return request(plan, 1, docs)
+    try:
+        return request(plan, 1, docs)
+    finally:
+        tidy()
 
 
 def _request(plan, number, docs, told):
-    return request(plan, number, docs, told)
+    try:
+        return request(plan, number, docs, told)
+    finally:
+        tidy()
 
 
 def _answer(plan, number, asked):
-    return answer(plan, number, asked)
+    try:
+        return answer(plan, number, asked)
+    finally:
+        tidy()
 
 
 def _finish(plan, with_text, docs, told):
-    return finish(plan, with_text, docs, told)
+    try:
+        return finish(plan, with_text, docs, told)
+    finally:
+        tidy()
 
 
 def depth_passes(docs: DataFrame, length: int = 50, with_text: bool = False, **more) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .textops import U64, Words, groups, mix, ragged, slices
+from .textops import groups, mix, ragged, released, slices, tidy, U64, Words
 
 LANE_SEED = 0x9FB21C651E98DF25
 
@@ -59,10 +59,11 @@ def fingerprints(data: np.ndarray, bounds: np.ndarray, shingle: int, lanes: int,
     return out
 
 
+@released
 def _fingerprint(shingle: int, lanes: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = ragged(batch.column(1))
-        found = [fingerprints(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, lanes, seed) for i, j in slices(bounds)]
+        found = [fingerprints(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, lanes, seed) for i, j in slices(bounds, 1 << 19)]
         all_ = np.concatenate(found) if found else np.zeros((0, lanes), U64)
         yield pa.record_batch([batch.column(0), *(pa.array(all_[:, k].view(np.int64)) for k in range(lanes))], names=["doc_id", *(f"f{k}" for k in range(lanes))])
 
@@ -92,10 +93,11 @@ def postings(prints: np.ndarray, width: int | None, count: int) -> np.ndarray:
     return np.stack(out)
 
 
+@released
 def _post(width: int | None, count: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
+        for at in range(0, batch.num_rows, 5_000):
+            part = batch.slice(at, 5_000)
             prints = np.stack([c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns[1:]], axis=1)
             rep = part.column(0).to_numpy(zero_copy_only=False)
             keys = postings(prints, width, count)
@@ -201,4 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes:
 
 
 def _meet_bucket(distance, lanes, table):
-    return _meet(distance, lanes, table)
+    try:
+        return _meet(distance, lanes, table)
+    finally:
+        tidy()

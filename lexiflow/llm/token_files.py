@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .encode import encoder
 from .shared import file_system, new_folder
-from .textops import ragged, slices
+from .textops import ragged, released, slices
 
 MAGIC = b"LXT1"
 SAMPLE = 256
@@ -142,6 +142,7 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+@released
 def _write(folder: str, vocabulary: str, end_id: int, wide: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -152,7 +153,7 @@ def _write(folder: str, vocabulary: str, end_id: int, wide: bool, batches: Itera
         if writer is None:
             writer, coder = ShardWriter(folder, part, wide), encoder(vocabulary)
         data, bounds = ragged(batch.column(1))
-        for i, j in slices(bounds, 2 << 20):
+        for i, j in slices(bounds):
             ids, ends = coder.ids(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             ends = ends[1:] + np.arange(1, j - i + 1)
             full = np.full(len(ids) + j - i, end_id, np.uint32)
@@ -187,6 +188,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, folder:
     return spark.createDataFrame(rows, "folder string, name string, docs long, ids long, base long")
 
 
+@released
 def _read(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
