@@ -15,6 +15,10 @@ from lexiflow.llm.queries import vocabulary
 from lexiflow.llm.shared import new_folder
 
 
+#: Eight segments of 16 bits: a pair within 23 bits meets at a key for sure.
+NEAR = {"shingle": 5, "distance": 21, "lanes": 2, "segments": 8}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     set similarity of 0.8 differs in 19 of 128 bits on average, and a sampling
     error of 4.  Documents without doc_id stay.
     """
-    groups = simhash.near_duplicates(docs, shingle=5, distance=21, lanes=2, segments=4)
+    groups = simhash.near_duplicates(docs, **NEAR)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -11,8 +11,10 @@ posting between them; what meets is verified on complete distances.
   distinct fingerprints can meet at one key, however large a group of near
   copies is.  (Tables keyed by a bare segment make a square of pairs there.)
 * `segments` keys (wider fingerprints, larger distances): keyed by the segment
-  alone, whose width follows the number of fingerprints so that chance meetings
-  stay a few a document.  At one key, each is compared with the leaders found
+  alone.  S segments divide all bits, whatever the number of fingerprints: a pair
+  within 3 * S - 1 bits has a segment that differs in at most two, and surely
+  meets.  Chance meetings grow with the square of the number of fingerprints
+  (8 segments of 16 bits: a key gets 17 of 65,536 fingerprints).  At one key, each is compared with the leaders found
   so far, smallest doc_id first.
 
 Links are closed by star contraction on DataFrames with reliable checkpoints.
@@ -179,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes:
 
     Fingerprints link at `distance` or fewer differing bits.  segments None: 64
     bits and distance 2, exact.  Else that many segments, which find a pair if
-    one of them differs in at most two bits.  Null text and texts without words
+    one of them differs in at most two bits: always up to 3 * segments - 1.  Null text and texts without words
     have fingerprint zero and link like any other.  Rows without doc_id get the
     component of their fingerprint, null if no other row has it.
     """
@@ -192,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes:
     distinct = table.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
     known = distinct.where("rep IS NOT NULL").select("rep", *prints).checkpoint()
     n = known.count()
-    width = None if segments is None else min(64 * lanes // segments, 56, max(12, math.ceil(math.log2(max(2, n))) + 8))
+    width = None if segments is None else min(64 * lanes // segments, 56)
     posted = n * (65 if width is None else segments * (width + 1))
     bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)) if posted > 300_000 else 4)
     met = known.mapInArrow(partial(_post, width, segments or 1, bits), "bucket long, keys binary, reps binary, prints binary")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from lexiflow.llm import mixing
+from lexiflow.llm import mixing, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,3 +82,18 @@ def test_stages(spark, corpus, tmp_path):
 def test_run(spark, corpus):
     folder, _ = corpus
     assert {"doc_id", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, folder).columns)
+
+
+def test_near_candidates_miss_no_pair_at_the_distance(spark, monkeypatch):
+    """Fingerprints that differ in 21 random bits all link, with the pipeline's own segments."""
+    rng = random.Random(21)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for k in range(300):
+        a = rng.getrandbits(128)
+        b = a ^ sum(1 << x for x in rng.sample(range(128), 21))
+        rows += [(2 * k + i, signed(p & (1 << 64) - 1), signed(p >> 64)) for i, p in enumerate((a, b))]
+    table = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_, **__: table)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, **getattr(corpus_pipeline, "NEAR", {"distance": 21, "lanes": 2, "segments": 4})).collect()}
+    assert found == {k: k // 2 * 2 for k in range(600)}
