@@ -14,8 +14,10 @@ posting between them; what meets is verified on complete distances.
   alone.  S segments divide all bits, whatever the number of fingerprints: a pair
   within 3 * S - 1 bits has a segment that differs in at most two, and surely
   meets.  Chance meetings grow with the square of the number of fingerprints
-  (8 segments of 16 bits: a key gets 17 of 65,536 fingerprints).  At one key, each is compared with the leaders found
-  so far, smallest doc_id first.
+  (8 segments of 16 bits: a key gets 17 of 65,536 fingerprints).  Groups of near
+  copies are contracted first, on leaders at keys without balls; then all entries
+  of a key that are in different groups so far are compared, so no link between
+  groups is lost, and a large group of near copies makes no square of links.
 
 Links are closed by star contraction on DataFrames with reliable checkpoints.
 """
@@ -84,25 +86,25 @@ def segment_values(prints: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.stack([(bits[:, s * width : (s + 1) * width].astype(U64) * weight).sum(axis=1, dtype=U64) for s in range(count)])
 
 
-def postings(prints: np.ndarray, width: int | None, count: int) -> np.ndarray:
-    """(keys a fingerprint, n) of 64-bit keys; width None: whole keys."""
+def postings(prints: np.ndarray, width: int | None, count: int, ball: bool = True) -> np.ndarray:
+    """(keys a fingerprint, n) of 64-bit keys; width None: whole keys; without ball: of the segments as they are."""
     if width is None:
         own = prints[:, 0]
         return np.stack([own, *(own ^ (U64(1) << U64(b)) for b in range(64))])
     out = []
     for s, value in enumerate(segment_values(prints, width, count)):
-        out += [(v << U64(4)) | U64(s) for v in (value, *(value ^ (U64(1) << U64(b)) for b in range(width)))]
+        out += [(v << U64(4)) | U64(s) for v in (value, *(value ^ (U64(1) << U64(b)) for b in range(width if ball else 0)))]
     return np.stack(out)
 
 
 @released
-def _post(width: int | None, count: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(width: int | None, count: int, ball: bool, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 5_000):
             part = batch.slice(at, 5_000)
-            prints = np.stack([c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns[1:]], axis=1)
-            rep = part.column(0).to_numpy(zero_copy_only=False)
-            keys = postings(prints, width, count)
+            prints = np.stack([c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns[2:]], axis=1)
+            rep, label = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            keys = postings(prints, width, count, ball)
             key, who = mix(keys.ravel()), np.tile(np.arange(len(rep)), len(keys))
             order = np.argsort(key)
             key, who = key[order], who[order]
@@ -115,37 +117,95 @@ def _post(width: int | None, count: int, bits: int, batches: Iterator[pa.RecordB
                     pa.array(bucket[start]),
                     pa.array([key[a:b].tobytes() for a, b in zip(start, end)], pa.binary()),
                     pa.array([rep[who[a:b]].tobytes() for a, b in zip(start, end)], pa.binary()),
+                    pa.array([None if lanes is None else label[who[a:b]].tobytes() for a, b in zip(start, end)], pa.binary()),
                     pa.array([None if lanes is None else lanes[a:b].tobytes() for a, b in zip(start, end)], pa.binary()),
                 ],
-                names=["bucket", "keys", "reps", "prints"],
+                names=["bucket", "keys", "reps", "labels", "prints"],
             )
 
 
-def _meet(distance: int, lanes: int, table: pa.Table) -> pa.Table:
-    """Links (node, other) of what meets at the keys of a bucket; other is the smaller."""
-    key = np.concatenate([np.frombuffer(x, U64) for x in table["keys"].to_pylist()])
-    rep = np.concatenate([np.frombuffer(x, np.int64) for x in table["reps"].to_pylist()])
-    prints = None if table["prints"][0].as_py() is None else np.concatenate([np.frombuffer(x, U64) for x in table["prints"].to_pylist()]).reshape(-1, lanes)
-    order = np.lexsort((rep, key))
-    key, rep = key[order], rep[order]
+def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all entries of the same key and different labels within the distance; entries are in order of key and label."""
+    start = groups(key)
+    end = np.append(start[1:], len(key))
+    last = np.repeat(end, end - start)
+    run = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
+    after = np.append(run[1:], len(key))
+    after = np.repeat(after, after - run)  # entry i is compared with after[i]:last[i]
+    many = last - after > 64
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    i, step = np.flatnonzero((after < last) & ~many), 0
+    while len(i):
+        j = after[i] + step
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= distance
+        found.append((i[near], j[near]))
+        step += 1
+        i = i[after[i] + step < last[i]]
+    # entries that have many to meet are the first ones of their key
+    lanes = [np.ascontiguousarray(lane) for lane in prints.T]
+    kind = np.uint8 if len(lanes) < 4 else np.uint16
+    first = np.flatnonzero(many & np.concatenate(([True], ~many[:-1] | (key[1:] != key[:-1])))) if len(key) else start
+    for a in first.tolist():
+        n = int(many[a : last[a]].sum())
+        for r in range(a, a + n, 128):
+            rows = slice(r, min(r + 128, a + n))
+            for c in range(int(after[r]), int(last[a]), 1024):
+                columns = slice(c, min(c + 1024, int(last[a])))
+                apart = np.zeros((rows.stop - rows.start, columns.stop - columns.start), kind)
+                for lane in lanes:
+                    apart += np.bitwise_count(lane[rows, None] ^ lane[columns])
+                i, j = np.nonzero(apart <= distance)
+                i, j = i + r, j + c
+                own = j >= after[i]
+                found.append((i[own], j[own]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _meet(distance: int, lanes: int, leaders: bool, by_label: bool, table: pa.Table) -> pa.Table:
+    """Links (node, other) of what meets at the keys of a bucket; other is the smaller.
+
+    leaders: each entry is compared with the leaders found so far at its key, else
+    with all of other labels; by_label: links are those of the labels.
+    """
+    whole = table["prints"][0].as_py() is None
+
+    def column(name, dtype):
+        return np.concatenate([np.frombuffer(x, dtype) for x in table[name].to_pylist()])
+
+    key, rep = column("keys", U64), column("reps", np.int64)
+    label = rep if whole else column("labels", np.int64)
+    order = np.lexsort((rep, label, key))
+    key, rep, label = key[order], rep[order], label[order]
     start = groups(key)
     size = np.diff(np.append(start, len(key)))
     links: list[np.ndarray] = []
-    if prints is None:
+    if whole:
         least = np.repeat(rep[start], size)
         links.append(np.stack((rep, least), axis=1)[rep != least])
     else:
-        prints = prints[order]
-        for a, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-            left = np.arange(a, a + n)
-            while len(left) > 1:
-                near = np.bitwise_count(prints[left] ^ prints[left[0]]).sum(axis=1) <= distance
-                links.append(np.stack((rep[left[near][1:]], np.full(int(near.sum()) - 1, rep[left[0]])), axis=1))
-                left = left[~near]
+        prints = column("prints", U64).reshape(-1, lanes)[order]
+        if leaders:
+            for a, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+                left = np.arange(a, a + n)
+                while len(left) > 1:
+                    near = np.bitwise_count(prints[left] ^ prints[left[0]]).sum(axis=1) <= distance
+                    links.append(np.stack((rep[left[near][1:]], np.full(int(near.sum()) - 1, rep[left[0]])), axis=1))
+                    left = left[~near]
+        else:
+            name = label if by_label else rep
+            links.append(np.sort(np.stack([name[x] for x in _across(key, label, prints, distance)], axis=1), axis=1)[:, ::-1])
     found = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
     return pa.table({"node": found[:, 0], "other": found[:, 1]})
 
 
+def _met(known: DataFrame, n: int, prints: list[str], distance: int, width: int | None, segments: int, ball: bool = True, by_label: bool = True) -> DataFrame:
+    """links(node, other) of known(rep, label, f0..)."""
+    posted = n * (65 if width is None else segments * (width + 1 if ball else 1))
+    bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)) if posted > 300_000 else 4)
+    met = known.select("rep", "label", *prints).mapInArrow(partial(_post, width, segments, ball, bits), "bucket long, keys binary, reps binary, labels binary, prints binary")
+    return met.groupBy("bucket").applyInArrow(partial(_meet_bucket, distance, len(prints), not ball, by_label), "node long, other long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes in links(node, other): the smallest node reachable.
 
@@ -194,18 +254,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes:
     distinct = table.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
     known = distinct.where("rep IS NOT NULL").select("rep", *prints).checkpoint()
     n = known.count()
-    width = None if segments is None else min(64 * lanes // segments, 56)
-    posted = n * (65 if width is None else segments * (width + 1))
-    bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)) if posted > 300_000 else 4)
-    met = known.mapInArrow(partial(_post, width, segments or 1, bits), "bucket long, keys binary, reps binary, prints binary")
-    links = met.groupBy("bucket").applyInArrow(partial(_meet_bucket, distance, lanes), "node long, other long")
-    closed = components(links)
+    own = known.withColumn("label", F.col("rep"))
+    if segments is None:
+        closed = components(_met(own, n, prints, distance, None, 1))
+    else:
+        width = min(64 * lanes // segments, 56)
+        # most of a large group is contracted on few comparisons, at half the distance
+        closed = components(_met(own, n, prints, distance // 2, width, segments, ball=False))
+        labelled = known.join(closed, known.rep == closed.node, "left").select("rep", *prints, F.coalesce("component", "rep").alias("label"))
+        closed = components(closed.select("node", F.col("component").alias("other")).union(_met(labelled, n, prints, distance, width, segments)))
     named = distinct.join(closed, distinct.rep == closed.node, "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
     return table.join(named, prints).select("doc_id", *prints, "component_id")
 
 
-def _meet_bucket(distance, lanes, table):
+def _meet_bucket(distance, lanes, leaders, by_label, table):
     try:
-        return _meet(distance, lanes, table)
+        return _meet(distance, lanes, leaders, by_label, table)
     finally:
         tidy()

@@ -97,3 +97,27 @@ def test_near_candidates_miss_no_pair_at_the_distance(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprint_table", lambda *_, **__: table)
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, **getattr(corpus_pipeline, "NEAR", {"distance": 21, "lanes": 2, "segments": 4})).collect()}
     assert found == {k: k // 2 * 2 for k in range(600)}
+
+
+def test_near_links_are_not_shadowed(spark, monkeypatch):
+    """A-B and B-C are near, A-C is not, and A has every key at which B and C meet: they are one group."""
+    table = spark.createDataFrame([(0, 0, 0), (1, 0x003F003F, 0), (2, 0x0FFF0FFF, 0), (3, -1, -1)], "doc_id long, f0 long, f1 long")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_, **__: table)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, distance=12, lanes=2, segments=8).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_all_pairs_of_a_key_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 4, 700).astype(np.uint64))
+    key[:300] = 0
+    label = rng.integers(0, 90, len(key))
+    order = np.lexsort((label, key))
+    key, label = key[order], label[order]
+    prints = rng.integers(0, 1 << 63, (len(key), 2), dtype=np.uint64)
+    i, j = simhash._across(key, label, prints, 60)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    want = np.argwhere((key[:, None] == key) & (label[:, None] != label) & (apart <= 60))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a, b in want.tolist() if a < b]
