@@ -15,8 +15,9 @@ from lexiflow.llm.queries import vocabulary
 from lexiflow.llm.shared import new_folder
 
 
-#: Eight segments of 16 bits: a pair within 23 bits meets at a key for sure.
-NEAR = {"shingle": 5, "distance": 21, "lanes": 2, "segments": 8}
+#: Eight segments of 16 bits: a pair within 23 bits meets at a key for sure.  A set
+#: similarity of 0.8 differs in 19 of 128 bits with a deviation of 4; 32 is three deviations.
+NEAR = {"shingle": 5, "distance": 32, "lanes": 2, "segments": 8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies.
 
-    Shingles of five words; fingerprints of 128 bits link at 21 bits or fewer.  A
-    set similarity of 0.8 differs in 19 of 128 bits on average, and a sampling
-    error of 4.  Documents without doc_id stay.
+    Sets of five-word shingles; fingerprints of 128 bits within 32 bits are
+    candidates, and link if the sets have a Jaccard similarity of 0.8 or more.
+    Documents without doc_id stay.
     """
-    groups = simhash.near_duplicates(docs, **NEAR)
+    groups = simhash.near_duplicates(docs, **NEAR, similarity=0.8)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

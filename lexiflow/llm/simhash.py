@@ -39,8 +39,8 @@ from .textops import groups, mix, ragged, released, slices, tidy, U64, Words
 LANE_SEED = 0x9FB21C651E98DF25
 
 
-def fingerprints(data: np.ndarray, bounds: np.ndarray, shingle: int, lanes: int, seed: int) -> np.ndarray:
-    """(documents, lanes) of 64-bit fingerprints; zero where there is no word."""
+def shingle_hashes(data: np.ndarray, bounds: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds of each document's hashes), one for each shingle; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     w = Words(data, bounds, lower=True)
@@ -51,7 +51,22 @@ def fingerprints(data: np.ndarray, bounds: np.ndarray, shingle: int, lanes: int,
     at = np.arange(first[-1]) - first[doc] + w.first[doc]
     last = np.minimum(at + shingle, w.first[doc + 1]) - 1 if len(doc) else at
     raw = w.text.tobytes()
-    h = np.array([xxh64_intdigest(raw[a:b], seed) for a, b in zip(w.start[at].tolist(), w.end[last].tolist())], U64)
+    return np.array([xxh64_intdigest(raw[a:b], seed) for a, b in zip(w.start[at].tolist(), w.end[last].tolist())], U64), first
+
+
+def shingle_sets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without repeats within a document, in order."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=len(first) - 1))))
+
+
+def fingerprints(h: np.ndarray, first: np.ndarray, lanes: int) -> np.ndarray:
+    """(documents, lanes) of 64-bit fingerprints; zero where there is no word."""
+    n = np.diff(first)
     out = np.zeros((len(n), lanes), U64)
     full = np.flatnonzero(n)
     for lane in range(lanes):
@@ -63,19 +78,63 @@ def fingerprints(data: np.ndarray, bounds: np.ndarray, shingle: int, lanes: int,
     return out
 
 
+def set_digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits of each document's set of shingles; zero where there is none."""
+    out = np.zeros(len(first) - 1, U64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(h), first[:-1][full], dtype=U64) ^ np.diff(first)[full].astype(U64))
+    return out
+
+
+@released
+def _fingerprint(shingle: int, lanes: int, seed: int, sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f"f{k}" for k in range(lanes)] + ["digest"] * sets
+    for batch in batches:
+        data, bounds = ragged(batch.column(1))
+        found = [np.zeros((0, len(names)), U64)]
+        for i, j in slices(bounds, 1 << 19):
+            h, first = shingle_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, seed)
+            if sets:
+                h, first = shingle_sets(h, first)
+            prints = fingerprints(h, first, lanes)
+            found.append(np.column_stack((prints, set_digests(h, first))) if sets else prints)
+        all_ = np.concatenate(found)
+        yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in all_.T)], names=["doc_id", *names])
+
+
+def fingerprint_table(docs: DataFrame, shingle: int = 3, lanes: int = 1, seed: int = 42, sets: bool = False) -> DataFrame:
+    """doc_id and f0.. (64 bits each) of every row.  Null text: no words, zero.
+
+    sets: each different shingle votes once, and a column `digest` tells sets apart.
+    """
+    schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", digest long" * sets
+    return _texts(docs).mapInArrow(partial(_fingerprint, shingle, lanes, seed, sets), schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 @released
-def _fingerprint(shingle: int, lanes: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = ragged(batch.column(1))
-        found = [fingerprints(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, lanes, seed) for i, j in slices(bounds, 1 << 19)]
-        all_ = np.concatenate(found) if found else np.zeros((0, lanes), U64)
-        yield pa.record_batch([batch.column(0), *(pa.array(all_[:, k].view(np.int64)) for k in range(lanes))], names=["doc_id", *(f"f{k}" for k in range(lanes))])
+        for i, j in slices(bounds, 1 << 19):
+            h, first = shingle_sets(*shingle_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, seed))
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "shingles"])
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = 3, lanes: int = 1, seed: int = 42) -> DataFrame:
-    """doc_id and f0.. (64 bits each) of every row.  Null text: no words, zero."""
-    schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_fingerprint, shingle, lanes, seed), schema)
+def similar(docs: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """Those of links(node, other) whose texts have sets of shingles of that Jaccard similarity or more."""
+    links = links.distinct().checkpoint()
+    ends = links.select(F.explode(F.array("node", "other")).alias("doc_id")).distinct()
+    sets = _texts(docs).join(ends, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle, seed), "doc_id long, shingles array<long>").checkpoint()
+    one = sets.select(F.col("doc_id").alias("node"), F.col("shingles").alias("a"))
+    two = sets.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    enough = both + F.lit(1e-9) >= F.lit(similarity) * (F.size("a") + F.size("b") - both)
+    return links.join(one, "node").join(two, "other").where(enough).select("node", "other").distinct().checkpoint()
 
 
 def segment_values(prints: np.ndarray, width: int, count: int) -> np.ndarray:
@@ -236,22 +295,27 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"links were not closed in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes: int = 1, segments: int | None = None, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes: int = 1, segments: int | None = None, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """Per row of docs: doc_id, f0.., component_id (smallest doc_id reachable over links).
 
     Fingerprints link at `distance` or fewer differing bits.  segments None: 64
     bits and distance 2, exact.  Else that many segments, which find a pair if
-    one of them differs in at most two bits: always up to 3 * segments - 1.  Null text and texts without words
+    one of them differs in at most two bits: always up to 3 * segments - 1.
+    similarity (with segments): only texts link whose sets of shingles have that
+    Jaccard similarity or more, also where fingerprints are equal; these are then
+    of the sets, and doc_id is unique (rows with the same one link together).  Null text and texts without words
     have fingerprint zero and link like any other.  Rows without doc_id get the
     component of their fingerprint, null if no other row has it.
     """
-    if segments is None and (lanes, distance) != (1, 2):
-        raise ValueError("without segments: one lane and distance 2")
+    if segments is None and (lanes, distance, similarity) != (1, 2, None):
+        raise ValueError("without segments: one lane, distance 2 and no similarity")
     spark = docs.sparkSession
     shared_dir(spark)
     prints = [f"f{k}" for k in range(lanes)]
-    table = fingerprint_table(docs, shingle, lanes, seed).checkpoint()
-    distinct = table.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
+    sets = similarity is not None
+    table = fingerprint_table(docs, shingle, lanes, seed, **{"sets": True} if sets else {}).checkpoint()
+    own_set = prints + ["digest"] * sets
+    distinct = table.groupBy(*own_set).agg(F.min("doc_id").alias("rep"))
     known = distinct.where("rep IS NOT NULL").select("rep", *prints).checkpoint()
     n = known.count()
     own = known.withColumn("label", F.col("rep"))
@@ -259,12 +323,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes:
         closed = components(_met(own, n, prints, distance, None, 1))
     else:
         width = min(64 * lanes // segments, 56)
+        keep = (lambda links: similar(docs, links, shingle, seed, similarity)) if sets else (lambda links: links)
         # most of a large group is contracted on few comparisons, at half the distance
-        closed = components(_met(own, n, prints, distance // 2, width, segments, ball=False))
+        closed = components(keep(_met(own, n, prints, distance // 2, width, segments, ball=False)))
         labelled = known.join(closed, known.rep == closed.node, "left").select("rep", *prints, F.coalesce("component", "rep").alias("label"))
-        closed = components(closed.select("node", F.col("component").alias("other")).union(_met(labelled, n, prints, distance, width, segments)))
-    named = distinct.join(closed, distinct.rep == closed.node, "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
-    return table.join(named, prints).select("doc_id", *prints, "component_id")
+        rest = keep(_met(labelled, n, prints, distance, width, segments, by_label=not sets))
+        closed = components(closed.select("node", F.col("component").alias("other")).union(rest))
+    named = distinct.join(closed, distinct.rep == closed.node, "left").select(*own_set, F.coalesce("component", "rep").alias("component_id"))
+    return table.join(named, own_set).select("doc_id", *prints, "component_id")
 
 
 def _meet_bucket(distance, lanes, leaders, by_label, table):

@@ -121,3 +121,22 @@ def test_all_pairs_of_a_key_meet():
     apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     want = np.argwhere((key[:, None] == key) & (label[:, None] != label) & (apart <= 60))
     assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a, b in want.tolist() if a < b]
+
+
+def test_near_links_are_those_of_the_shingle_sets(spark):
+    """Of pairs around a similarity of 0.8, those at 0.8 or more go and no other, whatever repeats in them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = []
+    for k in range(120):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base), " ".join(base[: 200 - k % 40 - 5] + [word() for _ in range(k % 40 + 5)])]
+    said = " ".join(word() for _ in range(6)) + " "
+    texts += [" ".join(word() for _ in range(30)) + " " + said * 60 for _ in range(2)]  # one fingerprint of all shingles, other sets
+    similar = lambda a, b: len(a & b) / len(a | b)
+    want = [2 * k + 1 for k in range(len(texts) // 2) if similar(shingles(texts[2 * k]), shingles(texts[2 * k + 1])) >= 0.8]
+    assert 20 < len(want) < 100
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    left = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert sorted(set(range(len(texts))) - left) == want
