@@ -509,8 +509,8 @@ def reader_typography(spark, d):
     return domain.segments(spark, d).select("segment_id", typography("text").alias("text"))
 
 
-def _edition(spark, d, content):
-    rows = domain.segments(spark, d).select("document", "section_id", "ordinal", "raw", F.lit("paragraph").alias("kind"), F.replace("raw", F.lit("e"), F.lit("E")).alias("output")).where("length(raw) > 80")
+def _edition(spark, d, content, kept="length(raw) > 80"):
+    rows = domain.segments(spark, d).select("document", "section_id", "ordinal", "raw", F.lit("paragraph").alias("kind"), F.replace("raw", F.lit("e"), F.lit("E")).alias("output")).where(kept)
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.concat(F.lit("Section "), F.col("doc_id")).alias("title"), F.lit(2).alias("level"), F.concat(F.lit("Teil "), F.col("doc_id")).alias("translated_title"))
     blocks = render.rendered_blocks(rows, titles, content, typeset=False)
     return render.render(blocks, "section_id").select("section_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"), F.length("markdown").alias("chars"))
@@ -535,6 +535,17 @@ def bilingual_render(spark, d):
     return _edition(spark, d, "bilingual")
 
 
+@query()
+def render_markdown_whole(spark, d):
+    """Editions of all lines, subheadings included."""
+    return _edition(spark, d, "translated", "true")
+
+
+@query()
+def bilingual_render_whole(spark, d):
+    return _edition(spark, d, "bilingual", "true")
+
+
 # -- administration --------------------------------------------------------------------------------------
 @query(with_tables("lines", "segments", body="""
     , t AS (SELECT document, count(DISTINCT section_id) AS sections, count(*) AS segments, count(DISTINCT (section_id, in_section // 3)) AS units,
