@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import row_hash, shared_dir, unused
 
 BLANK = " \t\r\x0b\x0c"
 KEY = ["h1", "h2"]
@@ -53,20 +53,24 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, site: str = "source") -> Da
 
     Lines are split at line feeds and compared without blanks at their ends;
     blank ones stay.  Null text stays null; a null site is one site.  A document
-    without doc_id is never the first that has a line.  All other columns stay,
-    but _lines and _removed are replaced.
+    without doc_id is never the first that has a line.  Equal rows (repeated
+    ones) are treated alike, rows of one doc_id and other columns each by its own
+    text.  All other columns stay, whatever their names, but _lines and _removed
+    are replaced.  An empty table has no rows.
     """
     shared_dir(docs.sparkSession)
-    table = docs.withColumn("__row", F.xxhash64("text"))
-    slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row_key"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"), "text")
+    doc, row, key, gone_at, parts = unused(docs, "doc", "row", "key", "gone", "parts")
+    table = docs.withColumn(row, row_hash(docs))
+    slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row_key"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"), F.col("text").cast("string").alias("text"))
     found = boilerplate(slim, min_sites)
     gone = salted(_lines(slim), found).where("first_doc IS NULL OR doc_id IS NULL OR doc_id <> first_doc")
-    gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).agg(F.collect_set("pos").alias("__gone"))
-    split = table.withColumn("__parts", F.split("text", "\n", -1)).drop("text")
-    met = split.join(gone, split.doc_id.cast("long").eqNullSafe(gone["__doc"]) & split["__row"].eqNullSafe(gone["__key"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
-    kept = F.when(F.col("__gone").isNull(), F.col("__parts")).otherwise(F.transform(left, lambda i: F.get("__parts", i)))
+    gone = gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias(doc), F.col("row_key").alias(key)).agg(F.collect_set("pos").alias(gone_at))
+    split = table.withColumn(parts, F.split(F.col("text").cast("string"), "\n", -1)).drop("text")
+    same = (F.coalesce(split.doc_id.cast("long"), F.lit(0)) == gone[doc]) & (split[row] == gone[key])
+    met = split.join(gone, same, "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_at)
+    kept = F.when(F.col(gone_at).isNull(), F.col(parts)).otherwise(F.transform(left, lambda i: F.get(parts, i)))
     met = met.withColumn("text", F.array_join(kept, "\n"))
-    content = F.size(F.filter("__parts", lambda x: F.btrim(x, F.lit(BLANK)) != ""))
-    counts = [F.greatest(content, F.lit(0)).cast("long").alias("_lines"), F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("_removed")]
+    content = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+    counts = [F.greatest(content, F.lit(0)).cast("long").alias("_lines"), F.greatest(F.size(gone_at), F.lit(0)).cast("long").alias("_removed")]
     return met.select(*[c for c in docs.columns if c not in ("_lines", "_removed")], *counts)

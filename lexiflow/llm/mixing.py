@@ -3,45 +3,35 @@
 Sources get targets by weight, none above a multiple of its size.  Within a
 source every document expects target / size copies; along the source's order
 these are summed, one random offset is added, and a document is emitted once
-for each integer boundary that its share crosses.  The order is by size (in
-classes a quarter of an octave wide, then by salt, size and doc_id), so that
-what a source takes stays within about its largest document of the target.
+for each integer boundary that the sum crosses.
 
-The prefix sum is a rank times the expected copies, and the rank is counted in
-blocks: no source is ever one task's.
+The order is by size: classes of sizes within a sixteenth of an octave, the
+largest first.  What a class leaves of a copy is carried to the next class in
+words, so that a source's taken words stay near its target whatever the sizes.
+A class is summed up before its documents are ranked (a fold over a source's few
+hundred classes), and ranked in SALTS parts by a hash of the doc_id: no source
+and no class is ever one task's, and the parts don't depend on the table's size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import row_hash, shared_dir, unused
 
-#: Parts that a source's rows are dealt to when they meet its target.
-SPREAD = 64
+#: Parts that a class's rows are ranked in.
+SALTS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 20_000, seed: str = "mix") -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, copies, taken, source, and row_key (a hash of its text).
+def _hex(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
-    Sources in order (null last) weigh `weights` by turns and share `share`
-    times all words; a target stops at `most` times its source, the excess is
-    shared again by weight.  Null text: size 0.  Runs agree.
-    """
-    shared_dir(docs.sparkSession)
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("text").alias("row_key"),
-    ).checkpoint()
-    named = sized.withColumn("site", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
 
-    # targets: one row a source
+def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """target of each row of sources(site, source, source_size)."""
     every, turn = Window.orderBy(F.col("source").isNull(), "source"), F.array(*map(F.lit, weights))
-    sources = named.groupBy("site", "source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     sources = sources.withColumn("weight", F.element_at(turn, ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int")).cast("double"))
     sources = sources.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
     before = Window.orderBy("ratio", "site").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,32 +40,76 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     sources = sources.withColumn("all_size", F.sum("source_size").over(whole))
     sources = sources.withColumn("level", (F.col("all_size") * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
     sources = sources.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "site", "level"))).over(whole)["level"])
-    sources = sources.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")))
-    sources = sources.withColumn("blocks", F.ceil(F.col("docs") / F.lit(block)).cast("long"))
-
-    # blocks: the salt needs the number of blocks of the source
-    per_source = sources.select(F.col("site").alias("of"), "blocks", "source_size", "target")
-    bits = F.length(F.bin("size"))
-    classed = named.withColumn("class", bits * 4 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0)) & 3")).withColumn("hashed", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long"))
-    # a source's rows are dealt to SPREAD parts, and its row is copied to each
-    copied = per_source.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).withColumnRenamed("of", "site")
-    salted = classed.withColumn("part", (F.col("hashed") % SPREAD).cast("int")).join(copied, ["site", "part"]).drop("part")
-    salted = salted.withColumn("salt", F.floor(F.col("hashed") / SPREAD).cast("long") % F.col("blocks"))
-    key = ["site", "class", "salt"]
-    counted = salted.groupBy(*key).agg(F.count("*").alias("n"))
-    ahead = counted.withColumn("ahead", F.sum("n").over(Window.partitionBy("site").orderBy(F.desc("class"), "salt")) - F.col("n")).drop("n")
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("size"), "doc_id"))).join(ahead, key)
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "site").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return sources.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")))
+
+
+def _copies_of_classes(classes: DataFrame, most: int, seed: str) -> DataFrame:
+    """(site, class, docs, take): the copies that each class takes, from classes(site, class, docs, words, target, source_size)."""
+    listed = classes.groupBy("site", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("place"), "docs", "words"))).alias("list"))
     expects = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    upto = F.floor(expects * (F.col("ahead") + F.col("rank")) + start)
-    copies = F.least(upto - F.floor(expects * (F.col("ahead") + F.col("rank") - 1) + start), F.lit(most).cast("long"))
-    return ranked.withColumn("copies", copies).select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    offset = _hex(F.concat(F.lit(seed), "site"), 8).cast("double") / F.lit(4294967296.0)
+    none = F.expr("cast(array() as array<struct<place:int,docs:bigint,take:bigint>>)")
+
+    def step(state: Column, c: Column) -> Column:
+        mean = c["words"] / c["docs"]
+        # what earlier classes left over, or took too much, is worth so many copies of this size
+        due = F.col("expects") * c["docs"] + F.when(mean > 0, state["left"] / mean).otherwise(F.lit(0.0))
+        take = F.least(F.greatest(F.floor(due + F.col("offset")), F.lit(0)), F.lit(most) * c["docs"])
+        done = F.struct(c["place"].alias("place"), c["docs"].alias("docs"), take.alias("take"))
+        return F.struct(((due - take) * mean).alias("left"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    start = F.struct(F.lit(0.0).alias("left"), none.alias("done"))
+    folded = listed.withColumn("expects", expects).withColumn("offset", offset).withColumn("done", F.aggregate("list", start, step)["done"])
+    return folded.select("site", F.inline("done")).select("site", (-F.col("place")).alias("class"), "docs", "take")
+
 
+def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
+    """sized(doc_id, source, size, row_key) with source_size, target, copies and taken."""
+    named = sized.withColumn("site", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    octave = "length(bin(size))"
+    named = named.withColumn("class", F.expr(f"if(size = 0, 0, {octave} * 16 + cast(shiftright(size * 16, {octave} - 1) & 15 AS int))"))
+    counted = named.groupBy("site", "source", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
+    sources = _targets(counted.groupBy("site", "source").agg(F.sum("words").alias("source_size")), weights, share, most).select("site", "source_size", "target")
+    taking = _copies_of_classes(counted.join(sources, "site"), most, seed)
+
+    # ranks within a class: by salt, then in order within the salt
+    salted = named.withColumn("salt", F.coalesce(_hex(F.col("doc_id").cast("string"), 7), F.col("row_key")).bitwiseAND(F.lit(SALTS - 1)))
+    key = ["site", "class", "salt"]
+    ahead = salted.groupBy(*key).agg(F.count("*").alias("n"))
+    ahead = ahead.withColumn("ahead", F.sum("n").over(Window.partitionBy("site", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    ahead = ahead.join(taking, ["site", "class"]).join(sources, "site")
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("size"), "doc_id", "row_key"))).join(ahead, key)
+    place = F.col("ahead") + F.col("rank")
+    copies = F.expr("(take * (ahead + rank)) div docs - (take * (ahead + rank - 1)) div docs")
+    return ranked.withColumn("place", place).withColumn("copies", copies).select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, copies, taken, source, and row_key (a hash of all its columns).
+
+    Sources in order (null last) weigh `weights` by turns and share `share`
+    times all words; a target stops at `most` times its source, the excess is
+    shared again by weight.  Null text: size 0, and copies like any other (in a
+    source without words none).  Rows of one doc_id and size are in the order of
+    row_key, so runs agree; only equal rows are interchangeable.  Null doc_ids
+    are dealt by row_key.  Other columns count in row_key alone.  An empty table has
+    no rows.
+    """
+    shared_dir(docs.sparkSession)
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        row_hash(docs).alias("row_key"),
+    ).checkpoint()
+    return _mixed(sized, weights, share, most, seed)
 
 
 def emit(docs: DataFrame, **more) -> DataFrame:
-    """docs with each row as often as mix() takes it; equal rows of one doc_id are emitted together."""
-    table = docs.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"])
-    taken = mix(docs, **more).groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__row")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    met = table.join(taken, table.doc_id.cast("long").eqNullSafe(taken["__doc"]) & (table["__key"] == taken["__row"]))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """docs with each row as often as mix() takes it, all columns as they are; of equal rows any is as good."""
+    a, b, n, taken, copy = unused(docs, "id_key", "row_key", "number", "copies", "copy")
+    # equal rows are numbered, and the first of them is emitted for all
+    total = mix(docs, **more).groupBy(F.coalesce(F.col("doc_id"), F.lit(0)).alias(a), F.col("row_key").alias(b)).agg(F.sum("copies").alias(taken)).where(F.col(taken) > 0)
+    keyed = docs.withColumn(a, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(b, row_hash(docs))
+    met = keyed.join(total, [a, b]).withColumn(n, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(0)))).where(F.col(n) == 1)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(taken).cast("int")))).select(*docs.columns)

@@ -2,8 +2,9 @@
 
 Each document's token counts are hashed into a vector and projected to three
 dimensions; the Hilbert key of that point orders the documents.  A document is
-cut into full sequences and a rest; rests that are near on the curve are packed
-by best fit, in blocks of the ordered stream.
+cut into full sequences and a rest.  Along the curve each rest goes to the open
+sequence that it fills best; only the sequences begun last stay open, so what
+is packed together lies near on the curve.
 """
 
 from __future__ import annotations
@@ -81,12 +82,7 @@ def _cut(vocabulary: str, end_id: int, size: int, batches: Iterator[pa.RecordBat
         data, bounds = ragged(batch.column(1))
         doc_ids = batch.column(0).to_pylist()
         for i, j in slices(bounds):
-            ids, ends = coder.ids(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            ends = ends[1:] + np.arange(1, j - i + 1)
-            full = np.full(len(ids) + j - i, end_id, np.uint32)
-            body = np.ones(len(full), bool)
-            body[ends - 1] = False
-            full[body] = ids
+            full, ends = coder.documents(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], end_id)
             keys, raw, rows = curve_keys(full, ends).tolist(), memoryview(full.astype("<u4").tobytes()), []
             begin = 0
             for k, end in enumerate(ends.tolist()):
@@ -98,73 +94,60 @@ def _cut(vocabulary: str, end_id: int, size: int, batches: Iterator[pa.RecordBat
 
 
 class Bins:
-    """Open sequences by room left; the fullest that fits is found by bit tricks."""
-
-    def __init__(self, size: int):
-        self.size, self.rooms, self.by_room, self.next = size, 0, [[] for _ in range(size + 1)], 0
-
-    def put(self, length: int, block: int) -> tuple[int, int]:
-        fits = self.rooms >> length
-        if fits:
-            room = length + ((fits & -fits).bit_length() - 1)
-            number, _ = self.by_room[room].pop()
-            if not self.by_room[room]:
+    """Open sequences by room left, the `most` begun last; the fullest that fits is found by bit tricks."""
+
+    def __init__(self, size: int, most: int):
+        self.size, self.most = size, most
+        self.rooms, self.by_room, self.left, self.next = 0, [[] for _ in range(size + 1)], {}, 0
+
+    def put(self, length: int) -> tuple[int, int]:
+        """(number of the sequence, place in it)."""
+        room, number = self.size, -1
+        while number < 0 and (fits := self.rooms >> length):
+            room = length + (fits & -fits).bit_length() - 1
+            stack = self.by_room[room]
+            while stack and number < 0:
+                if self.left.get(stack[-1]) == room:
+                    number = stack[-1]
+                stack.pop()  # taken, or closed meanwhile
+            if not stack:
                 self.rooms ^= 1 << room
-        else:
+        if number < 0:
             room, number = self.size, self.next
             self.next += 1
         left = room - length
         if left:
-            self.by_room[left].append((number, block))
+            self.left[number] = left
+            self.by_room[left].append(number)
             self.rooms |= 1 << left
+            if len(self.left) > self.most:
+                del self.left[next(iter(self.left))]  # the one begun first
+        else:
+            self.left.pop(number, None)
         return number, self.size - room
 
-    def close_before(self, block: int) -> None:
-        for room in [r for r in range(1, self.size) if self.rooms >> r & 1]:
-            self.by_room[room] = [x for x in self.by_room[room] if x[1] >= block]
-            if not self.by_room[room]:
-                self.rooms ^= 1 << room
-
 
 @released
-def _pack(size: int, block_pieces: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(size: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    bins, block, waiting, held = Bins(size), 0, [], 0
-    base = TaskContext.get().partitionId() << 40
+    bins, base = Bins(size, most), TaskContext.get().partitionId() << 40
+    for batch in batches:
+        put = [bins.put(n) for n in batch.column(3).to_pylist()]
+        sequence, offset = np.array(put, np.int64).reshape(-1, 2).T
+        yield pa.record_batch([*batch.columns, pa.array(sequence + base), pa.array(np.ascontiguousarray(offset))], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        nonlocal block
-        table = pa.Table.from_batches(rows).combine_chunks()
-        lengths = table["length"].to_numpy()
-        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        bins.close_before(block - 1)
-        for k in np.argsort(-lengths, kind="stable").tolist():
-            sequence[k], offset[k] = bins.put(int(lengths[k]), block)
-        block += 1
-        return table.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset)).to_batches()[0]
 
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            take = min(block_pieces - held, batch.num_rows - at)
-            waiting.append(batch.slice(at, take))
-            held, at = held + take, at + take
-            if held == block_pieces:
-                yield flush(waiting)
-                waiting, held = [], 0
-    if held:
-        yield flush(waiting)
-
-
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, block_pieces: int = 8192, part_pieces: int = 40_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, open_sequences: int = 256, part_pieces: int = 40_000) -> DataFrame:
     """Pieces of documents in sequences of at most `size` tokens, near ones together.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     curve.  Every id lies in one piece; a document's pieces are full sequences
     and one rest.  A sequence is padded to `size`, unless its length is a power
     of two.  Null text: the end id alone.  Equal documents are told apart by
-    doc_id in the order.
+    doc_id in the order.  Null doc_ids and repeated rows are packed like any
+    other; other columns, whatever their names, are ignored.  An empty table has
+    no pieces.
     """
     shared_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -172,5 +155,5 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, bl
     parts = max(1, math.ceil(pieces.count() / part_pieces))
     order = ["curve", "doc_id", "start", "ids_crc32"]
     ordered = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    packed = ordered.mapInArrow(partial(_pack, size, block_pieces), PIECES + ", sequence_id long, offset long")
+    packed = ordered.mapInArrow(partial(_pack, size, open_sequences), PIECES + ", sequence_id long, offset long")
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve")

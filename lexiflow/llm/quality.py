@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Each text gets counts; fixed base rules reject the plainly broken.  Further
-rules reject a text when a score passes a cutoff.  The cutoffs come from a
-labelled holdout: for each stratum (language), rule and candidate cutoff the
-exact binomial probability of as few rejected good texts as were seen, were the
-true false-rejection rate above its limit, must be below delta divided by the
-number of all candidates (Bonferroni).  The most rejecting cutoff that passes
-is taken; with too few labels none is, and the rule rejects nothing there.
+rules reject a text when a score passes a cutoff.  PATH names the policies that
+may be used, from the laxest on; each rejects what those before it reject, and
+more.  How far along it a stratum (language) goes is settled by labelled
+holdouts: a policy passes if the exact binomial probability of as few rejected
+good texts as were seen, were the true rate of false rejections above `limit`,
+is at most delta / strata.  The path is tested in its order and left at the
+first policy that fails (fixed-sequence testing, so its length costs nothing);
+the strata share delta (Bonferroni).  Strata with too few labels to pass even
+without a rejected text aren't tested, and keep to the base rules.
 """
 
 from __future__ import annotations
@@ -19,21 +22,61 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import expand
 from .shared import shared_dir
-from .textops import BYTE_VALUE, mix, per_document, ragged, released, Rolling, SEPARATOR, slices, U64, Words
+from .textops import Numbering, SEPARATOR, U64, Words, expand, mix, per_document, ragged, released, slices, window_hashes
 
 COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-#: rule: (score, candidate cutoffs from the most rejecting on); a higher score is worse
-RULES = {
-    "symbols": ("n_symbols / word_chars", (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.05, 0.1, 0.2, 0.3, 0.5)),
-    "repeats": ("n_repeat_words / n_words", (0.02, 0.05, 0.1, 0.15)),
-    "short_words": ("-word_chars / n_words", (-4.0, -3.5, -3.0, -2.5, -2.0)),
-    "long_words": ("word_chars / n_words", (6.0, 7.0, 8.0, 10.0, 12.0, 16.0)),
+#: A higher score is worse.
+SCORES = {
+    "symbols": "try_divide(n_symbols, word_chars)",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeats": "try_divide(n_repeat_words, n_words)",
+    "short_words": "-try_divide(word_chars, n_words)",
+    "long_words": "try_divide(word_chars, n_words)",
 }
+#: The steps of the path: rules and their new cutoffs; those of earlier steps go on.
+PATH = (
+    {"symbols": 0.3}, {"symbols": 0.2}, {"symbols": 0.1}, {"symbols": 0.05}, {"symbols": 0.02},
+    {"long_words": 16.0, "short_words": -2.0}, {"dup_lines": 0.5}, {"repeats": 0.15}, {"long_words": 12.0, "short_words": -2.5},
+    {"dup_lines": 0.4}, {"repeats": 0.1}, {"long_words": 10.0, "short_words": -3.0}, {"dup_lines": 0.3}, {"repeats": 0.05}, {"long_words": 8.0},
+)
+
+
+def policy(step: int) -> dict[str, float]:
+    """Cutoffs after so many steps of the path."""
+    return {rule: cutoff for part in PATH[:step] for rule, cutoff in part.items()}
+
+
+def rejects(cutoffs: dict[str, float]) -> Column:
+    """Whether a score passes its cutoff; false where a score is null."""
+    over = F.lit(False)
+    for rule, cutoff in cutoffs.items():
+        over = over | F.coalesce(F.expr(SCORES[rule]) > F.lit(cutoff), F.lit(False))
+    return over
+
+
+def _twins(number: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window at each of `at` stands twice or more with its owner.
+
+    Windows are ordered by a hash and neighbours compared word by word; if unequal
+    ones share a hash, all are ordered by their words.
+    """
+    same = np.zeros(len(at), bool)
+    if len(at) < 2:
+        return same
+    keys = mix(window_hashes(mix(number.astype(U64)), 1, window)[at] ^ mix(owner.astype(U64) + U64(1)))
+    columns = [number[at + k] for k in range(window)] + [owner]
+    order = np.argsort(keys)
+    for again in (False, True):
+        equal = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
+        if again or (equal == (keys[order[1:]] == keys[order[:-1]])).all():
+            break
+        order = np.lexsort(columns)
+    same[order[1:][equal]] = True
+    same[order[:-1][equal]] = True
+    return same
 
 
 def count_slice(data: np.ndarray, bounds: np.ndarray, window: int = 5) -> list[np.ndarray]:
@@ -43,34 +86,17 @@ def count_slice(data: np.ndarray, bounds: np.ndarray, window: int = 5) -> list[n
     visible = ~SEPARATOR[data] & ((data & 0xC0) != 0x80)
     word_chars, n_symbols = per_document(visible, bounds), per_document(_SYMBOL[data], bounds)
 
-    # lines: a line feed is put after each document
-    lengths = np.diff(bounds)
-    lined = np.full(len(data) + len(lengths), 0x0A, np.uint8)
-    lined[np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths)] = data
-    end = np.flatnonzero(lined == 0x0A)
-    start = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
-    worded = np.concatenate(([0], np.cumsum(~SEPARATOR[lined])))
-    has = worded[end] > worded[start]
-    last = bounds[1:] + np.arange(len(lengths))  # the added line feeds
-    doc = np.searchsorted(last, end, "left")[has]
-    text = Rolling(BYTE_VALUE[lined]).spans(start[has], end[has])
-    n_lines = np.bincount(doc, minlength=len(lengths))
-    seen = np.unique(np.stack((doc.astype(U64), text)), axis=1)[0] if len(doc) else np.zeros(0, U64)
-    n_dup_lines = n_lines - np.bincount(seen.astype(np.int64), minlength=len(lengths))
+    raw = data.tobytes()
+    n_lines, n_dup_lines = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64)
+    for i, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        lines = [x for x in raw[low:high].split(b"\n") if not x.isspace() and x]
+        n_lines[i], n_dup_lines[i] = len(lines), len(lines) - len(set(lines))
 
     # windows of words, equal ones within a document
+    words = w.text.tobytes().split(b" ")[:-1]
     count = np.maximum(n_words - window + 1, 0)
     at = expand(w.first[:-1], w.first[:-1] + count)
-    owner = np.repeat(np.arange(len(count)), count)
-    keys = Rolling(w.hashes()).windows(window)[at] if len(at) else np.zeros(0, U64)
-    keys = mix(keys ^ mix(owner.astype(U64) + U64(1)))
-    order = np.argsort(keys)
-    ordered = keys[order]
-    same = np.zeros(len(keys), bool)
-    if len(keys) > 1:
-        twin = ordered[1:] == ordered[:-1]
-        same[order[1:][twin]] = True
-        same[order[:-1][twin]] = True
+    same = _twins(Numbering().of(words, len(words)), at, np.repeat(np.arange(len(count)), count), window)
     step = np.zeros(int(w.first[-1]) + 1, np.int32)
     np.add.at(step, at[same], 1)
     np.add.at(step, at[same] + window, -1)
@@ -123,49 +149,52 @@ def binomial_tail(k: int, n: int, rate: float) -> float:
     return min(1.0, total)
 
 
-def choose_cutoffs(table: list[tuple[str, int, dict[str, list[int]]]], limit: float, delta: float) -> dict[str, dict[str, float]]:
-    """{stratum: {rule: cutoff}} from (stratum, good texts, rejected ones for each rule and cutoff)."""
-    tests = max(1, len(table)) * sum(len(c) for _, c in RULES.values())
-    chosen: dict[str, dict[str, float]] = {}
-    for stratum, n, rejected in table:
-        for rule, (_, cutoffs) in RULES.items():
-            for cutoff, k in zip(cutoffs, rejected[rule]):
-                if binomial_tail(k, n, limit / len(RULES)) <= delta / tests:
-                    chosen.setdefault(stratum, {})[rule] = cutoff
-                    break
+def choose_steps(table: list[tuple[str, int, list[int]]], limit: float, delta: float) -> dict[str, int]:
+    """{stratum: steps of the path} from (stratum, good texts, rejected ones after each step)."""
+    tested = [x for x in table if binomial_tail(0, x[1], limit) <= delta]
+    chosen = {}
+    for stratum, n, rejected in tested:
+        step = 0
+        while step < len(rejected) and binomial_tail(rejected[step], n, limit) <= delta / len(tested):
+            step += 1
+        if step:
+            chosen[stratum] = step
     return chosen
 
 
-def fit(counted: DataFrame, labels: DataFrame, limit: float = 0.01, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """Cutoffs from all labelled good rows (quality 1) that pass the base rules.
-
-    limit: false rejections allowed in a stratum, over all rules together, with
-    probability 1 - delta over all strata.  One row a stratum reaches the driver.
-    """
+def holdout(counted: DataFrame, labels: DataFrame) -> list[tuple[str, int, list[int]]]:
+    """(stratum, labelled good rows that pass the base rules, how many of them each policy rejects); a row a stratum."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = counted.where("NOT base_failed").join(good, "doc_id", "left_semi")
-    tests = [F.count_if(F.expr(score) > F.lit(c)).alias(f"{rule}_{k}") for rule, (score, cutoffs) in RULES.items() for k, c in enumerate(cutoffs)]
+    tests = [F.count_if(rejects(policy(k))).alias(f"step_{k}") for k in range(1, len(PATH) + 1)]
     rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *tests).collect()
-    table = [(r["stratum"], r["n"], {rule: [r[f"{rule}_{k}"] for k in range(len(c))] for rule, (_, c) in RULES.items()}) for r in sorted(rows, key=lambda r: r["stratum"])]
-    return choose_cutoffs(table, limit, delta)
+    return [(r["stratum"], r["n"], [r[f"step_{k}"] for k in range(1, len(PATH) + 1)]) for r in sorted(rows, key=lambda r: r["stratum"])]
+
+
+def fit(counted: DataFrame, labels: DataFrame, limit: float = 0.01, delta: float = 0.05) -> dict[str, dict[str, float]]:
+    """{stratum: {rule: cutoff}} from all labelled good rows (quality 1) that pass the base rules.
+
+    limit: the rate of false rejections in a stratum, by all rules together, that
+    is exceeded in any stratum with probability delta at most.
+    """
+    return {stratum: policy(step) for stratum, step in choose_steps(holdout(counted, labels), limit, delta).items()}
 
 
 def verdict(cutoffs: dict[str, dict[str, float]]) -> Column:
     """True where no chosen cutoff is passed."""
     bad = F.lit(False)
     for stratum, rules in cutoffs.items():
-        over = F.lit(False)
-        for rule, cutoff in rules.items():
-            over = over | (F.expr(RULES[rule][0]) > F.lit(cutoff))
-        bad = bad | ((F.col("stratum") == F.lit(stratum)) & over)
-    return ~F.coalesce(bad, F.lit(False))
+        bad = bad | ((F.col("stratum") == F.lit(stratum)) & rejects(rules))
+    return ~bad
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.01, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
     """COUNTS, base_failed and kept for every row of docs.
 
-    Labels without doc_id, of other texts or repeated don't matter.  A null
-    stratum is a stratum of its own.
+    Labels without doc_id, of other texts or repeated don't matter; repeated rows
+    of docs are counted as often as they stand there.  A null stratum is a
+    stratum of its own.  Null text: no words (base_failed).  Other columns are
+    ignored.  An empty table has no rows.  One document is never split.
     """
     shared_dir(docs.sparkSession)
     counted = counts(docs, stratum).checkpoint()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,60 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+
+def _quality_sql(limit: float = 0.01, delta: float = 0.05) -> str:
+    """Counts, policies, exact binomial tails and the fixed sequence of op5 in SQL."""
+    scores = {
+        "symbols": "n_symbols / nullif(word_chars, 0)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / nullif(n_words, 0)",
+        "short_words": "-word_chars / nullif(n_words, 0)", "long_words": "word_chars / nullif(n_words, 0)",
+    }
+    steps = len(quality.PATH)
+    rejects = [" OR ".join(f"coalesce({scores[r]} > {c}, false)" for r, c in quality.policy(k).items()) for k in range(1, steps + 1)]
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS stratum, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+        p AS (SELECT doc_id, unnest(range(len(w)::BIGINT)) AS i, unnest(w) AS word FROM d),
+        p2 AS (SELECT *, word || ' ' || lead(word, 1) OVER o AS s FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        p4 AS (SELECT doc_id, i, word, s || ' ' || lead(s, 2) OVER o AS s FROM p2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        v AS (SELECT doc_id, i, s || ' ' || lead(word, 4) OVER o AS win FROM p4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        x AS (SELECT doc_id, i, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM v),
+        y AS (SELECT doc_id, max(twice::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM x),
+        r AS (SELECT doc_id, sum(hit)::BIGINT AS n_repeat_words FROM y GROUP BY doc_id),
+        c AS (
+            SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
+                   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+            FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{", ".join(rejects)}] AS over FROM c),
+        h AS (
+            SELECT stratum, count(*) AS n, [{", ".join(f"count(*) FILTER (over[{k}])" for k in range(1, steps + 1))}] AS hits
+            FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum),
+        m AS (SELECT *, count(*) OVER () AS strata FROM h WHERE n * ln({1 - limit}) <= ln({delta})),
+        q AS (SELECT stratum, n, strata, unnest(range(1, {steps + 1})) AS step, unnest(hits) AS k FROM m),
+        z AS (
+            SELECT stratum, step, {delta} / strata AS level,
+                   list_sum([exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln({1 - limit})) FOR i IN range(k + 1)]) AS tail
+            FROM q),
+        s AS (SELECT stratum, coalesce(min(step) FILTER (tail > level) - 1, {steps}) AS steps FROM z GROUP BY stratum)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (coalesce(s.steps, 0) > 0 AND over[greatest(coalesce(s.steps, 1), 1)]) AS kept, n_lines, b.stratum
+        FROM b LEFT JOIN s ON s.stratum = b.stratum"""
+
+
+def _filled(names: list[str], slots: int) -> list[int]:
+    """The lookup table of sharding, filled once more in other words for the SQL."""
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    wish = lambda x: ((number(f"offset/{x}") + j * (number(f"step/{x}") % (slots - 1) + 1)) % slots for j in itertools.count())
+    wishes = [wish(x) for x in names]
+    owner: dict[int, int] = {}
+    for k in itertools.cycle(range(len(names))):
+        if len(owner) == slots:
+            return [owner[slot] for slot in range(slots)]
+        owner[next(slot for slot in wishes[k] if slot not in owner)] = k
+    return []
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +135,46 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+        a AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(h) AS byte FROM d),
+        a2 AS (SELECT *, byte || lead(byte, 1) OVER o AS s FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        a4 AS (SELECT doc_id, n, i, byte, s || lead(s, 2) OVER o AS s FROM a2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        a8 AS (SELECT doc_id, n, i, byte, s || lead(s, 4) OVER o AS s FROM a4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        a16 AS (SELECT doc_id, n, i, byte, s || lead(s, 8) OVER o AS s FROM a8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        a32 AS (SELECT doc_id, n, i, byte, s || lead(s, 16) OVER o AS s FROM a16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        -- bytes 1 to 32 and 19 to 50
+        w AS (SELECT doc_id, i, byte, s || lead(s, 18) OVER o AS win FROM a32 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        f AS (SELECT win, min(doc_id) AS first FROM w WHERE win IS NOT NULL GROUP BY win HAVING min(doc_id) < max(doc_id)),
+        g AS (
+            SELECT w.doc_id, i, byte,
+                   max((f.first IS NOT NULL AND f.first < w.doc_id)::INTEGER) OVER (PARTITION BY w.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM w LEFT JOIN f USING (win)),
+        s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM g),
+        k AS (
+            SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (begins) AS n_spans,
+                   coalesce(string_agg(byte, '' ORDER BY i) FILTER (gone = 0), '') AS kept
+            FROM s GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        a AS (SELECT doc_id, unnest(range(len(w)::BIGINT)) AS i, unnest(w) AS word FROM d),
+        a2 AS (SELECT *, word || ' ' || lead(word, 1) OVER o AS s FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        a4 AS (SELECT doc_id, i, word, s || ' ' || lead(s, 2) OVER o AS s FROM a2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        a8 AS (SELECT doc_id, i, word, s || ' ' || lead(s, 4) OVER o AS s FROM a4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        -- words 1 to 8 and 6 to 13
+        w AS (SELECT doc_id, i, word, s || ' ' || lead(s, 5) OVER o AS win FROM a8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        f AS (SELECT win, min(doc_id) AS first FROM w WHERE win IS NOT NULL GROUP BY win HAVING min(doc_id) < max(doc_id)),
+        g AS (
+            SELECT w.doc_id, i, word,
+                   max((f.first IS NOT NULL AND f.first < w.doc_id)::INTEGER) OVER (PARTITION BY w.doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+            FROM w LEFT JOIN f USING (win)),
+        k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM g GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op5_quality_rules": _quality_sql(),
     "op2_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -86,16 +183,16 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)""",
     "op6_sharding": f"""
-        WITH t AS (SELECT {sharding.lookup_table(SHARDS)} AS slots),
+        WITH t AS (SELECT {_filled(SHARDS, sharding.SLOTS)} AS slots),
         d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
         SELECT doc_id, slot, slots[slot + 1]::INTEGER AS shard FROM d, t""",
     "op9_mixing": r"""
-        WITH d AS (
+        WITH RECURSIVE d AS (
             SELECT doc_id, source, coalesce('s' || source, 'n') AS site,
                    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
             FROM documents),
         s AS (
-            SELECT site, source, count(*) AS docs, sum(size)::BIGINT AS source_size,
+            SELECT site, source, sum(size)::BIGINT AS source_size,
                    [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight
             FROM d GROUP BY site, source),
         r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM s),
@@ -105,22 +202,27 @@ ORACLES: dict[str, str] = {
                       / sum(weight) OVER (ORDER BY ratio, site ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
             FROM r),
         m AS (SELECT arg_min(level, (ratio, site)) FILTER (level <= ratio) AS level FROM l),
-        t AS (
-            SELECT l.site, l.source_size, ceil(l.docs / 20000)::BIGINT AS blocks,
-                   least(l.cap, coalesce(m.level * l.weight, l.cap)) AS target
-            FROM l, m),
+        t AS (SELECT l.site, l.source_size, least(l.cap, coalesce(m.level * l.weight, l.cap)) AS target FROM l, m),
         c AS (
-            SELECT d.*, t.source_size, t.target, length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)::INTEGER) & 3) AS class,
-                   (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT // 64) % t.blocks AS salt,
+            SELECT d.*, t.source_size, t.target,
+                   CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 16 + (((size * 16) >> (length(bin(size)) - 1)::INTEGER) & 15) END AS class,
+                   ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7))::BIGINT & 255 AS salt,
                    ('0x' || substr(md5('mix' || d.site), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
             FROM d JOIN t USING (site)),
         k AS (
-            SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
-                   row_number() OVER (PARTITION BY site ORDER BY class DESC, salt, size DESC, doc_id) AS rank
-            FROM c)
-        SELECT doc_id, size, source_size, target,
-               least(floor(e * rank + u) - floor(e * (rank - 1) + u), 2)::BIGINT * size AS taken
-        FROM k""",
+            SELECT site, class, count(*) AS docs, sum(size)::DOUBLE / count(*) AS mean, any_value(u) AS u,
+                   any_value(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS e,
+                   row_number() OVER (PARTITION BY site ORDER BY class DESC) AS i
+            FROM c GROUP BY site, class),
+        f AS (
+            SELECT site, class, i, docs, mean, e * docs AS due, least(greatest(floor(e * docs + u), 0), 2 * docs)::BIGINT AS take FROM k WHERE i = 1
+            UNION ALL
+            SELECT k.site, k.class, k.i, k.docs, k.mean, v.due, least(greatest(floor(v.due + k.u), 0), 2 * k.docs)::BIGINT
+            FROM f JOIN k ON k.site = f.site AND k.i = f.i + 1,
+                 LATERAL (SELECT k.e * k.docs + CASE WHEN k.mean > 0 THEN (f.due - f.take) * f.mean / k.mean ELSE 0 END AS due) v),
+        n AS (SELECT *, row_number() OVER (PARTITION BY site, class ORDER BY salt, size DESC, doc_id) AS rank FROM c)
+        SELECT doc_id, size, source_size, target, ((take * rank) // docs - (take * (rank - 1)) // docs) * size AS taken
+        FROM n JOIN f USING (site, class)""",
     "op10_line_dedup": r"""
         WITH p AS (
             SELECT doc_id, coalesce('s' || source, 'n') AS site, unnest(string_split(text, chr(10))) AS line,

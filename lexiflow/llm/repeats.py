@@ -1,19 +1,28 @@
-"""Repeated token windows across documents, found in passes over radix buckets.
-
-Documents are dealt into chunks by a hash of doc_id.  In each pass a chunk asks
-about its distinct keys (it has combined its own copies first, so a key that a
-third of all documents hold is one entry a chunk), keys go to buckets by their
-most significant bits, a bucket orders them and answers with one or two bits a
-key, and only the keys found in several documents go on to the next, deeper
-pass.  Chunks are computed again in each pass; what moves is keys and bitmaps,
-and the texts are dealt out once (one exchange that all passes read).
-
-* suffix order (`depth_passes`): pass 1 takes a digit of half the depth at
-  positions that its minimum over each window picks (any window holds one that
-  depends on its content alone); pass 2 takes the runs of windows that share a
-  picked digit; pass 3 orders the full depth where runs differ.
-* doubling (`doubling_levels`): level 1 takes windows of half the length, picked
-  likewise; level 2 extends those that repeat to the full length.
+"""Repeated token windows across documents: radix order of byte suffixes, doubling of word windows.
+
+Texts are dealt into chunks once; three passes read them.
+
+1. Candidates.  Of the digits (the first tokens of a suffix, less than half a
+   window) that a window holds, it picks the one with the least hash; equal
+   windows pick alike.  A chunk asks for the hashes of its picks, each once;
+   buckets say which stand in several documents.  This only filters: a window
+   whose pick stands nowhere else repeats nowhere, all others go on.
+2. Order.  Of each run of windows with an open pick the chunk sends the tokens
+   themselves, equal runs once.  A bucket has all runs of its picks, so all
+   equal windows meet there.  Runs of the same bytes are one; where a pick has
+   different runs, their windows are put in groups of equal ones:
+   * bytes (`radix`): most-significant-digit passes of eight bytes over the
+     suffixes; a group that is not of several documents leaves, the others go
+     on to the next digit, through the threshold and no deeper;
+   * words (`doubling`): windows that repeat at one length alone are extended
+     to twice that length, until it reaches the threshold or none is left.
+   The groups left hold the repeated windows exactly.  The bucket answers with
+   one bit a window: whether it also starts in a document with a smaller id.
+3. Removal, by the chunk, which computes its runs again.
+
+Hot picks: a pick that stands in more than `most` runs is split; each of its
+windows goes to a bucket by a hash of its own, so a bucket gets a window once a
+chunk at most, however many documents have it.
 """
 
 from __future__ import annotations
@@ -27,343 +36,424 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import BYTE_VALUE, concat, groups, pack_ints, per_document, ragged, Rolling, slices, sliding_min, tidy, U64, unpack_ints, Words
+from .textops import BYTE_VALUE, Numbering, Rolling, U64, Words, binaries, concat, eights, expand, groups, joined, ragged, sliding_min, tidy, window_hashes
 
-MESSAGE = "bucket long, chunk long, pass int, part long, a binary, b binary, c binary"
-NAMES = ["bucket", "chunk", "pass", "part", "a", "b", "c"]
-TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-
-def messages(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [()] * len(NAMES)
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, TYPES)], names=NAMES)
+ASKED = "bucket long, chunk long, keys binary"
+OPEN = "chunk long, keys binary"
+SENT = "bucket long, chunk long, keys binary, docs binary, wins binary, sizes binary, tokens binary"
+TOLD = "chunk long, bucket long, bits binary"
+RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+#: Tokens of a text that are hashed at once.
+BLOCK = 1 << 18
+#: Low bits of a key: whether several documents have it, and the power of two of its number of runs.
+FLAGS = 6
 
 
 class Plan:
-    """What a chunk does: tokens `bytes` or `words`, window length, digit length, passes."""
-
-    def __init__(self, tokens: str, length: int, runs: bool, bits: int):
-        self.tokens, self.length, self.runs, self.bits = tokens, length, runs, bits
-        self.digit = (length + 1) // 2
-        self.passes = 3 if runs else 2
+    """Tokens `bytes` or `words`, tokens a window and a digit, buckets, and the runs that make a pick hot."""
 
+    def __init__(self, tokens: str, length: int, buckets: int, most: int):
+        self.tokens, self.length, self.buckets, self.most = tokens, length, buckets, most
+        self.digit = max(1, length * 2 // 5) if tokens == "bytes" else (length + 1) // 2
 
-class Slice:
-    """Some documents of a chunk as tokens."""
-
-    def __init__(self, plan: Plan, data: np.ndarray, bounds: np.ndarray, at: int):
-        self.at, self.data = at, data
-        if plan.tokens == "bytes":
-            self.first, values = bounds, BYTE_VALUE[data]
-        else:
-            self.words = Words(data, bounds)
-            self.first, values = self.words.first, self.words.hashes()
-        self.rolling = Rolling(values)
-        n, length = len(values), plan.length
-        closed = np.zeros(n + 1, np.int32)
-        lengths = np.diff(self.first)
-        np.add.at(closed, np.maximum(self.first[:-1], self.first[1:] - (length - 1)), 1)
-        np.add.at(closed, self.first[1:], -1)
-        usable = (np.cumsum(closed[:-1]) == 0)[: max(0, n - length + 1)]
-        least = sliding_min(self.rolling.windows(plan.digit), length - plan.digit + 1)
-        self.has = int((lengths >= length).sum())
-        change = np.ones(len(least), bool)
-        change[1:] = least[1:] != least[:-1]
-        change[1:] |= usable[1:] != usable[:-1]
-        start = np.flatnonzero(change)
-        end = np.append(start[1:], len(least))
-        ok = usable[start] if len(start) else np.zeros(0, bool)
-        #: runs of windows [start, end) with one picked digit
-        self.start, self.end = start[ok], end[ok]
-        self.picked = least[self.start]
-        self.doc = np.searchsorted(self.first, self.start, "right") - 1
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        """Buckets by the leading bits."""
+        return ((keys >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
 
 
 class Chunk:
-    """The documents of one chunk, by doc_id, and their runs of windows."""
+    """Documents by doc_id, as tokens; rows without doc_id come last."""
 
     def __init__(self, plan: Plan, table: pa.Table):
         self.plan = plan
         rows = table.select(["doc_id", "text"]).sort_by("doc_id")
-        self.ids = rows["doc_id"]
-        known = self.ids.is_valid().to_numpy(zero_copy_only=False)
-        # rows without a doc_id (sorted last) neither lose nor lend anything
-        self.known = int(known.sum())
-        self.rank_id = self.ids.combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, np.int64)
-        self.data, self.bounds = ragged(rows["text"])
-        self.slices = list(slices(self.bounds))
-        picked, docs, content = [], [], []
-        self.sizes = []
-        for i, j in self.slices:
-            s = self.slice(i, j)
-            k = s.doc + i < self.known
-            if not k.all():
-                s.start, s.end, s.picked, s.doc = s.start[k], s.end[k], s.picked[k], s.doc[k]
-            picked.append(s.picked)
-            docs.append(self.rank_id[s.doc + i])
-            if plan.runs:
-                content.append(s.rolling.spans(s.start, s.end - 1 + plan.length))
-            self.sizes.append(len(s.picked))
-        self.picked, self.doc = concat(picked, U64), concat(docs, np.int64)
-        self.content = concat(content, U64)
-
-    def slice(self, i: int, j: int) -> Slice:
-        low, high = self.bounds[i], self.bounds[j]
-        return Slice(self.plan, self.data[low:high], self.bounds[i : j + 1] - low, i)
-
-    def split(self, *arrays: np.ndarray):
-        at = np.cumsum([0, *self.sizes])
-        for (i, j), low, high in zip(self.slices, at[:-1], at[1:]):
-            yield (i, j, *(a[low:high] for a in arrays))
-
-    def distinct(self, *keys: np.ndarray, doc: np.ndarray):
-        """Order and starts of equal keys (most significant first); docs ascend within each."""
-        order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-        ordered = [k[order] for k in keys]
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for k in ordered:
-            new[1:] |= k[1:] != k[:-1]
-        start = np.flatnonzero(new)
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        least = doc[order[start]]
-        last = doc[order[np.append(start[1:], len(order)) - 1]] if len(order) else least
-        return [k[start] for k in ordered], group, least, last
-
-
-def ask(plan: Plan, chunk: int, number: int, keys: np.ndarray, *columns) -> list[tuple]:
-    """One message a bucket; columns are functions from a range of keys to bytes."""
-    part = (keys >> U64(64 - plan.bits)).astype(np.int64)
-    start = groups(part)
-    end = np.append(start[1:], len(part))
-    out = []
-    for low, high in zip(start.tolist(), end.tolist()):
-        payload = [f(low, high) for f in columns]
-        out.append((int(part[low]), chunk, number, int(part[low]), *payload, *[None] * (3 - len(payload))))
-    return out
-
-
-def answers(table: pa.Table | None, number: int, column: str, counts: np.ndarray) -> np.ndarray:
-    """The bits of a pass for the chunk's keys in order."""
-    rows = sorted((p, v) for p, n, v in zip(table["part"].to_pylist(), table["pass"].to_pylist(), table[column].to_pylist()) if n == number)
-    bits = [np.unpackbits(np.frombuffer(v, np.uint8), count=int(c)) for (_, v), c in zip(rows, counts)]
-    return concat(bits, np.uint8).astype(bool)
-
-
-def key_counts(plan: Plan, keys: np.ndarray) -> np.ndarray:
-    part = (keys >> U64(64 - plan.bits)).astype(np.int64)
-    start = groups(part)
-    return np.diff(np.append(start, len(part)))
-
-
-class Progress:
-    """A chunk with the answers so far: which runs and windows go on, and what is removed."""
-
-    def __init__(self, plan: Plan, table: pa.Table, told: pa.Table | None):
-        self.c = c = Chunk(plan, table)
-        done = max([0, *told["pass"].to_pylist()]) if told is not None else 0
-        (self.keys,), self.group, self.least, self.last = c.distinct(c.picked, doc=c.doc)
-        self.lost = np.zeros(len(c.picked), bool)
-        self.open = np.zeros(len(c.picked), bool)
-        if done >= 1:
-            self.open = answers(told, 1, "a", key_counts(plan, self.keys))[self.group]
-        if plan.runs and (done >= 1):
-            at = np.flatnonzero(self.open)
-            (self.run_digit, self.run_content), group, self.run_least, _ = c.distinct(c.picked[at], c.content[at], doc=c.doc[at])
-            if done >= 2:
-                counts = key_counts(plan, self.run_digit)
-                covered, differ = answers(told, 2, "a", counts)[group], answers(told, 2, "b", counts)[group]
-                later = c.doc[at] > self.run_least[group]
-                self.lost[at] = covered | later
-                self.open[at] = differ & ~covered & ~later
-        if done >= plan.passes - 1:
-            self._windows()
-        if done >= plan.passes:
-            covered = answers(told, plan.passes, "a", key_counts(plan, self.window_keys))[self.window_group]
-            self.window_lost = covered | (self.window_doc > self.window_least[self.window_group])
-
-    def _windows(self) -> None:
-        c, hashes, docs = self.c, [], []
-        for i, j, open_ in c.split(self.open):
-            if not open_.any():
+        self.ids = rows["doc_id"].combine_chunks()
+        self.known = len(self.ids) - self.ids.null_count
+        self.doc_id = self.ids.fill_null(0).to_numpy(zero_copy_only=False)
+        data, bounds = ragged(rows["text"])
+        if plan.tokens == "bytes":
+            self.data, self.first = data, bounds
+        else:
+            self.words = w = Words(data, bounds)
+            self.data, self.first = w.text, w.first
+        self.raw = self.data.tobytes()
+        # rows without a doc_id neither lose nor lend anything
+        self.last = int(self.first[self.known])
+        self._runs()
+
+    def bytes_of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place in data of tokens start:end."""
+        if self.plan.tokens == "bytes":
+            return start, end
+        return self.words.start[start], self.words.end[end - 1]
+
+    def hashes(self, a: int, b: int, k: int) -> np.ndarray:
+        """Filter hashes of the k tokens from each position, of tokens a:b."""
+        if self.plan.tokens == "bytes":
+            values, width = eights(self.data[a:b]), 8
+            if k <= width:
+                return joined(values >> U64(64 - 8 * k), U64(k))[: max(0, b - a - k + 1)]
+            return window_hashes(values[: max(0, b - a - width + 1)], width, k)
+        if a >= b:
+            return np.zeros(0, U64)
+        w, at = self.words, int(self.words.start[a])
+        values = Rolling(BYTE_VALUE[w.text[at : w.end[b - 1]]]).spans(w.start[a:b] - at, w.end[a:b] - at)
+        return window_hashes(values, 1, k)
+
+    def _runs(self) -> None:
+        """Runs [start, end) of windows with one pick, key (without flags), and doc (its place)."""
+        plan, starts, ends, keys = self.plan, [], [], []
+        for a in range(0, self.last, BLOCK):
+            b = min(self.last, a + BLOCK)
+            stop = min(self.last, b + plan.length - 1)
+            least = sliding_min(self.hashes(a, stop, plan.digit), plan.length - plan.digit + 1)[: b - a]
+            n = len(least)
+            if not n:
                 continue
-            s = self.known(c.slice(i, j), i)
-            at = expand(s.start[open_], s.end[open_])
-            hashes.append(s.rolling.windows(c.plan.length)[at])
-            docs.append(np.repeat(c.rank_id[s.doc[open_] + i], (s.end - s.start)[open_]))
-        self.window_doc = concat(docs, np.int64)
-        (self.window_keys,), self.window_group, self.window_least, _ = c.distinct(concat(hashes, U64), doc=self.window_doc)
-
-    def known(self, s: Slice, i: int) -> Slice:
-        k = s.doc + i < self.c.known
-        if not k.all():
-            s.start, s.end, s.picked, s.doc = s.start[k], s.end[k], s.picked[k], s.doc[k]
-        return s
-
-    def removed(self):
-        """(i, j, slice, removed tokens) for each slice of documents."""
-        c, used = self.c, 0
-        for i, j, lost, open_ in c.split(self.lost, self.open):
-            s = self.known(c.slice(i, j), i)
-            n = len(s.rolling.sums) - 1
-            step = np.zeros(n + 1, np.int32)
-            np.add.at(step, s.start[lost], 1)
-            np.add.at(step, s.end[lost] - 1 + c.plan.length, -1)
-            at = expand(s.start[open_], s.end[open_])
-            gone = at[self.window_lost[used : used + len(at)]]
-            used += len(at)
-            np.add.at(step, gone, 1)
-            np.add.at(step, gone + c.plan.length, -1)
-            yield i, j, s, np.cumsum(step[:-1]) > 0
-
-
-def expand(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """start[0]..end[0]-1, start[1]..end[1]-1, ..."""
-    lengths = end - start
-    if not len(lengths):
-        return np.zeros(0, np.int64)
-    shift = np.repeat(start - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return np.arange(int(lengths.sum())) + shift
-
-
-def request(plan: Plan, number: int, docs: pa.Table, told: pa.Table | None = None) -> pa.Table:
-    if not docs.num_rows:
-        return messages([])
-    chunk = docs["chunk"][0].as_py()
-    p = Progress(plan, docs, told)
-    rows = [] if told is None else [(-1 - chunk, chunk, *r) for r in zip(*(told[k].to_pylist() for k in NAMES[2:]))]
-    if number == 1:
-        several = p.last > p.least
-        rows += ask(plan, chunk, 1, p.keys, lambda i, j: p.keys[i:j].tobytes(), lambda i, j: np.packbits(several[i:j]).tobytes())
-    elif plan.runs and number == 2:
-        rows += ask(plan, chunk, 2, p.run_digit, lambda i, j: p.run_digit[i:j].tobytes(), lambda i, j: p.run_content[i:j].tobytes(), lambda i, j: pack_ints(p.run_least[i:j]))
-    else:
-        rows += ask(plan, chunk, number, p.window_keys, lambda i, j: p.window_keys[i:j].tobytes(), lambda i, j: None, lambda i, j: pack_ints(p.window_least[i:j]))
-    return messages(rows)
-
-
-def answer(plan: Plan, number: int, asked: pa.Table) -> pa.Table:
-    """Order a bucket's keys and tell each chunk which of its keys repeat."""
-    rows = list(zip(*(asked[k].to_pylist() for k in NAMES)))
-    out = [r for r in rows if r[0] < 0]
-    rows = sorted((r for r in rows if r[0] >= 0), key=lambda r: r[1])
-    if not rows:
-        return messages(out)
-    keys = [np.frombuffer(r[4], U64) for r in rows]
-    sizes = [len(k) for k in keys]
-    key, cuts = np.concatenate(keys), np.cumsum(sizes)[:-1]
-
-    def tell(*bits: np.ndarray) -> pa.Table:
-        split = [np.split(b, cuts) for b in bits]
-        return messages(out + [(r[0], r[1], number, r[3], *(np.packbits(b[k]).tobytes() for b in split), *[None] * (3 - len(bits))) for k, r in enumerate(rows)])
-
-    if number == 1:
-        several = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=n) for r, n in zip(rows, sizes)])
-        order = np.argsort(key, kind="stable")
-        start = groups(key[order])
-        count = np.diff(np.append(start, len(order)))
-        repeats = (count > 1) | (np.maximum.reduceat(several[order], start) > 0)
-        bits = np.empty(len(order), bool)
-        bits[order] = np.repeat(repeats, count)
-        return tell(bits)
-    docs = np.concatenate([unpack_ints(r[6], n) for r, n in zip(rows, sizes)])
-    if plan.runs and number == 2:
-        content = np.concatenate([np.frombuffer(r[5], U64) for r in rows])
-        order = np.lexsort((content, key))
-        k, c = key[order], content[order]
-        digit = np.concatenate(([True], k[1:] != k[:-1]))
-        new = digit | np.concatenate(([True], c[1:] != c[:-1]))
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(order)))
-        least = np.repeat(np.minimum.reduceat(docs[order], start), count)
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(digit))
-        several = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(digit), len(order))))
-        covered, differ = np.empty(len(order), bool), np.empty(len(order), bool)
-        covered[order] = least < docs[order]
-        differ[order] = several
-        return tell(covered, differ)
-    order = np.argsort(key, kind="stable")
-    start = groups(key[order])
+            # windows that reach over a document's end don't count
+            bounds = self.first[np.searchsorted(self.first, a, "right") : np.searchsorted(self.first, stop, "right")]
+            closed = np.zeros(n + 1, np.int32)
+            np.add.at(closed, np.clip(bounds - plan.length + 1 - a, 0, n), 1)
+            np.add.at(closed, np.clip(bounds - a, 0, n), -1)
+            usable = np.cumsum(closed[:-1]) == 0
+            change = np.ones(n, bool)
+            change[1:] = (least[1:] != least[:-1]) | (usable[1:] != usable[:-1])
+            start = np.flatnonzero(change)
+            ok = usable[start]
+            end = np.append(start[1:], n)[ok]
+            start = start[ok]
+            starts.append(start + a)
+            ends.append(end + a)
+            keys.append(least[start] >> U64(FLAGS) << U64(FLAGS))
+        self.start, self.end, self.key = concat(starts, np.int64), concat(ends, np.int64), concat(keys, U64)
+        # runs of neighbouring documents are never one: a document's last windows are not usable
+        self.doc = np.searchsorted(self.first, self.start, "right") - 1
+
+    def picks(self) -> np.ndarray:
+        """The keys, each once and in order, with flags."""
+        order = np.argsort(self.key, kind="stable")
+        start = groups(self.key[order])
+        if not len(start):
+            return self.key
+        end = np.append(start[1:], len(order))
+        ids = self.doc_id[self.doc[order]]
+        several = ids[start] != ids[end - 1]
+        power = np.minimum(31, np.ceil(np.log2(end - start)).astype(np.int64))
+        return self.key[order[start]] | several.astype(U64) | power.astype(U64) << U64(1)
+
+    def entries(self, keys: np.ndarray) -> Entries:
+        """What is sent of the runs whose keys (with a flag for hot ones) are open."""
+        plan, known = self.plan, keys >> U64(FLAGS)
+        at = np.minimum(np.searchsorted(known, self.key >> U64(FLAGS)), max(0, len(known) - 1))
+        is_open = known[at] == self.key >> U64(FLAGS) if len(known) else np.zeros(len(self.key), bool)
+        run = np.flatnonzero(is_open)
+        hot = (keys[at[run]] & U64(1)).astype(bool)
+        size = (self.end - self.start)[run]
+        pieces = np.where(hot, size, 1)
+        of = np.repeat(np.arange(len(run)), pieces)
+        start = self.start[run][of] + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        wins = np.where(hot, 1, size)[of]
+        key = self.key[run][of]
+        if hot.any():
+            single = hot[of]
+            key[single] = np.concatenate([self.hashes(s, e + plan.length - 1, plan.length) for s, e in zip(self.start[run[hot]].tolist(), self.end[run[hot]].tolist())])
+        return Entries(self, start, wins, key, self.doc[run][of], hot[of])
+
+
+class Entries:
+    """Stretches of windows, and the distinct ones in the order they are sent."""
+
+    def __init__(self, chunk: Chunk, start: np.ndarray, wins: np.ndarray, key: np.ndarray, doc: np.ndarray, hot: np.ndarray):
+        plan = chunk.plan
+        self.start, self.wins, self.doc_id = start, wins, chunk.doc_id[doc]
+        low, high = chunk.bytes_of(start, start + wins + plan.length - 1) if len(start) else (start, start)
+        raw = chunk.raw
+        numbers = Numbering()
+        which = numbers.of((raw[a:b] for a, b in zip(low.tolist(), high.tolist())), len(start))
+        # documents ascend, so the first of equal ones has the least doc_id
+        _, first = np.unique(which, return_index=True)
+        bucket = plan.bucket(key[first]) + np.where(hot[first], plan.buckets, 0)
+        order = np.lexsort((key[first], bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which, first = place[which], first[order]
+        self.first, self.bucket, self.key = first, bucket[order], key[first]
+        self.low, self.high = low[first], high[first]
+
+    def lost(self, bits: np.ndarray) -> np.ndarray:
+        """Positions of windows that go, ascending, from the answered bits of the distinct ones."""
+        wins = self.wins[self.first]
+        begin = np.cumsum(wins) - wins
+        at = expand(self.start, self.start + self.wins)
+        own = bits[expand(begin[self.which], begin[self.which] + self.wins)]
+        later = self.doc_id > self.doc_id[self.first][self.which]
+        return at[own | np.repeat(later, self.wins)]
+
+
+def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of equal buckets."""
+    start = groups(bucket)
+    return start, np.append(start[1:], len(bucket)) if len(start) else start
+
+
+def ask(plan: Plan, docs: pa.Table) -> pa.Table:
+    """Pass 1 of a chunk: its picks by bucket."""
+    keys = Chunk(plan, docs).picks()
+    start, end = by_bucket(bucket := plan.bucket(keys))
+    chunk = np.full(len(start), docs["chunk"][0].as_py())
+    return pa.table([pa.array(bucket[start]), pa.array(chunk), binaries(keys, 8 * end)], names=["bucket", "chunk", "keys"])
+
+
+def open_picks(plan: Plan, asked: pa.Table) -> pa.Table:
+    """Pass 1 of a bucket: for each chunk its keys that stand in several documents; bit 0: hot."""
+    raw, bounds = ragged(asked["keys"])
+    keys = raw.view(U64) if raw.flags.aligned and len(raw) % 8 == 0 else np.frombuffer(raw.tobytes(), U64)
+    order = np.argsort(keys >> U64(FLAGS), kind="stable")
+    start = groups((keys >> U64(FLAGS))[order])
     count = np.diff(np.append(start, len(order)))
-    covered = np.empty(len(order), bool)
-    covered[order] = np.repeat(np.minimum.reduceat(docs[order], start), count) < docs[order]
-    return tell(covered)
+    several = (count > 1) | (np.maximum.reduceat((keys & U64(1))[order], start) > 0) if len(start) else np.zeros(0, bool)
+    runs = np.add.reduceat(U64(1) << ((keys[order] >> U64(1)) & U64(31)), start) if len(start) else start
+    is_open, hot = np.empty(len(order), bool), np.empty(len(order), bool)
+    is_open[order], hot[order] = np.repeat(several, count), np.repeat(runs > plan.most, count)
+    ends = np.cumsum(is_open)[bounds[1:] // 8 - 1] if len(keys) else bounds[1:]
+    found = keys[is_open] >> U64(FLAGS) << U64(FLAGS) | hot[is_open].astype(U64)
+    some = np.diff(np.concatenate(([0], ends))) > 0
+    return pa.table([asked["chunk"].filter(pa.array(some)).combine_chunks(), binaries(found, 8 * ends[some])], names=["chunk", "keys"])
+
+
+def _open_keys(table: pa.Table) -> np.ndarray:
+    return np.sort(np.frombuffer(ragged(table["keys"])[0].tobytes(), U64))
+
+
+def _blank(names: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.table([pa.array([], kinds[k]) for _, k in fields], names=[n for n, _ in fields])
+
+
+def send(plan: Plan, docs: pa.Table, told: pa.Table) -> pa.Table:
+    """Pass 2 of a chunk: the tokens of its open runs by bucket."""
+    if not docs.num_rows or not told.num_rows:
+        return _blank(SENT)
+    c = Chunk(plan, docs)
+    e = c.entries(_open_keys(told))
+    start, end = by_bucket(e.bucket)
+    sizes = e.high - e.low
+    tokens = c.data[expand(e.low, e.high)]
+    upto = np.cumsum(sizes)
+    return pa.table(
+        [
+            pa.array(e.bucket[start]),
+            pa.array(np.full(len(start), docs["chunk"][0].as_py())),
+            binaries(e.key, 8 * end),
+            binaries(e.doc_id[e.first].astype("<i8"), 8 * end),
+            binaries(e.wins[e.first].astype("<u2"), 2 * end),
+            binaries(sizes.astype("<u4"), 4 * end),
+            binaries(tokens, upto[end - 1] if len(end) else end),
+        ],
+        names=[f.split()[0] for f in SENT.split(", ")],
+    )
+
+
+def spread(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted values: starts of equal ones, their number, and the least doc where docs differ, else -1."""
+    start = groups(values)
+    count = np.diff(np.append(start, len(values)))
+    least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+    return start, count, np.where(least < most, least, -1)
+
+
+def radix(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Least doc (places, from 0) of the windows of `length` bytes equal to each window at `at`, by MSD passes."""
+    out, digits = doc.copy(), eights(data)
+    left, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for depth in range(0, length, 8):
+        if not len(left):
+            break
+        digit = digits[at[left] + depth]
+        if length - depth < 8:
+            digit >>= U64(8 * (8 - length + depth))
+        order = np.argsort(digit, kind="stable") if not depth else np.lexsort((digit, group))
+        left, group, digit = left[order], group[order], digit[order]
+        number = np.cumsum(np.concatenate(([False], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))))
+        _, count, least = spread(number, doc[left])
+        goes_on = np.repeat(least >= 0, count)
+        if depth + 8 >= length:  # equal through the whole depth
+            out[left[goes_on]] = np.repeat(least, count)[goes_on]
+        left, group = left[goes_on], number[goes_on]
+    return out
 
 
-RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+def doubling(word: np.ndarray, end: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The same for windows of `length` words at each position (exact word numbers; end: where its stretch ends)."""
+    out, name, at, size = doc.copy(), word, np.arange(len(word)), 1
+    alive = np.ones(len(word) + length, bool)
+    alive[len(word) :] = False
+    names = np.zeros(len(word) + length, np.int64)
+    while len(at):
+        order = np.argsort(name, kind="stable")
+        at, name = at[order], name[order]
+        _, count, least = spread(name, doc[at])
+        repeated = np.repeat(least >= 0, count)
+        if size == length:
+            out[at[repeated]] = np.repeat(least, count)[repeated]
+            break
+        alive[:] = False
+        alive[at[repeated]] = True
+        names[at] = np.repeat(np.arange(len(count)), count)
+        step = min(size, length - size)
+        at = at[repeated]
+        at = at[alive[at + step] & (at + size + step <= end[at])]
+        size += step
+        name = names[at] * (len(count) + 1) + names[at + step]
+    return out
 
 
-def finish(plan: Plan, with_text: bool, docs: pa.Table, told: pa.Table) -> pa.Table:
-    p = Progress(plan, docs, told)
-    out = {k: [] for k in ("n_tokens", "n_removed", "n_spans", "kept_sha256", "kept")}
-    for i, j, s, gone in p.removed():
-        first = s.first
-        turn = gone.copy()
-        turn[1:] &= ~gone[:-1]
-        begin = first[:-1][first[:-1] < len(gone)]
-        turn[begin] = gone[begin]  # runs don't cross documents
-        out["n_tokens"] += np.diff(first).tolist()
-        out["n_removed"] += per_document(gone, first).tolist()
-        out["n_spans"] += per_document(turn, first).tolist()
+def settle(plan: Plan, sent: pa.Table) -> pa.Table:
+    """Pass 2 of a bucket: for each window sent whether it starts in a document with a smaller doc_id."""
+
+    def column(name: str, dtype) -> np.ndarray:
+        return np.frombuffer(ragged(sent[name])[0].tobytes(), dtype)
+
+    keys, docs, wins, sizes = column("keys", U64), column("docs", "<i8"), column("wins", "<u2").astype(np.int64), column("sizes", "<u4").astype(np.int64)
+    tokens, _ = ragged(sent["tokens"])
+    raw, upto = tokens.tobytes(), np.cumsum(sizes)
+    # stretches of the same bytes are one
+    which = Numbering().of((raw[a:b] for a, b in zip((upto - sizes).tolist(), upto.tolist())), len(keys))
+    _, first = np.unique(which, return_index=True)
+    ids, rank = np.unique(docs, return_inverse=True)
+    least = np.full(len(first), len(ids))
+    np.minimum.at(least, which, rank)
+    # windows of picks with different stretches are ordered, others are as old as their stretch
+    order = np.argsort(keys[first], kind="stable")
+    start = groups(keys[first][order])
+    count = np.diff(np.append(start, len(order)))
+    mixed = np.zeros(len(first), bool)
+    mixed[order] = np.repeat(count > 1, count)
+    begin = np.cumsum(wins[first]) - wins[first]
+    oldest = np.repeat(least, wins[first])
+    m = np.flatnonzero(mixed)
+    if len(m):
+        low, high = (upto - sizes)[first[m]], upto[first[m]]
+        n = wins[first[m]]
         if plan.tokens == "bytes":
-            kept, at = s.data[~gone], np.concatenate(([0], np.cumsum(~gone)))[first]
+            data = tokens[expand(low, high)]
+            at = np.cumsum(high - low) - (high - low)
+            found = radix(data, expand(at, at + n), np.repeat(least[m], n), plan.length)
         else:
-            w = s.words
-            mask = np.repeat(~gone, w.end - w.start + 1)
-            kept, at = w.text[mask], np.concatenate(([0], np.cumsum(mask)))[w.bounds]
-        for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
-            piece = kept[low : high - (plan.tokens == "words" and high > low)].tobytes()
-            out["kept_sha256"].append(hashlib.sha256(piece).hexdigest())
-            out["kept"].append(piece if with_text else None)
-    return pa.table({"doc_id": p.c.ids.combine_chunks().cast(pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary())})
-
-
-#: Bytes of text a chunk and a bucket of keys stand for.
-CHUNK_BYTES = 8 << 20
-
-
-def remove_repeats(docs: DataFrame, tokens: str, length: int, runs: bool, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per row of docs(doc_id, text): what stays when later copies of windows go (see module)."""
+            words = b" ".join(raw[a:b] for a, b in zip(low.tolist(), high.tolist())).split(b" ")
+            number = Numbering().of(words, len(words))
+            size = n + plan.length - 1
+            at = np.cumsum(size) - size
+            found = doubling(number, np.repeat(at + size, size), np.repeat(least[m], size), plan.length)[expand(at, at + n)]
+        oldest[expand(begin[m], begin[m] + n)] = found
+    bits = oldest[expand(begin[which], begin[which] + wins)] < np.repeat(rank, wins)
+    # a message's bits end in a byte of their own
+    message = ragged(sent["keys"])[1] // 8
+    upto = np.concatenate(([0], np.cumsum(wins)))[message]
+    packed = [np.packbits(bits[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+    return pa.table([sent["chunk"].combine_chunks(), sent["bucket"].combine_chunks(), binaries(concat(packed, np.uint8), np.cumsum([len(p) for p in packed]))], names=["chunk", "bucket", "bits"])
+
+
+def remove(plan: Plan, with_text: bool, docs: pa.Table, told: pa.Table) -> pa.Table:
+    """Pass 3 of a chunk: what stays of its documents."""
+    if not docs.num_rows:
+        return _blank(RESULT)
+    c = Chunk(plan, docs)
+    lost = np.zeros(0, np.int64)
+    if told.num_rows:
+        keys = told.filter(told["bits"].is_null())
+        e = c.entries(_open_keys(keys))
+        answers = told.filter(told["bits"].is_valid()).sort_by("bucket")
+        raw, bounds = ragged(answers["bits"])
+        start, end = by_bucket(e.bucket)
+        if answers["bucket"].to_pylist() != e.bucket[start].tolist():
+            raise RuntimeError("a chunk was told about other runs than it sent")
+        upto = np.concatenate(([0], np.cumsum(e.wins[e.first])))
+        bits = [np.unpackbits(raw[a:b], count=int(upto[j] - upto[i])) for a, b, i, j in zip(bounds[:-1], bounds[1:], start, end)]
+        lost = e.lost(concat(bits, np.uint8).astype(bool))
+    # maximal removed runs of tokens, within documents
+    doc = np.searchsorted(c.first, lost, "right") - 1
+    new = np.ones(len(lost), bool)
+    new[1:] = (lost[1:] > lost[:-1] + plan.length) | (doc[1:] != doc[:-1])
+    low, doc = lost[new], doc[new]
+    high = (lost[np.append(np.flatnonzero(new)[1:], len(lost)) - 1] if len(lost) else lost) + plan.length
+    n = len(c.first) - 1
+    n_spans = np.bincount(doc, minlength=n)
+    n_removed = np.bincount(doc, weights=high - low, minlength=n).astype(np.int64)
+    hashes, kept, at = [], [], 0
+    view = memoryview(c.raw)
+    place = c.first if plan.tokens == "bytes" else np.append(c.words.start, len(c.data))
+    cut = (lambda t: t) if plan.tokens == "bytes" else (lambda t: int(place[t]))
+    low, high = low.tolist(), high.tolist()
+    for i, (begin, stop) in enumerate(zip(c.first[:-1].tolist(), c.first[1:].tolist())):
+        parts = []
+        for k in range(at, at + int(n_spans[i])):
+            parts.append(view[cut(begin) : cut(low[k])])
+            begin = high[k]
+        parts.append(view[cut(begin) : cut(stop)])
+        at += int(n_spans[i])
+        piece = parts[0] if len(parts) == 1 else b"".join(parts)
+        if plan.tokens == "words" and len(piece):
+            piece = piece[:-1]  # the space behind the last word
+        hashes.append(hashlib.sha256(piece).hexdigest())
+        kept.append(bytes(piece) if with_text else None)
+    counts = [pa.array(x, pa.int64()) for x in (np.diff(c.first), n_removed, n_spans)]
+    return pa.table([c.ids.cast(pa.int64()), *counts, pa.array(hashes, pa.string()), pa.array(kept, pa.binary())], names=[f.split()[0] for f in RESULT.split(", ")])
+
+
+def remove_repeats(docs: DataFrame, tokens: str, length: int, with_text: bool = False, chunk_bytes: int | None = None, most: int = 200_000) -> DataFrame:
+    """Per row of docs(doc_id, text): what stays when later copies of windows go (see module).
+
+    chunk_bytes: text of a chunk, 8 MB and on very large tables up to 64.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    chunks = max(1, math.ceil(total / chunk_bytes))
-    plan = Plan(tokens, length, runs, max(4, math.ceil(math.log2(chunks))))
-    dealt = docs.withColumn("chunk", F.pmod(F.hash("doc_id"), F.lit(chunks)).cast("long"))
-    told = None
-    for number in range(1, plan.passes + 1):
-        if told is None:
-            asked = dealt.groupBy("chunk").applyInArrow(partial(_request_first, plan), MESSAGE)
-        else:
-            asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(partial(_request, plan, number), MESSAGE)
-        told = asked.groupBy("bucket").applyInArrow(partial(_answer, plan, number), MESSAGE)
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(partial(_finish, plan, with_text), RESULT)
+    chunks = max(1, math.ceil(total / (chunk_bytes or min(64 << 20, max(8 << 20, total // 100_000)))))
+    plan = Plan(tokens, length, max(64, chunks), most)
+    tasks = max(min(chunks, 24), math.ceil(chunks / 4))
+    # equal rows meet in a chunk, but those of one doc_id needn't
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(tasks, "chunk")
+    chunk = dealt.groupBy("chunk")
+    asked = chunk.applyInArrow(partial(_ask, plan), ASKED).repartition(tasks, "bucket")
+    picks = asked.groupBy("bucket").applyInArrow(partial(_open_picks, plan), OPEN).repartition(tasks, "chunk")
+    sent = chunk.cogroup(picks.groupBy("chunk")).applyInArrow(partial(_send, plan), SENT).repartition(tasks, "bucket")
+    told = sent.groupBy("bucket").applyInArrow(partial(_settle, plan), TOLD).repartition(tasks, "chunk")
+    both = told.select("chunk", "bucket", "bits", F.lit(None).cast("binary").alias("keys")).unionByName(picks.select("chunk", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "keys"))
+    return chunk.cogroup(both.groupBy("chunk")).applyInArrow(partial(_remove, plan, with_text), RESULT)
+
+
+def _ask(plan, docs):
+    try:
+        return ask(plan, docs)
+    finally:
+        tidy()
 
 
-def _request_first(plan, docs):
+def _open_picks(plan, asked):
     try:
-        return request(plan, 1, docs)
+        return open_picks(plan, asked)
     finally:
         tidy()
 
 
-def _request(plan, number, docs, told):
+def _send(plan, docs, told):
     try:
-        return request(plan, number, docs, told)
+        return send(plan, docs, told)
     finally:
         tidy()
 
 
-def _answer(plan, number, asked):
+def _settle(plan, sent):
     try:
-        return answer(plan, number, asked)
+        return settle(plan, sent)
     finally:
         tidy()
 
 
-def _finish(plan, with_text, docs, told):
+def _remove(plan, with_text, docs, told):
     try:
-        return finish(plan, with_text, docs, told)
+        return remove(plan, with_text, docs, told)
     finally:
         tidy()
 
@@ -373,10 +463,12 @@ def depth_passes(docs: DataFrame, length: int = 50, with_text: bool = False, **m
 
     Removes each byte that a `length`-byte string covers which also starts in a
     document with a smaller doc_id.  Null text: empty.  Rows without doc_id stay
-    whole.  Rows with one doc_id don't remove each other.  Returns RESULT, one
-    row per input row; other columns of docs are ignored.
+    whole and take nothing from others.  Rows with one doc_id don't remove each
+    other.  Texts of any length are read in blocks, but one is never split over
+    tasks.  Returns RESULT, one row per input row (repeated ones too); other
+    columns of docs, whatever their names, are ignored.  Empty table: no rows.
     """
-    return remove_repeats(docs, "bytes", length, True, with_text, **more)
+    return remove_repeats(docs, "bytes", length, with_text, **more)
 
 
 def doubling_levels(docs: DataFrame, length: int = 13, with_text: bool = False, **more) -> DataFrame:
@@ -384,4 +476,4 @@ def doubling_levels(docs: DataFrame, length: int = 13, with_text: bool = False,
 
     `kept` joins the words that stay by one space.
     """
-    return remove_repeats(docs, "words", length, False, with_text, **more)
+    return remove_repeats(docs, "words", length, with_text, **more)

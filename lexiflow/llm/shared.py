@@ -1,18 +1,21 @@
-"""The folder that driver and executors share, and files in it."""
+"""The folder that driver and executors share, files in it, and names that don't clash."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir of the session; where it is unset, a local folder on a local master (tests), else an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexiflow-"))
     return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -30,4 +33,22 @@ def file_system(uri: str):
         uri = "/" + uri[5:].lstrip("/")
     if uri.startswith("/"):
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }:{rest}")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until no column of docs has it (in any case of letters)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of docs; it tells rows of one doc_id apart."""
+    columns = [(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType.simpleString()) for f in docs.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else c for c, kind in columns])

@@ -1,23 +1,23 @@
 """SimHash near-dedup with multi-index hashing.
 
-Every shingle hash votes on each bit of a fingerprint.  A fingerprint posts
-into segment tables: for each segment, the members of its Hamming ball of
-radius one.  Two fingerprints whose segments differ in up to two bits meet at a
-posting between them; what meets is verified on complete distances.
-
-* `whole` keys (64 bits, distance 2): the flipped segment is keyed together with
-  the other segments as they are.  Fingerprints that meet there differ in at
-  most two bits and all that do so meet, so the search is exact, and at most 65
-  distinct fingerprints can meet at one key, however large a group of near
-  copies is.  (Tables keyed by a bare segment make a square of pairs there.)
-* `segments` keys (wider fingerprints, larger distances): keyed by the segment
-  alone.  S segments divide all bits, whatever the number of fingerprints: a pair
-  within 3 * S - 1 bits has a segment that differs in at most two, and surely
-  meets.  Chance meetings grow with the square of the number of fingerprints
-  (8 segments of 16 bits: a key gets 17 of 65,536 fingerprints).  Groups of near
-  copies are contracted first, on leaders at keys without balls; then all entries
-  of a key that are in different groups so far are compared, so no link between
-  groups is lost, and a large group of near copies makes no square of links.
+Every shingle hash votes on each bit of a fingerprint.  Fingerprints are cut
+into segments, and each segment has a table: a fingerprint stands in it at its
+own segment and asks at the members of the Hamming ball of radius one around
+it; what the table has there is verified on complete distances.
+
+* `exact_links` (64 bits, distance 2): two segments of 32 bits.  Of two
+  fingerprints in reach one segment differs in at most one bit, so they meet; the
+  one without that bit asks.  Where many have one segment, the same is done
+  within it on the other segment, whose ball of radius one links them two by two
+  without a square of pairs; segments above `most` are dealt to all tasks by
+  both parts of that key.
+* `wide_links` (wider fingerprints, larger distances): S segments, whatever the
+  number of fingerprints, both sides in the ball: a pair within 3 * S - 1 bits
+  has a segment that differs in at most two, and surely meets.  Chance meetings
+  grow with the square of the number of fingerprints (8 segments of 16 bits: a
+  key gets 17 of 65,536 fingerprints).  Groups of near copies are contracted
+  first, on links between neighbours at bare keys; then all entries of a key that
+  are in different groups so far are compared, so no link between groups is lost.
 
 Links are closed by star contraction on DataFrames with reliable checkpoints.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .textops import groups, mix, ragged, released, slices, tidy, U64, Words
+from .textops import U64, Words, binaries, expand, groups, mix, ragged, released, slices, tidy
 
 LANE_SEED = 0x9FB21C651E98DF25
 
@@ -91,7 +91,7 @@ def set_digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _fingerprint(shingle: int, lanes: int, seed: int, sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f"f{k}" for k in range(lanes)] + ["digest"] * sets
     for batch in batches:
-        data, bounds = ragged(batch.column(1))
+        data, bounds = ragged(batch.column(2))
         found = [np.zeros((0, len(names)), U64)]
         for i, j in slices(bounds, 1 << 19):
             h, first = shingle_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, seed)
@@ -100,20 +100,20 @@ def _fingerprint(shingle: int, lanes: int, seed: int, sets: bool, batches: Itera
             prints = fingerprints(h, first, lanes)
             found.append(np.column_stack((prints, set_digests(h, first))) if sets else prints)
         all_ = np.concatenate(found)
-        yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in all_.T)], names=["doc_id", *names])
+        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in all_.T)], names=["doc_id", "text_key", *names])
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = 3, lanes: int = 1, seed: int = 42, sets: bool = False) -> DataFrame:
-    """doc_id and f0.. (64 bits each) of every row.  Null text: no words, zero.
+    """doc_id, text_key (a hash of the text) and f0.. (64 bits each) of every row.  Null text: no words, zero.
 
     sets: each different shingle votes once, and a column `digest` tells sets apart.
     """
-    schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", digest long" * sets
+    schema = "doc_id long, text_key long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", digest long" * sets
     return _texts(docs).mapInArrow(partial(_fingerprint, shingle, lanes, seed, sets), schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
 @released
@@ -122,21 +122,167 @@ def _sets(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterato
         data, bounds = ragged(batch.column(1))
         for i, j in slices(bounds, 1 << 19):
             h, first = shingle_sets(*shingle_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, seed))
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "shingles"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "shingles"])
 
 
-def similar(docs: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+def similar(docs: DataFrame, known: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
     """Those of links(node, other) whose texts have sets of shingles of that Jaccard similarity or more."""
     links = links.distinct().checkpoint()
-    ends = links.select(F.explode(F.array("node", "other")).alias("doc_id")).distinct()
-    sets = _texts(docs).join(ends, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle, seed), "doc_id long, shingles array<long>").checkpoint()
-    one = sets.select(F.col("doc_id").alias("node"), F.col("shingles").alias("a"))
-    two = sets.select(F.col("doc_id").alias("other"), F.col("shingles").alias("b"))
+    ends = known.select("node", "doc_id", "text_key").join(links.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi")
+    texts = _texts(docs).join(ends, ["doc_id", "text_key"]).select("node", "text")
+    sets = texts.mapInArrow(partial(_sets, shingle, seed), "node long, shingles array<long>").checkpoint()
+    one = sets.select("node", F.col("shingles").alias("a"))
+    two = sets.select(F.col("node").alias("other"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     enough = both + F.lit(1e-9) >= F.lit(similarity) * (F.size("a") + F.size("b") - both)
     return links.join(one, "node").join(two, "other").where(enough).select("node", "other").distinct().checkpoint()
 
 
+def _flips(value: np.ndarray, bits: int, ball: bool = True) -> np.ndarray:
+    """(1 + bits, n): the values, and those with each bit flipped."""
+    return np.stack([value, *(value ^ (U64(1) << U64(b)) for b in range(bits if ball else 0))])
+
+
+# links at distance 2 of 64 bits
+
+HALF = U64(32)
+LOW = U64((1 << 32) - 1)
+
+
+def _half_keys(prints: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the segment, the other one)."""
+    return (prints >> HALF, prints & LOW) if segment else (prints & LOW, prints >> HALF)
+
+
+@released
+def _post_halves(bits: int, hot: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the two segment tables by bucket; role: 0 stands there, 1 asks, 2 is in a split segment (pairs of all roles are near)."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 20_000):
+            part = batch.slice(begin, 20_000)
+            node, prints = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            prints = prints.view(U64)
+            keys, who, roles = [], [], []
+
+            def post(key: np.ndarray, at: np.ndarray, role: int) -> None:
+                keys.append(key)
+                who.append(at)
+                roles.append(np.full(len(at), role, np.uint8))
+
+            for s in range(2):
+                value, other = _half_keys(prints, s)
+                tag = U64(0x9E3779B97F4A7C15 * (s + 1) & (1 << 64) - 1)
+
+                def of_split(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+                    return mix(mix(v ^ tag) + x)
+
+                split = np.isin(value, hot[s])
+                at = np.flatnonzero(~split)
+                post(mix(value[at] ^ tag), at, 0)
+                at = np.flatnonzero(split)
+                for x in _flips(other[at], 32):
+                    post(of_split(value[at], x), at, 2)
+                for b in range(32):
+                    at = np.flatnonzero(value & (U64(1) << U64(b)) == 0)
+                    asked = value[at] | (U64(1) << U64(b))
+                    split = np.isin(asked, hot[s]) if len(hot[s]) else np.zeros(len(at), bool)
+                    post(mix(asked[~split] ^ tag), at[~split], 1)
+                    post(of_split(asked[split], other[at[split]]), at[split], 2)
+            key, at, role = np.concatenate(keys), np.concatenate(who), np.concatenate(roles)
+            order = np.argsort(key)
+            key, at, role = key[order], at[order], role[order]
+            bucket = (key >> U64(64 - bits)).astype(np.int64)
+            start = groups(bucket)
+            end = np.append(start[1:], len(key))
+            yield pa.record_batch(
+                [pa.array(bucket[start]), binaries(key, 8 * end), binaries(node[at], 8 * end), binaries(prints[at], 8 * end), binaries(role, end)],
+                names=["bucket", "keys", "nodes", "prints", "roles"],
+            )
+
+
+#: Pairs that are compared at once, and the most compared directly at one key.
+AT_ONCE, DIRECT = 1 << 20, 1 << 16
+
+
+def _meet_halves(table: pa.Table) -> pa.Table:
+    """Links (node, other) of what meets at the keys of a bucket; other is the smaller."""
+
+    def column(name: str, dtype) -> np.ndarray:
+        return np.frombuffer(ragged(table[name])[0].tobytes(), dtype)
+
+    key, node, prints, role = column("keys", U64), column("nodes", np.int64), column("prints", U64), column("roles", np.uint8)
+    order = np.lexsort((role, key))
+    key, role, node, prints = key[order], role[order], node[order], prints[order]
+    # keys of split segments are apart from those of others
+    start = groups(key)
+    start = np.union1d(start, np.flatnonzero((role[1:] == 2) & (role[:-1] != 2)) + 1)
+    size = np.diff(np.append(start, len(key)))
+    # what is alone at its key, or only asks there, meets nothing
+    some = (size > 1) & (role[start] != 1)
+    start, size = start[some], size[some]
+    held = np.concatenate(([0], np.cumsum(role == 0)))
+    held = held[start + size] - held[start]
+    links = []
+
+    def star(members: np.ndarray, names: np.ndarray) -> None:
+        """Members of one name are near each other: each is linked with the least of them."""
+        while len(members):
+            order = np.lexsort((node[members], names))
+            members, names = members[order], names[order]
+            begin = groups(names)
+            least = np.repeat(members[begin], np.diff(np.append(begin, len(members))))
+            near = np.bitwise_count(prints[members] ^ prints[least]) <= 2
+            links.append((members[near], least[near]))
+            members, names = members[~near], names[~near]  # another key with the same hash
+
+    split = role[start] == 2
+    at = expand(start[split], start[split] + size[split])
+    star(at, key[at])
+    # each that stands at a key with all behind it: those that stand there too, and those that ask
+    direct = ~split & (held * size <= DIRECT)
+    first = expand(start[direct], start[direct] + held[direct])
+    stop = np.repeat((start + size)[direct], held[direct])
+    upto = np.cumsum(stop - first - 1)
+    edges = np.searchsorted(upto, np.arange(AT_ONCE, upto[-1], AT_ONCE)) + 1 if len(upto) else []
+    for f, z in zip(np.split(first, edges), np.split(stop, edges)):
+        one, two = np.repeat(f, z - f - 1), expand(f + 1, z)
+        near = np.bitwise_count(prints[one] ^ prints[two]) <= 2
+        links.append((one[near], two[near]))
+    # long lists, all of one segment: by the ball of the other segment
+    for a, n, h in zip(start[~split & ~direct].tolist(), size[~split & ~direct].tolist(), held[~split & ~direct].tolist()):
+        own = np.arange(a, a + n)
+        differs = np.bitwise_or.reduce(prints[own[:h]] ^ prints[a])
+        other = _half_keys(prints[own], 0 if differs & LOW == 0 else 1)[1]
+        balls = _flips(other[:h], 32)
+        star(np.concatenate((np.tile(own[:h], len(balls)), own[h:])), np.concatenate((balls.ravel(), other[h:])))
+    one, two = (np.concatenate(x) for x in zip(*links))
+    found = np.stack((np.maximum(node[one], node[two]), np.minimum(node[one], node[two])), axis=1)
+    found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
+    return pa.table({"node": found[:, 0], "other": found[:, 1]})
+
+
+def _meet_exact(table):
+    try:
+        return _meet_halves(table)
+    finally:
+        tidy()
+
+
+def exact_links(known: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """links(node, other) of all of known(node, f0) that differ in two bits or fewer, as far as their groups need."""
+    most = max(most, n // 20_000)  # the segments above it, under 20,000 of each table, reach the driver
+    segments = [F.shiftrightunsigned("f0", 32 * s).bitwiseAND(F.lit((1 << 32) - 1)) for s in range(2)]
+    each = known.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in enumerate(segments)])).alias("x"))
+    full = each.groupBy("x.s", "x.v").count().where(F.col("count") > most).collect()
+    hot = [np.array(sorted(r["v"] for r in full if r["s"] == s), U64) for s in range(2)]
+    bits = max(6, math.ceil(math.log2(max(1, 34 * n) / 300_000)))
+    posted = known.select("node", "f0").mapInArrow(partial(_post_halves, bits, hot), "bucket long, keys binary, nodes binary, prints binary, roles binary")
+    return posted.groupBy("bucket").applyInArrow(_meet_exact, "node long, other long")
+
+
+# links at larger distances
+
+
 def segment_values(prints: np.ndarray, width: int, count: int) -> np.ndarray:
     """(count, n): consecutive segments of `width` bits of the lanes as one bit string."""
     n, lanes = prints.shape
@@ -145,41 +291,23 @@ def segment_values(prints: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.stack([(bits[:, s * width : (s + 1) * width].astype(U64) * weight).sum(axis=1, dtype=U64) for s in range(count)])
 
 
-def postings(prints: np.ndarray, width: int | None, count: int, ball: bool = True) -> np.ndarray:
-    """(keys a fingerprint, n) of 64-bit keys; width None: whole keys; without ball: of the segments as they are."""
-    if width is None:
-        own = prints[:, 0]
-        return np.stack([own, *(own ^ (U64(1) << U64(b)) for b in range(64))])
-    out = []
-    for s, value in enumerate(segment_values(prints, width, count)):
-        out += [(v << U64(4)) | U64(s) for v in (value, *(value ^ (U64(1) << U64(b)) for b in range(width if ball else 0)))]
-    return np.stack(out)
-
-
 @released
-def _post(width: int | None, count: int, ball: bool, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(width: int, count: int, ball: bool, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 5_000):
             part = batch.slice(at, 5_000)
             prints = np.stack([c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns[2:]], axis=1)
-            rep, label = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            keys = postings(prints, width, count, ball)
-            key, who = mix(keys.ravel()), np.tile(np.arange(len(rep)), len(keys))
+            node, label = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            keys = np.concatenate([_flips(v, width, ball) << U64(4) | U64(s) for s, v in enumerate(segment_values(prints, width, count))])
+            key, who = mix(keys.ravel()), np.tile(np.arange(len(node)), len(keys))
             order = np.argsort(key)
             key, who = key[order], who[order]
             bucket = (key >> U64(64 - bits)).astype(np.int64)
             start = groups(bucket)
             end = np.append(start[1:], len(key))
-            lanes = prints[who] if width is not None else None
             yield pa.record_batch(
-                [
-                    pa.array(bucket[start]),
-                    pa.array([key[a:b].tobytes() for a, b in zip(start, end)], pa.binary()),
-                    pa.array([rep[who[a:b]].tobytes() for a, b in zip(start, end)], pa.binary()),
-                    pa.array([None if lanes is None else label[who[a:b]].tobytes() for a, b in zip(start, end)], pa.binary()),
-                    pa.array([None if lanes is None else lanes[a:b].tobytes() for a, b in zip(start, end)], pa.binary()),
-                ],
-                names=["bucket", "keys", "reps", "labels", "prints"],
+                [pa.array(bucket[start]), binaries(key, 8 * end), binaries(node[who], 8 * end), binaries(label[who], 8 * end), binaries(prints[who], 8 * prints.shape[1] * end)],
+                names=["bucket", "keys", "nodes", "labels", "prints"],
             )
 
 
@@ -220,49 +348,60 @@ def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: in
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _meet(distance: int, lanes: int, leaders: bool, by_label: bool, table: pa.Table) -> pa.Table:
+#: Entries behind each one that it is compared with when groups are contracted, and the nearest of them that are linked.
+AHEAD, NEAREST = 16, 2
+
+
+def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each entry the nearest ones of other labels within the distance, among the next ones of its key."""
+    n = len(key)
+    best = np.full((NEAREST, n), np.iinfo(np.int32).max, np.int64)
+    for step in range(1, min(AHEAD, n - 1) + 1):
+        i = np.flatnonzero((key[:-step] == key[step:]) & (label[:-step] != label[step:]))
+        apart = np.bitwise_count(prints[i] ^ prints[i + step]).sum(axis=1, dtype=np.int64)
+        found = np.where(apart <= distance, apart * 64 + step, best[-1, i])
+        for row in best:
+            lower = np.minimum(row[i], found)
+            found = np.maximum(row[i], found)
+            row[i] = lower
+    rows, i = np.nonzero(best < np.iinfo(np.int32).max)
+    return i, i + best[rows, i] % 64
+
+
+def _meet(distance: int, lanes: int, all_pairs: bool, by_label: bool, table: pa.Table) -> pa.Table:
     """Links (node, other) of what meets at the keys of a bucket; other is the smaller.
 
-    leaders: each entry is compared with the leaders found so far at its key, else
-    with all of other labels; by_label: links are those of the labels.
+    all_pairs: each entry is compared with all of other labels at its key, else
+    with some; by_label: links are those of the labels.
     """
-    whole = table["prints"][0].as_py() is None
 
-    def column(name, dtype):
-        return np.concatenate([np.frombuffer(x, dtype) for x in table[name].to_pylist()])
+    def column(name: str, dtype) -> np.ndarray:
+        return np.frombuffer(ragged(table[name])[0].tobytes(), dtype)
 
-    key, rep = column("keys", U64), column("reps", np.int64)
-    label = rep if whole else column("labels", np.int64)
-    order = np.lexsort((rep, label, key))
-    key, rep, label = key[order], rep[order], label[order]
-    start = groups(key)
-    size = np.diff(np.append(start, len(key)))
-    links: list[np.ndarray] = []
-    if whole:
-        least = np.repeat(rep[start], size)
-        links.append(np.stack((rep, least), axis=1)[rep != least])
-    else:
-        prints = column("prints", U64).reshape(-1, lanes)[order]
-        if leaders:
-            for a, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-                left = np.arange(a, a + n)
-                while len(left) > 1:
-                    near = np.bitwise_count(prints[left] ^ prints[left[0]]).sum(axis=1) <= distance
-                    links.append(np.stack((rep[left[near][1:]], np.full(int(near.sum()) - 1, rep[left[0]])), axis=1))
-                    left = left[~near]
-        else:
-            name = label if by_label else rep
-            links.append(np.sort(np.stack([name[x] for x in _across(key, label, prints, distance)], axis=1), axis=1)[:, ::-1])
-    found = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
+    key, node, label = column("keys", U64), column("nodes", np.int64), column("labels", np.int64)
+    prints = column("prints", U64).reshape(-1, lanes)
+    order = np.lexsort((node, label, key) if all_pairs else (node, *prints.T, key))
+    key, node, label, prints = key[order], node[order], label[order], prints[order]
+    name = label if by_label else node
+    pairs = (_across if all_pairs else _neighbours)(key, label, prints, distance)
+    found = np.unique(np.sort(np.stack([name[x] for x in pairs], axis=1), axis=1)[:, ::-1], axis=0)
     return pa.table({"node": found[:, 0], "other": found[:, 1]})
 
 
-def _met(known: DataFrame, n: int, prints: list[str], distance: int, width: int | None, segments: int, ball: bool = True, by_label: bool = True) -> DataFrame:
-    """links(node, other) of known(rep, label, f0..)."""
-    posted = n * (65 if width is None else segments * (width + 1 if ball else 1))
-    bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)) if posted > 300_000 else 4)
-    met = known.select("rep", "label", *prints).mapInArrow(partial(_post, width, segments, ball, bits), "bucket long, keys binary, reps binary, labels binary, prints binary")
-    return met.groupBy("bucket").applyInArrow(partial(_meet_bucket, distance, len(prints), not ball, by_label), "node long, other long")
+def _meet_wide(distance, lanes, all_pairs, by_label, table):
+    try:
+        return _meet(distance, lanes, all_pairs, by_label, table)
+    finally:
+        tidy()
+
+
+def wide_links(known: DataFrame, n: int, prints: list[str], distance: int, segments: int, all_pairs: bool = True, by_label: bool = True) -> DataFrame:
+    """links(node, other) of known(node, label, f0..)."""
+    width = min(64 * len(prints) // segments, 56)
+    posted = n * segments * (width + 1 if all_pairs else 1)
+    bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)))
+    met = known.select("node", "label", *prints).mapInArrow(partial(_post, width, segments, all_pairs, bits), "bucket long, keys binary, nodes binary, labels binary, prints binary")
+    return met.groupBy("bucket").applyInArrow(partial(_meet_wide, distance, len(prints), all_pairs, by_label), "node long, other long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -295,17 +434,30 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"links were not closed in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes: int = 1, segments: int | None = None, seed: int = 42, similarity: float | None = None) -> DataFrame:
-    """Per row of docs: doc_id, f0.., component_id (smallest doc_id reachable over links).
+def _united(closed: DataFrame, links: DataFrame) -> DataFrame:
+    """components of links together with the groups found so far."""
+    return components(closed.select("node", F.col("component").alias("other")).union(links))
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, distance: int = 2, lanes: int = 1, segments: int | None = None, seed: int = 42, similarity: float | None = None, contractions: int = 2
+) -> DataFrame:
+    """Per row of docs: doc_id, text_key, f0.., component_id (smallest doc_id reachable over links).
 
     Fingerprints link at `distance` or fewer differing bits.  segments None: 64
     bits and distance 2, exact.  Else that many segments, which find a pair if
     one of them differs in at most two bits: always up to 3 * segments - 1.
     similarity (with segments): only texts link whose sets of shingles have that
     Jaccard similarity or more, also where fingerprints are equal; these are then
-    of the sets, and doc_id is unique (rows with the same one link together).  Null text and texts without words
-    have fingerprint zero and link like any other.  Rows without doc_id get the
-    component of their fingerprint, null if no other row has it.
+    of the sets.  contractions: rounds that join neighbours before all pairs meet
+    (they change the time taken, not the result).
+
+    Null text and texts without words have fingerprint zero and link like any
+    other.  Rows are told apart by their texts: rows of one doc_id with other
+    texts may be in other components; a repeated row has its component twice.
+    Rows without doc_id get the component of their fingerprint, null if no other
+    row has it.  Other columns are ignored.  Long texts are read whole, one at a
+    time.
     """
     if segments is None and (lanes, distance, similarity) != (1, 2, None):
         raise ValueError("without segments: one lane, distance 2 and no similarity")
@@ -315,26 +467,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, lanes:
     sets = similarity is not None
     table = fingerprint_table(docs, shingle, lanes, seed, **{"sets": True} if sets else {}).checkpoint()
     own_set = prints + ["digest"] * sets
-    distinct = table.groupBy(*own_set).agg(F.min("doc_id").alias("rep"))
-    known = distinct.where("rep IS NOT NULL").select("rep", *prints).checkpoint()
+    distinct = table.groupBy(*own_set).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
+    # numbers of their own: a doc_id may have several texts
+    known = distinct.where("least IS NOT NULL").select(F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.text_key", *own_set).checkpoint()
     n = known.count()
-    own = known.withColumn("label", F.col("rep"))
     if segments is None:
-        closed = components(_met(own, n, prints, distance, None, 1))
+        closed = components(exact_links(known, n))
     else:
-        width = min(64 * lanes // segments, 56)
-        keep = (lambda links: similar(docs, links, shingle, seed, similarity)) if sets else (lambda links: links)
-        # most of a large group is contracted on few comparisons, at half the distance
-        closed = components(keep(_met(own, n, prints, distance // 2, width, segments, ball=False)))
-        labelled = known.join(closed, known.rep == closed.node, "left").select("rep", *prints, F.coalesce("component", "rep").alias("label"))
-        rest = keep(_met(labelled, n, prints, distance, width, segments, by_label=not sets))
-        closed = components(closed.select("node", F.col("component").alias("other")).union(rest))
-    named = distinct.join(closed, distinct.rep == closed.node, "left").select(*own_set, F.coalesce("component", "rep").alias("component_id"))
-    return table.join(named, own_set).select("doc_id", *prints, "component_id")
-
-
-def _meet_bucket(distance, lanes, leaders, by_label, table):
-    try:
-        return _meet(distance, lanes, leaders, by_label, table)
-    finally:
-        tidy()
+        keep = (lambda links: similar(docs, known, links, shingle, seed, similarity)) if sets else (lambda links: links)
+        closed = spark.createDataFrame([], "node long, component long")
+        for k in range(contractions + 1):
+            labelled = known.join(closed, "node", "left").select("node", *prints, F.coalesce("component", "node").alias("label"))
+            last = k == contractions
+            closed = _united(closed, keep(wide_links(labelled, n, prints, distance, segments, last, last and not sets)))
+    # the least doc_id of each group
+    grouped = closed.union(closed.select("component", "component").distinct()).join(known.select("node", "doc_id"), "node")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    grouped = grouped.join(least, "component").select("node", "component_id")
+    named = known.join(grouped, "node", "left").select(*own_set, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return table.join(named, own_set, "left").select("doc_id", "text_key", *prints, "component_id")

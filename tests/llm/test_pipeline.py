@@ -92,8 +92,8 @@ def test_near_candidates_miss_no_pair_at_the_distance(spark, monkeypatch):
     for k in range(300):
         a = rng.getrandbits(128)
         b = a ^ sum(1 << x for x in rng.sample(range(128), 21))
-        rows += [(2 * k + i, signed(p & (1 << 64) - 1), signed(p >> 64)) for i, p in enumerate((a, b))]
-    table = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long")
+        rows += [(2 * k + i, 0, signed(p & (1 << 64) - 1), signed(p >> 64)) for i, p in enumerate((a, b))]
+    table = spark.createDataFrame(rows, "doc_id long, text_key long, f0 long, f1 long")
     monkeypatch.setattr(simhash, "fingerprint_table", lambda *_, **__: table)
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, **getattr(corpus_pipeline, "NEAR", {"distance": 21, "lanes": 2, "segments": 4})).collect()}
     assert found == {k: k // 2 * 2 for k in range(600)}
@@ -101,7 +101,7 @@ def test_near_candidates_miss_no_pair_at_the_distance(spark, monkeypatch):
 
 def test_near_links_are_not_shadowed(spark, monkeypatch):
     """A-B and B-C are near, A-C is not, and A has every key at which B and C meet: they are one group."""
-    table = spark.createDataFrame([(0, 0, 0), (1, 0x003F003F, 0), (2, 0x0FFF0FFF, 0), (3, -1, -1)], "doc_id long, f0 long, f1 long")
+    table = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0x003F003F, 0), (2, 0, 0x0FFF0FFF, 0), (3, 0, -1, -1)], "doc_id long, text_key long, f0 long, f1 long")
     monkeypatch.setattr(simhash, "fingerprint_table", lambda *_, **__: table)
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, distance=12, lanes=2, segments=8).collect()}
     assert found == {0: 0, 1: 0, 2: 0, 3: 3}
@@ -140,3 +140,14 @@ def test_near_links_are_those_of_the_shingle_sets(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     left = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
     assert sorted(set(range(len(texts))) - left) == want
+
+
+def test_near_stage_keeps_own_texts_of_shared_ids(spark):
+    """A row with the doc_id of a copy and a text of its own stays."""
+    rng = random.Random(9)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    one, own = prose(), prose()
+    rows = [(1, one), (5, one), (5, own), (7, prose()), (None, one), (8, own)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, "").collect()), key=repr)
+    assert left == sorted([(1, one), (5, own), rows[3], (None, one)], key=repr)
