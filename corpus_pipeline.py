@@ -38,11 +38,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Sets of five-word shingles; fingerprints of 128 bits within 32 bits are
     candidates, and link if the sets have a Jaccard similarity of 0.8 or more.
-    Documents without doc_id stay.
+    Documents without doc_id stay.  Rows are told apart by doc_id and text: of two
+    rows with one doc_id, the one that is a copy goes and the other stays.
     """
     groups = simhash.near_duplicates(docs, **NEAR, similarity=0.8)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct()
+    same = (docs.doc_id.cast("long") == copies.copy_id) & (F.xxhash64(docs.text.cast("string")) == copies.copy_key)
+    return docs.join(copies, same, "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
