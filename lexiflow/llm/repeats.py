@@ -45,6 +45,8 @@ TOLD = "chunk long, bucket long, bits binary"
 RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 #: Tokens of a text that are hashed at once.
 BLOCK = 1 << 18
+#: Windows that are ordered at once, and those of one pick.
+WINDOWS = 1 << 18
 #: Low bits of a key: whether several documents have it, and the power of two of its number of runs.
 FLAGS = 6
 
@@ -328,12 +330,17 @@ def settle(plan: Plan, sent: pa.Table) -> pa.Table:
     order = np.argsort(keys[first], kind="stable")
     start = groups(keys[first][order])
     count = np.diff(np.append(start, len(order)))
-    mixed = np.zeros(len(first), bool)
-    mixed[order] = np.repeat(count > 1, count)
     begin = np.cumsum(wins[first]) - wins[first]
     oldest = np.repeat(least, wins[first])
-    m = np.flatnonzero(mixed)
-    if len(m):
+    mixed = order[np.repeat(count > 1, count)]
+    # equal windows have one pick, so picks are ordered a few at a time
+    upto_window = np.cumsum(wins[first[mixed]])
+    pick = groups(keys[first[mixed]])
+    batch = upto_window[pick] // WINDOWS
+    for k in np.unique(batch):
+        some = pick[batch == k]
+        later = pick[batch > k]
+        m = mixed[some[0] : later[0] if len(later) else len(mixed)]
         low, high = (upto - sizes)[first[m]], upto[first[m]]
         n = wins[first[m]]
         if plan.tokens == "bytes":
@@ -402,7 +409,7 @@ def remove(plan: Plan, with_text: bool, docs: pa.Table, told: pa.Table) -> pa.Ta
     return pa.table([c.ids.cast(pa.int64()), *counts, pa.array(hashes, pa.string()), pa.array(kept, pa.binary())], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
-def remove_repeats(docs: DataFrame, tokens: str, length: int, with_text: bool = False, chunk_bytes: int | None = None, most: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, tokens: str, length: int, with_text: bool = False, chunk_bytes: int | None = None, most: int = 20_000) -> DataFrame:
     """Per row of docs(doc_id, text): what stays when later copies of windows go (see module).
 
     chunk_bytes: text of a chunk, 8 MB and on very large tables up to 64.

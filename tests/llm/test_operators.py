@@ -88,10 +88,11 @@ def removed(tokens_of, length, join):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [200_000, 2])
+@pytest.mark.parametrize("most, windows", [(20_000, 1 << 18), (2, 100)])
 @pytest.mark.parametrize("kind", ["bytes", "words"])
-def test_repeats(docs, kind, most):
-    """Also with all picks of more than two runs split."""
+def test_repeats(docs, kind, most, windows, monkeypatch):
+    """Also with all picks of more than two runs split, and few windows at once."""
+    monkeypatch.setattr(repeats, "WINDOWS", windows)
     if kind == "bytes":
         want = removed(lambda t: (t or "").encode(), 50, bytes)
         found = repeats.depth_passes(docs, 50, chunk_bytes=60_000, most=most)
