@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import BYTE_VALUE, Numbering, Rolling, U64, Words, binaries, concat, eights, expand, groups, joined, ragged, sliding_min, tidy, window_hashes
+from .textops import BYTE_VALUE, Numbering, Rolling, U64, Words, binaries, concat, eights, expand, groups, joined, mix, ragged, sliding_min, tidy, window_hashes
 
 ASKED = "bucket long, chunk long, keys binary"
 OPEN = "chunk long, keys binary"
@@ -126,7 +126,8 @@ class Chunk:
             start = start[ok]
             starts.append(start + a)
             ends.append(end + a)
-            keys.append(least[start] >> U64(FLAGS) << U64(FLAGS))
+            # least hashes are small ones: mixed, they spread over all buckets
+            keys.append(mix(least[start]) >> U64(FLAGS) << U64(FLAGS))
         self.start, self.end, self.key = concat(starts, np.int64), concat(ends, np.int64), concat(keys, U64)
         # runs of neighbouring documents are never one: a document's last windows are not usable
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
