@@ -120,6 +120,7 @@ def is_setoff_subheading(raw: Column, text: Column) -> Column:
     """A single set-off line that reads as a title: up to 100 characters and 14 words."""
     bare, words = strip(raw), F.size(F.split(normalize(text), " "))
     plain = (bare != "") & (bare == text) & ~F.contains(bare, F.lit("\n")) & (F.length(text) <= 100) & (words <= 14)
+    # fixed values: what no such line ends or begins with, or has
     excluded = (
         r"[.!?;:。！？；：]$",
         r"^[—\-–•*+>\[(]",
@@ -132,22 +133,27 @@ def is_setoff_subheading(raw: Column, text: Column) -> Column:
     return plain & has_heading_case(text)
 
 
+#: Full-width forms of the printable ASCII characters, and the wide space.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
 def chapter_key(title: Column) -> Column:
-    """chapter-0 for a prologue, chapter-N for a leading number; null else.  Full-width digits count."""
-    ascii_title = F.translate(F.lower(F.trim(title)), "０１２３４５６７８９", "0123456789")
-    number = F.regexp_extract(ascii_title, r"^(?:chapter\s+)?(\d{1,2})(?!\d)", 1)
-    prologue = F.regexp_like(ascii_title, F.lit("^(prologue|preface|序言|序章|前言)"))
+    """chapter-0 for a prologue, chapter-N for a leading number; null else.  Full-width forms count."""
+    ascii_title = F.lower(F.trim(F.translate(title, FULL_WIDTH, HALF_WIDTH)))
+    number = F.regexp_extract(ascii_title, r"(?U)^(?:chapter\s*)?([0-9]{1,2})\b", 1)
+    prologue = F.regexp_like(ascii_title, F.lit(r"(?U)\b(?:prologue|preface)\b|^序言"))
     return F.when(prologue, F.lit("chapter-0")).when(number != "", F.concat(F.lit("chapter-"), number.cast("int").cast("string")))
 
 
 # -- summaries, rendering ------------------------------------------------------------------
 def truncate(text: Column, limit: int) -> Column:
-    """Up to `limit` characters, cut after a sentence, else a word, in the later half."""
+    """Up to `limit` characters, cut after a sentence (a Chinese mark, or a Latin one and a space), else a word, in the later half."""
     flat = normalize(text)
     head = F.substring(flat, 1, limit)
-    sentence = F.length(F.regexp_extract(head, r"(?s)^.*[.!?。！？]", 0))
+    sentence = F.length(F.regexp_extract(head, r"(?s)^.*(?:[。！？]|[.!?](?= ))", 0))
     word = F.length(F.regexp_extract(head, r"(?s)^.* ", 0)) - 1
-    cut = F.when(sentence >= limit // 2, sentence).when(word >= limit // 2, word).otherwise(F.lit(limit))
+    cut = F.when(sentence > limit // 2, sentence).when(word >= limit // 2, word).otherwise(F.lit(limit))
     return F.when(F.length(flat) <= limit, flat).otherwise(F.rtrim(F.substring(head, F.lit(1), cut)))
 
 

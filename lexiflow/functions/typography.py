@@ -8,34 +8,25 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Marks that open, close or do either; fixed values.
-OPENING, CLOSING, CORNERS = "“‘「『", "”’」』", "「」『』"
-OUTER, INNER = "“”", "‘’"
-_CODE = re.compile(r"(```.*?```|`[^`\n]*`)", re.S)
-_APOSTROPHE = re.compile(r"(?<=[A-Za-z])[”’](?=[A-Za-z])|(?<=[A-Za-z]s)[”’](?=\s+[A-Za-z])")
+#: Letters of Latin words; marks and what readers get for them; fixed values.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+CORNERS = str.maketrans("「」『』", "“”‘’")
+SINGLE = {"‘": "“", "’": "”"}
+_CODE = re.compile(r"(`[^`\n]*`)")
+#: A closing mark within a Latin word, or between two, stands for an apostrophe.
+_APOSTROPHE = re.compile(rf"(?<=[{LATIN}])[”’](?=\s*[{LATIN}])")
+#: A quotation in double marks up to its end, or a single mark outside of one.
+_QUOTED = re.compile("[“「][^”」]*|[‘’]")
 
 
 def normalize_quotes(text: str) -> str:
     """Outermost quotations in double marks, those within in single ones."""
-    text = _APOSTROPHE.sub("'", text) if not _paired(text) else re.sub(r"(?<=[A-Za-z])[’](?=[A-Za-z])", "'", text)
-    out, depth = [], 0
-    for c in text:
-        if c in OPENING:
-            out.append((OUTER if depth % 2 == 0 else INNER)[0])
-            depth += 1
-        elif c in CLOSING:
-            depth = max(0, depth - 1)
-            out.append((OUTER if depth % 2 == 0 else INNER)[1])
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-def _paired(text: str) -> bool:
-    return any(c in OPENING for c in text)
+    text = _APOSTROPHE.sub("'", text)
+    return _QUOTED.sub(lambda m: SINGLE.get(m[0], m[0]), text).translate(CORNERS)
 
 
 def reader_typography(text: str) -> str:
+    """normalize_quotes outside of code spans."""
     return "".join(part if k % 2 else normalize_quotes(part) for k, part in enumerate(_CODE.split(text)))
 
 
@@ -44,18 +35,17 @@ def typography(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else reader_typography(t))
 
 
-_NOTE_LINK = re.compile(r"\[(\d+)\]\(([^)]+)\)")
+_NOTE_LINK = re.compile(r"(?<!!)\[(\d+)\]\(([^)]+)\)")
+_NOTE = re.compile(r"(?<!!)\[(\d+)\](?!\()")
 
 
 def restore_numeric_links(source: str, output: str) -> str:
-    """Numeric reference links of the source that the output has lost as links but kept as [n], or lost, are put back."""
-    for label, target in _NOTE_LINK.findall(source):
-        link = f"[{label}]({target})"
-        if link in output:
-            continue
-        bare = re.compile(rf"\[{label}\](?!\()")
-        output = bare.sub(lambda _: link, output, count=1) if bare.search(output) else output + link
-    return output
+    """Targets of the source's numeric references, put back where the output has kept their numbers in the same order; else the output as it is."""
+    links = _NOTE_LINK.findall(source)
+    if not links or [label for label, _ in links] != _NOTE.findall(output)[: len(links)]:
+        return output
+    targets = iter(links)
+    return _NOTE.sub(lambda m: m[0] + "({})".format(next(targets)[1]), output, count=len(links))
 
 
 @F.pandas_udf(StringType())

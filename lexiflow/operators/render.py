@@ -9,12 +9,16 @@ from ..functions import text as T
 from ..functions.typography import typography
 
 
-def is_probable_subheading(raw: Column) -> Column:
-    """Two to eight words, up to 80 characters, in title case, one line, no sentence."""
-    words = F.size(F.split(T.normalize(raw), " "))
-    plain = ~F.contains(raw, F.lit("\n")) & words.between(2, 8) & (F.length(raw) <= 80) & ~F.regexp_like(raw, F.lit(r"[.!?;:,。！？；：，]$|[\[\]()*_`>#|]"))
-    large = F.filter(F.split(T.normalize(raw), " "), lambda w: ~F.lower(w).isin(T.SMALL_WORDS))
-    return plain & F.forall(large, lambda w: F.regexp_like(w, F.lit(T.CAPITAL)))
+#: Words that may be small in such a title; fixed values.
+SMALL_IN_TITLES = ("of", "the", "and", "in", "to")
+
+
+def is_probable_subheading(raw: Column, kind: Column) -> Column:
+    """A paragraph without markup of two to eight words, up to 80 characters, in title case, that doesn't end like a sentence."""
+    bare = T.strip(raw)
+    words = F.split(T.normalize(raw), " ")
+    plain = (kind == "paragraph") & F.size(words).between(2, 8) & (F.length(bare) <= 80) & ~F.regexp_like(bare, F.lit(r"[.!?;:]$|[\[\]*_`>#|]"))
+    return plain & F.forall(words, lambda w: F.regexp_like(w, F.lit(r"^\p{Lu}")) | F.lower(w).isin(*SMALL_IN_TITLES))
 
 
 def rendered_blocks(segments: DataFrame, titles: DataFrame, content: str = "translated", typeset: bool = True) -> DataFrame:
@@ -29,7 +33,7 @@ def rendered_blocks(segments: DataFrame, titles: DataFrame, content: str = "tran
     both = F.when(target != F.col("title"), F.concat_ws(" / ", "title", target)).otherwise(F.col("title"))
     heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), target if content == "translated" else both)
     output = F.when(F.col("kind") == "code", F.col("output")).otherwise(typography("output")) if typeset else F.col("output")
-    under = (F.col("kind") == "subheading") | is_probable_subheading(F.col("raw"))
+    under = (F.col("kind") == "subheading") | is_probable_subheading(F.col("raw"), F.col("kind"))
     marked = F.when(under, F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + 1, F.lit(6))), F.lit(" "), output)).otherwise(output)
     if content == "bilingual":
         quoted = F.regexp_replace("raw", "(?m)^", "> ")

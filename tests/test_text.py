@@ -51,10 +51,11 @@ def test_truncate_never_cuts_a_word(of):
     assert found.startswith("A complete sentence.") and found.endswith("word") and len(found) <= 120
     assert of(lambda c: text.truncate(c, 30), "First one here. Second goes on") == "First one here. Second goes on"
     assert of(lambda c: text.truncate(c, 24), "First one here. Second goes on") == "First one here."
+    assert of(lambda c: text.truncate(c, 26), "It rose by some 3.14 percent in May") == "It rose by some 3.14"
 
 
 def test_chapter_keys(of):
-    for title, key in (("１ 對科技的掌控", "chapter-1"), ("Chapter 12 End", "chapter-12"), ("Prologue", "chapter-0"), ("序言", "chapter-0"), ("7 Days", "chapter-7"), ("Notes", None), ("1984 revisited", None)):
+    for title, key in (("１ 對科技的掌控", "chapter-1"), ("Chapter 12 End", "chapter-12"), ("Prologue", "chapter-0"), ("序言", "chapter-0"), ("7 Days", "chapter-7"), ("Notes", None), ("1984 revisited", None), ("The Prologue", "chapter-0"), ("Chapter1", "chapter-1"), ("Ｃｈａｐｔｅｒ　９", "chapter-9"), ("序章", None)):
         assert of(text.chapter_key, title) == key
 
 
@@ -88,6 +89,11 @@ def test_typography():
         ("O’Reilly and Economists’ Hour", "O'Reilly and Economists' Hour"), ("她说：“中文”之后仍是中文。", "她说：“中文”之后仍是中文。"), ("`「x」` 「y」", "`「x」` “y”"),
     ):
         assert reader_typography(before) == after
+    for before, after in (("d’été", "d'été"), ("Marx’ theory", "Marx' theory"), ("O”Reilly 「中」", "O'Reilly “中”"), ("‘甲’「乙‘丙’」", "“甲”“乙‘丙’”")):
+        assert reader_typography(before) == after
+    # links come back only where all numbers are there, in order
+    assert restore_numeric_links("a [1](x) [2](y)", "甲[1]乙[2]丙[3]") == "甲[1](x)乙[2](y)丙[3]"
+    assert restore_numeric_links("a [1](x)", "甲 乙") == "甲 乙" and restore_numeric_links("a [1](x) [2](y)", "[2] [1]") == "[2] [1]"
     assert restore_numeric_links("See [3](#n3).", "见[3]。") == "见[3](#n3)。"
 
 
