@@ -18,6 +18,9 @@ it; what the table has there is verified on complete distances.
   key gets 17 of 65,536 fingerprints).  Groups of near copies are contracted
   first, on links between neighbours at bare keys; then all entries of a key that
   are in different groups so far are compared, so no link between groups is lost.
+  A pair is given once, at the first key that it shares.  Where sets of shingles
+  decide, entries carry the size of their set and a parity sketch, which bound the
+  similarity from above; a pair that can't reach the one asked for isn't given.
 
 Links are closed by star contraction on DataFrames with reliable checkpoints.
 """
@@ -87,9 +90,28 @@ def set_digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bits of a parity sketch.
+PARITIES = 128
+
+
+def parity_sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(documents, 2) of 64 bits: bit k is the parity of the number of shingles dealt to k.
+
+    The bits that differ between two sets are no more than the shingles that do.
+    """
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * PARITIES + (mix(h) & U64(PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITIES), axis=1, bitorder="little").view(U64)
+
+
+#: What is known of a set of shingles besides its fingerprint.
+OF_SET = ["digest", "size", "p0", "p1"]
+
+
 @released
 def _fingerprint(shingle: int, lanes: int, seed: int, sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f"f{k}" for k in range(lanes)] + ["digest"] * sets
+    names = [f"f{k}" for k in range(lanes)] + OF_SET * sets
     for batch in batches:
         data, bounds = ragged(batch.column(2))
         found = [np.zeros((0, len(names)), U64)]
@@ -98,7 +120,7 @@ def _fingerprint(shingle: int, lanes: int, seed: int, sets: bool, batches: Itera
             if sets:
                 h, first = shingle_sets(h, first)
             prints = fingerprints(h, first, lanes)
-            found.append(np.column_stack((prints, set_digests(h, first))) if sets else prints)
+            found.append(np.column_stack((prints, set_digests(h, first), np.diff(first).astype(U64), parity_sketches(h, first))) if sets else prints)
         all_ = np.concatenate(found)
         yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in all_.T)], names=["doc_id", "text_key", *names])
 
@@ -106,9 +128,10 @@ def _fingerprint(shingle: int, lanes: int, seed: int, sets: bool, batches: Itera
 def fingerprint_table(docs: DataFrame, shingle: int = 3, lanes: int = 1, seed: int = 42, sets: bool = False) -> DataFrame:
     """doc_id, text_key (a hash of the text) and f0.. (64 bits each) of every row.  Null text: no words, zero.
 
-    sets: each different shingle votes once, and a column `digest` tells sets apart.
+    sets: each different shingle votes once; a column `digest` tells sets apart, `size`
+    is the number of shingles and p0, p1 are the parity sketch.
     """
-    schema = "doc_id long, text_key long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", digest long" * sets
+    schema = "doc_id long, text_key long, " + ", ".join(f"{name} long" for name in [*(f"f{k}" for k in range(lanes)), *OF_SET * sets])
     return _texts(docs).mapInArrow(partial(_fingerprint, shingle, lanes, seed, sets), schema)
 
 
@@ -291,28 +314,62 @@ def segment_values(prints: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.stack([(bits[:, s * width : (s + 1) * width].astype(U64) * weight).sum(axis=1, dtype=U64) for s in range(count)])
 
 
+def _key_type(width: int):
+    """Keys are a segment's value and its number."""
+    return np.uint32 if width + 4 <= 32 else U64
+
+
 @released
-def _post(width: int, count: int, ball: bool, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(width: int, count: int, lanes: int, ball: bool, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 5_000):
             part = batch.slice(at, 5_000)
-            prints = np.stack([c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns[2:]], axis=1)
-            node, label = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            columns = [c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns]
+            node, label = columns[:2]
+            prints = np.stack(columns[2 : 2 + lanes], axis=1)
+            of_set = columns[2 + lanes :]
             keys = np.concatenate([_flips(v, width, ball) << U64(4) | U64(s) for s, v in enumerate(segment_values(prints, width, count))])
-            key, who = mix(keys.ravel()), np.tile(np.arange(len(node)), len(keys))
-            order = np.argsort(key)
-            key, who = key[order], who[order]
-            bucket = (key >> U64(64 - bits)).astype(np.int64)
+            key, who = keys.ravel(), np.tile(np.arange(len(node)), len(keys))
+            bucket = (mix(key) >> U64(64 - bits)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            key, who, bucket = key[order].astype(_key_type(width)), who[order], bucket[order]
             start = groups(bucket)
             end = np.append(start[1:], len(key))
-            yield pa.record_batch(
-                [pa.array(bucket[start]), binaries(key, 8 * end), binaries(node[who], 8 * end), binaries(label[who], 8 * end), binaries(prints[who], 8 * prints.shape[1] * end)],
-                names=["bucket", "keys", "nodes", "labels", "prints"],
-            )
+            # most labels are the node's own: zeros are packed well
+            out = {"keys": key, "nodes": node[who], "labels": (label ^ node)[who], "prints": prints[who]}
+            if of_set:
+                out |= {"sizes": of_set[0][who].astype(np.uint32), "sketches": np.stack(of_set[1:], axis=1)[who]}
+            yield pa.record_batch([pa.array(bucket[start]), *(binaries(x, x.nbytes // len(x) * end) for x in out.values())], names=["bucket", *out])
+
+
+def first_keys(prints: np.ndarray, others: np.ndarray, width: int, count: int) -> np.ndarray:
+    """For pairs that meet in balls: the key at which they are given, one of those that both have."""
+    v, w = segment_values(prints, width, count), segment_values(others, width, count)
+    segment = np.argmax(np.bitwise_count(v ^ w) <= 2, axis=0)
+    v, w = (x[segment, np.arange(len(segment))] for x in (v, w))
+    apart = v ^ w
+    bit = apart & (~apart + U64(1))  # the lowest that differs
+    two = np.bitwise_count(apart) == 2
+    return np.where(two, np.minimum(v ^ bit, w ^ bit), np.minimum(v, w)) << U64(4) | segment.astype(U64)
+
+
+def may_reach(sizes: np.ndarray, sketches: np.ndarray, similarity: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """False where sets i and j surely have a lower Jaccard similarity.
+
+    At a similarity of s two sets differ in at most (1 - s) / (1 + s) of the sum of
+    their sizes; they differ in at least the difference of sizes and of parities.
+    """
+    a, b = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
+    differ = np.maximum(np.abs(a - b), np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64))
+    return differ <= (a + b) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _any(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.ones(len(i), bool)
 
 
-def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all entries of the same key and different labels within the distance; entries are in order of key and label."""
+def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int, wanted=_any) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all entries of the same key and different labels within the distance that are wanted(i, j); entries are in order of key and label."""
     start = groups(key)
     end = np.append(start[1:], len(key))
     last = np.repeat(end, end - start)
@@ -324,7 +381,8 @@ def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: in
     i, step = np.flatnonzero((after < last) & ~many), 0
     while len(i):
         j = after[i] + step
-        near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= distance
+        near = np.flatnonzero(np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= distance)
+        near = near[wanted(i[near], j[near])]
         found.append((i[near], j[near]))
         step += 1
         i = i[after[i] + step < last[i]]
@@ -343,7 +401,8 @@ def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: in
                     apart += np.bitwise_count(lane[rows, None] ^ lane[columns])
                 i, j = np.nonzero(apart <= distance)
                 i, j = i + r, j + c
-                own = j >= after[i]
+                own = np.flatnonzero(j >= after[i])
+                own = own[wanted(i[own], j[own])]
                 found.append((i[own], j[own]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -352,14 +411,14 @@ def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: in
 AHEAD, NEAREST = 16, 2
 
 
-def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): for each entry the nearest ones of other labels within the distance, among the next ones of its key."""
+def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int, wanted=_any) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each entry the nearest ones of other labels within the distance that are wanted(i, j), among the next ones of its key."""
     n = len(key)
     best = np.full((NEAREST, n), np.iinfo(np.int32).max, np.int64)
     for step in range(1, min(AHEAD, n - 1) + 1):
         i = np.flatnonzero((key[:-step] == key[step:]) & (label[:-step] != label[step:]))
         apart = np.bitwise_count(prints[i] ^ prints[i + step]).sum(axis=1, dtype=np.int64)
-        found = np.where(apart <= distance, apart * 64 + step, best[-1, i])
+        found = np.where((apart <= distance) & wanted(i, i + step), apart * 64 + step, best[-1, i])
         for row in best:
             lower = np.minimum(row[i], found)
             found = np.maximum(row[i], found)
@@ -368,40 +427,56 @@ def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance
     return i, i + best[rows, i] % 64
 
 
-def _meet(distance: int, lanes: int, all_pairs: bool, by_label: bool, table: pa.Table) -> pa.Table:
+def _meet(distance: int, lanes: int, width: int, count: int, all_pairs: bool, by_label: bool, similarity: float | None, table: pa.Table) -> pa.Table:
     """Links (node, other) of what meets at the keys of a bucket; other is the smaller.
 
-    all_pairs: each entry is compared with all of other labels at its key, else
-    with some; by_label: links are those of the labels.
+    all_pairs: each entry is compared with all of other labels at its key, and a
+    pair is given at the first of its keys; else with some.  by_label: links are
+    those of the labels.
     """
 
     def column(name: str, dtype) -> np.ndarray:
         return np.frombuffer(ragged(table[name])[0].tobytes(), dtype)
 
-    key, node, label = column("keys", U64), column("nodes", np.int64), column("labels", np.int64)
-    prints = column("prints", U64).reshape(-1, lanes)
+    key, node = column("keys", _key_type(width)), column("nodes", np.int64)
+    label, prints = node ^ column("labels", np.int64), column("prints", U64).reshape(-1, lanes)
     order = np.lexsort((node, label, key) if all_pairs else (node, *prints.T, key))
     key, node, label, prints = key[order], node[order], label[order], prints[order]
+    of_set = similarity is not None and (column("sizes", np.uint32)[order], column("sketches", U64).reshape(-1, 2)[order])
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = may_reach(*of_set, similarity, i, j) if of_set else _any(i, j)
+        if all_pairs:
+            at = np.flatnonzero(ok)
+            ok[at] = first_keys(prints[i[at]], prints[j[at]], width, count) == key[i[at]]
+        return ok
+
     name = label if by_label else node
-    pairs = (_across if all_pairs else _neighbours)(key, label, prints, distance)
+    pairs = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
     found = np.unique(np.sort(np.stack([name[x] for x in pairs], axis=1), axis=1)[:, ::-1], axis=0)
     return pa.table({"node": found[:, 0], "other": found[:, 1]})
 
 
-def _meet_wide(distance, lanes, all_pairs, by_label, table):
+def _meet_wide(distance, lanes, width, count, all_pairs, by_label, similarity, table):
     try:
-        return _meet(distance, lanes, all_pairs, by_label, table)
+        return _meet(distance, lanes, width, count, all_pairs, by_label, similarity, table)
     finally:
         tidy()
 
 
-def wide_links(known: DataFrame, n: int, prints: list[str], distance: int, segments: int, all_pairs: bool = True, by_label: bool = True) -> DataFrame:
-    """links(node, other) of known(node, label, f0..)."""
+def wide_links(
+    known: DataFrame, n: int, prints: list[str], distance: int, segments: int, all_pairs: bool = True, by_label: bool = True, similarity: float | None = None
+) -> DataFrame:
+    """links(node, other) of known(node, label, f0.., and with a similarity size, p0, p1); with one only pairs of sets that may reach it."""
     width = min(64 * len(prints) // segments, 56)
     posted = n * segments * (width + 1 if all_pairs else 1)
     bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)))
-    met = known.select("node", "label", *prints).mapInArrow(partial(_post, width, segments, all_pairs, bits), "bucket long, keys binary, nodes binary, labels binary, prints binary")
-    return met.groupBy("bucket").applyInArrow(partial(_meet_wide, distance, len(prints), all_pairs, by_label), "node long, other long")
+    of_set = [] if similarity is None else OF_SET[1:]
+    binary = ["keys", "nodes", "labels", "prints", *["sizes", "sketches"] * bool(of_set)]
+    met = known.select("node", "label", *prints, *of_set).mapInArrow(
+        partial(_post, width, segments, len(prints), all_pairs, bits), "bucket long, " + ", ".join(f"{x} binary" for x in binary)
+    )
+    return met.groupBy("bucket").applyInArrow(partial(_meet_wide, distance, len(prints), width, segments, all_pairs, by_label, similarity), "node long, other long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -466,7 +541,7 @@ def near_duplicates(
     prints = [f"f{k}" for k in range(lanes)]
     sets = similarity is not None
     table = fingerprint_table(docs, shingle, lanes, seed, **{"sets": True} if sets else {}).checkpoint()
-    own_set = prints + ["digest"] * sets
+    own_set = prints + OF_SET * sets
     distinct = table.groupBy(*own_set).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
     # numbers of their own: a doc_id may have several texts
     known = distinct.where("least IS NOT NULL").select(F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.text_key", *own_set).checkpoint()
@@ -477,9 +552,9 @@ def near_duplicates(
         keep = (lambda links: similar(docs, known, links, shingle, seed, similarity)) if sets else (lambda links: links)
         closed = spark.createDataFrame([], "node long, component long")
         for k in range(contractions + 1):
-            labelled = known.join(closed, "node", "left").select("node", *prints, F.coalesce("component", "node").alias("label"))
+            labelled = known.join(closed, "node", "left").select("node", *own_set, F.coalesce("component", "node").alias("label"))
             last = k == contractions
-            closed = _united(closed, keep(wide_links(labelled, n, prints, distance, segments, last, last and not sets)))
+            closed = _united(closed, keep(wide_links(labelled, n, prints, distance, segments, last, last and not sets, similarity)))
     # the least doc_id of each group
     grouped = closed.union(closed.select("component", "component").distinct()).join(known.select("node", "doc_id"), "node")
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))

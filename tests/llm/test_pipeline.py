@@ -151,3 +151,45 @@ def test_near_stage_keeps_own_texts_of_shared_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, "").collect()), key=repr)
     assert left == sorted([(1, one), (5, own), rows[3], (None, one)], key=repr)
+
+
+def test_pairs_are_given_once():
+    """The key at which a pair is given is one that both post, the same from either side, for all pairs that meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
+    two = one.copy()
+    for k in range(400):
+        for bit in rng.choice(128, k % 33, replace=False).tolist():
+            two[k, bit // 64] ^= np.uint64(1 << bit % 64)
+    posted = []
+    for prints in (one, two):
+        values = simhash.segment_values(prints, 16, 8)
+        posted.append([{int(v[k] ^ flip) << 4 | s for s, v in enumerate(values.astype(np.int64)) for flip in [0, *(1 << b for b in range(16))]} for k in range(400)])
+    at = simhash.first_keys(one, two, 16, 8)
+    assert (at == simhash.first_keys(two, one, 16, 8)).all()
+    for k, (a, b) in enumerate(zip(*posted)):
+        assert bool(a & b) == (int(at[k]) in a & b)
+        assert a & b or k % 33 > 23
+
+
+def test_bound_loses_no_similar_set():
+    """Pairs that the bound sets aside have a lower similarity; it does set aside most that do."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 5, 9, 40, 100, 146, 600)]
+    for k in range(8):
+        for share in (0.95, 0.89, 0.88, 0.8, 0.6):
+            own = sets[k][rng.random(len(sets[k])) < share]
+            sets.append(np.union1d(own, rng.integers(0, 1 << 63, len(sets[k]) - len(own), dtype=np.uint64)))
+    sets.append(np.zeros(0, np.uint64))
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sketches = simhash.parity_sketches(np.concatenate(sets), first)
+    i, j = np.triu_indices(len(sets))
+    kept = simhash.may_reach(np.diff(first), sketches, 0.8, i, j)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    union = np.diff(first)[i] + np.diff(first)[j] - both
+    assert kept[both >= 0.8 * union].all()
+    assert kept[both < 0.8 * union].mean() < 0.2
