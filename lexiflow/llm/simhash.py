@@ -148,11 +148,21 @@ def _sets(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "shingles"])
 
 
+#: Most rows of three numbers that are broadcast (about 30 MB), so that texts needn't be shuffled.
+MOST_BROADCAST = 400_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, checkpointed; with a hint to broadcast them where they have been counted to be few."""
+    rows = rows.checkpoint()
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def similar(docs: DataFrame, known: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
     """Those of links(node, other) whose texts have sets of shingles of that Jaccard similarity or more."""
     links = links.distinct().checkpoint()
     ends = known.select("node", "doc_id", "text_key").join(links.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi")
-    texts = _texts(docs).join(ends, ["doc_id", "text_key"]).select("node", "text")
+    texts = _texts(docs).join(small(ends), ["doc_id", "text_key"]).select("node", "text")
     sets = texts.mapInArrow(partial(_sets, shingle, seed), "node long, shingles array<long>").checkpoint()
     one = sets.select("node", F.col("shingles").alias("a"))
     two = sets.select(F.col("node").alias("other"), F.col("shingles").alias("b"))
