@@ -42,7 +42,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows with one doc_id, the one that is a copy goes and the other stays.
     """
     groups = simhash.near_duplicates(docs, **NEAR, similarity=0.8)
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct()
+    copies = simhash.small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct())
     same = (docs.doc_id.cast("long") == copies.copy_id) & (F.xxhash64(docs.text.cast("string")) == copies.copy_key)
     return docs.join(copies, same, "left_anti").select(*docs.columns)
 
