@@ -47,6 +47,8 @@ RESULT = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256
 BLOCK = 1 << 18
 #: Windows that are ordered at once, and those of one pick.
 WINDOWS = 1 << 18
+#: Windows of a run; longer ones, of texts that repeat themselves, are cut, and equal cuts are sent once.
+MOST_RUN = 1 << 15
 #: Low bits of a key: whether several documents have it, and the power of two of its number of runs.
 FLAGS = 6
 
@@ -124,6 +126,10 @@ class Chunk:
             ok = usable[start]
             end = np.append(start[1:], n)[ok]
             start = start[ok]
+            cuts = -(-(end - start) // MOST_RUN)
+            of = np.repeat(np.arange(len(start)), cuts)
+            start = start[of] + MOST_RUN * (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            end = np.minimum(start + MOST_RUN, end[of])
             starts.append(start + a)
             ends.append(end + a)
             # least hashes are small ones: mixed, they spread over all buckets
@@ -250,7 +256,7 @@ def send(plan: Plan, docs: pa.Table, told: pa.Table) -> pa.Table:
             pa.array(np.full(len(start), docs["chunk"][0].as_py())),
             binaries(e.key, 8 * end),
             binaries(e.doc_id[e.first].astype("<i8"), 8 * end),
-            binaries(e.wins[e.first].astype("<u2"), 2 * end),
+            binaries(e.wins[e.first].astype("<u4"), 4 * end),
             binaries(sizes.astype("<u4"), 4 * end),
             binaries(tokens, upto[end - 1] if len(end) else end),
         ],
@@ -318,7 +324,7 @@ def settle(plan: Plan, sent: pa.Table) -> pa.Table:
     def column(name: str, dtype) -> np.ndarray:
         return np.frombuffer(ragged(sent[name])[0].tobytes(), dtype)
 
-    keys, docs, wins, sizes = column("keys", U64), column("docs", "<i8"), column("wins", "<u2").astype(np.int64), column("sizes", "<u4").astype(np.int64)
+    keys, docs, wins, sizes = column("keys", U64), column("docs", "<i8"), column("wins", "<u4").astype(np.int64), column("sizes", "<u4").astype(np.int64)
     tokens, _ = ragged(sent["tokens"])
     raw, upto = tokens.tobytes(), np.cumsum(sizes)
     # stretches of the same bytes are one

@@ -140,6 +140,31 @@ def test_blocks_and_long_documents(kind, monkeypatch):
     assert w.text.tobytes() == v.text.tobytes() and (w.first == v.first).all() and (w.start == v.start).all() and (w.bounds == v.bounds).all()
 
 
+def removed_fast(tokens, texts, length):
+    """(tokens, removed) of each of few texts (doc_id in order) that repeat themselves: windows as numbers of a period."""
+    seen, out = set(), []
+    for x in map(tokens, texts):
+        own, gone, until = set(), 0, 0
+        for s in range(len(x) - length + 1):
+            w = x[s : s + length]
+            if w in seen:
+                gone += s + length - max(s, until)
+                until = s + length
+            own.add(w)
+        seen |= own
+        out.append((len(x), gone))
+    return out
+
+
+@pytest.mark.parametrize("texts", [["x" * 80_000, "x" * 70_000], ["-=+ " * 20_000, "-=+ " * 19_000], ["a " * 80_000, "a " * 70_000, "b " + "a " * 66_000 + "c"], ["x" * 300_000 + " end", "start " + "x" * 290_000]])
+def test_runs_longer_than_any_counter(spark, texts):
+    """Texts that repeat themselves over more windows than a run, a block or 16 bits hold."""
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    for found, tokens, length in ((repeats.depth_passes(docs, 50), str.encode, 50), (repeats.doubling_levels(docs, 13), lambda t: tuple(WORD.findall(t)), 13)):
+        got = [(r.n_tokens, r.n_removed) for r in sorted(found.collect())]
+        assert got == removed_fast(tokens, texts, length)
+
+
 def test_repeats_return_text(spark):
     text = "the same long passage of some fifty bytes and a little more than that"
     found = repeats.depth_passes(spark.createDataFrame([(1, text), (2, "A " + text + " Z")], "doc_id long, text string"), 50, with_text=True)
