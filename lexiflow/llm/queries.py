@@ -8,7 +8,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, packing, quality, repeats, sharding, simhash, token_files
+from . import exact, infill, lines, mixing, packing, quality, repeats, sharding, simhash, token_files, trie
 
 
 def vocabulary() -> str:
@@ -72,6 +72,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(_documents(spark, sf_dir), seed="7", rate=100, spm=50, with_text=False)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=100, shared=6)
+
 
 def _quality_sql(limit: float = 0.01, delta: float = 0.05) -> str:
     """Counts, policies, exact binomial tails and the fixed sequence of op5 in SQL."""
@@ -131,6 +138,7 @@ QUERIES = {
     for f in (
         op1_suffix_array_dedup, op2_exact_dedup, op3_substring_dedup, op4_packing, op5_quality_rules,
         op6_sharding, op7_token_files, op8_simhash_near_dedup, op9_mixing, op10_line_dedup,
+        op11_fill_in_middle, op12_conversation_trie,
     )
 }
 
@@ -223,6 +231,56 @@ ORACLES: dict[str, str] = {
         n AS (SELECT *, row_number() OVER (PARTITION BY site, class ORDER BY salt, size DESC, doc_id) AS rank FROM c)
         SELECT doc_id, size, source_size, target, ((take * rank) // docs - (take * (rank - 1)) // docs) * size AS taken
         FROM n JOIN f USING (site, class)""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        -- a line begins at the first character and behind each line feed that is not the last one
+        s AS (SELECT *, string_split(text, chr(10)) AS line, sha256('7:' || doc_id) AS digest FROM d),
+        c AS (
+            SELECT *, (CASE WHEN text = '' THEN 0 ELSE len(line) - (line[-1] = '')::INTEGER END)::BIGINT AS n,
+                   [('0x' || substr(digest, k * 8 + 1, 8))::BIGINT FOR k IN range(4)] AS h
+            FROM s),
+        e AS (SELECT *, list_sort([h[1] % (n + 1), h[2] % (n + 1)]) AS cut,
+                     CASE WHEN regexp_matches(text, '<[PSM]>') OR text = '' THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+        p AS (
+            SELECT doc_id, text, n, form,
+                   (list_sum([length(x) + 1 FOR x IN line[1:cut[1]]]))::BIGINT AS to_first, (list_sum([length(x) + 1 FOR x IN line[1:cut[2]]]))::BIGINT AS to_second
+            FROM e),
+        q AS (
+            SELECT *, least(coalesce(to_first, 0), length(text)) AS a, least(coalesce(to_second, 0), length(text)) AS b FROM p),
+        r AS (SELECT *, text[1:a] AS head, text[a + 1:b] AS body, text[b + 1:] AS tail FROM q)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || tail || '<P>' || head || '<M>' || body ELSE '<P>' || head || '<S>' || tail || '<M>' || body END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM r""",
+    "op12_conversation_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        -- CRC-32 of the decimal number, bit by bit
+        k AS (
+            SELECT c, c - c % 100 AS base,
+                   xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+                       lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT c FROM t)),
+        r AS (
+            SELECT k.c, t.pos, role, text FROM k JOIN t ON t.c = k.base WHERE t.pos <= h
+            UNION ALL SELECT k.c, t.pos, role, text FROM k JOIN t USING (c) WHERE t.pos > h),
+        s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, length(text) AS size, length(role) || ':' || role || length(text) || ':' || text AS step FROM r),
+        o AS (
+            SELECT c, 0 AS d, '' AS path, 0 AS size FROM k
+            UNION ALL SELECT c, d, string_agg(step, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d), size FROM s),
+        z AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM o),
+        n AS (
+            SELECT d, path, min(c) AS c, count(*) AS n_convs, any_value(size) AS size, bool_and(ends) AS leaf,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM z GROUP BY d, path),
+        u AS (
+            SELECT o.d, o.path, sum((n.n_convs - 1) * n.size) AS saved, count(*) FILTER (n.leaf) AS leaves, count(*) FILTER (n.d = o.d + 1) AS children
+            FROM n JOIN o ON o.c = n.c AND o.d <= n.d GROUP BY o.d, o.path)
+        SELECT n.c AS conv_id, n.d::BIGINT AS depth, p.c AS parent_conv_id, n.n_convs, children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM n JOIN u ON u.d = n.d AND u.path = n.path
+        LEFT JOIN o ON o.c = n.c AND o.d = n.d - 1 LEFT JOIN n p ON p.d = o.d AND p.path = o.path""",
     "op10_line_dedup": r"""
         WITH p AS (
             SELECT doc_id, coalesce('s' || source, 'n') AS site, unnest(string_split(text, chr(10))) AS line,
