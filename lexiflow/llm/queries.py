@@ -8,7 +8,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, infill, lines, mixing, packing, quality, repeats, sharding, simhash, token_files, trie
+from . import exact, infill, lines, minhash, mixing, packing, quality, repeats, sharding, simhash, token_files, trie
 
 
 def vocabulary() -> str:
@@ -80,6 +80,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=100, shared=6)
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(_documents(spark, sf_dir), shingle=4, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def _quality_sql(limit: float = 0.01, delta: float = 0.05) -> str:
     """Counts, policies, exact binomial tails and the fixed sequence of op5 in SQL."""
     scores = {
@@ -138,7 +142,7 @@ QUERIES = {
     for f in (
         op1_suffix_array_dedup, op2_exact_dedup, op3_substring_dedup, op4_packing, op5_quality_rules,
         op6_sharding, op7_token_files, op8_simhash_near_dedup, op9_mixing, op10_line_dedup,
-        op11_fill_in_middle, op12_conversation_trie,
+        op11_fill_in_middle, op12_conversation_trie, op13_minhash_near_dedup,
     )
 }
 
@@ -281,6 +285,17 @@ ORACLES: dict[str, str] = {
         SELECT n.c AS conv_id, n.d::BIGINT AS depth, p.c AS parent_conv_id, n.n_convs, children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
         FROM n JOIN u ON u.d = n.d AND u.path = n.path
         LEFT JOIN o ON o.c = n.c AND o.d = n.d - 1 LEFT JOIN n p ON p.d = o.d AND p.path = o.path""",
+    "op13_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct([array_to_string(w[i + 1:i + 4], ' ') FOR i IN range(greatest(len(w) - 3, least(len(w), 1)))]) AS grams FROM d),
+        g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT doc_id, len(grams)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
+        FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = doc_id""",
     "op10_line_dedup": r"""
         WITH p AS (
             SELECT doc_id, coalesce('s' || source, 'n') AS site, unnest(string_split(text, chr(10))) AS line,

@@ -158,19 +158,35 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
-def similar(docs: DataFrame, known: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
-    """Those of links(node, other) whose texts have sets of shingles of that Jaccard similarity or more."""
-    links = links.distinct().checkpoint()
-    ends = known.select("node", "doc_id", "text_key").join(links.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi")
-    texts = _texts(docs).join(small(ends), ["doc_id", "text_key"]).select("node", "text")
-    sets = texts.mapInArrow(partial(_sets, shingle, seed), "node long, shingles array<long>").checkpoint()
+def sets_of(docs: DataFrame, ends: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(node, shingles) of the texts that ends(node, doc_id, text_key) name."""
+    texts = _texts(docs).join(small(ends.select("node", "doc_id", "text_key")), ["doc_id", "text_key"]).select("node", "text")
+    # rows of one doc_id and text give the same set
+    return texts.mapInArrow(partial(_sets, shingle, seed), "node long, shingles array<long>").checkpoint()
+
+
+def nearest(links: DataFrame) -> DataFrame:
+    """Of links(node, other, apart) for each node the one with the nearest other."""
+    return links.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("least")).select("node", "least.other")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of links(node, other) whose sets(node, shingles) have that Jaccard similarity or more."""
+    links = links.distinct()
     one = sets.select("node", F.col("shingles").alias("a"))
-    two = sets.select(F.col("node").alias("other"), F.col("shingles").alias("b"))
+    two = sets.join(links.select("other").distinct(), sets.node == F.col("other"), "left_semi").select(F.col("node").alias("other"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     enough = both + F.lit(1e-9) >= F.lit(similarity) * (F.size("a") + F.size("b") - both)
     return links.join(one, "node").join(two, "other").where(enough).select("node", "other").distinct().checkpoint()
 
 
+def similar(docs: DataFrame, known: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """Those of links(node, other) whose texts have sets of shingles of that Jaccard similarity or more."""
+    links = links.distinct().checkpoint()
+    ends = known.select("node", "doc_id", "text_key").join(links.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi")
+    return confirmed(links, sets_of(docs, ends, shingle, seed), similarity)
+
+
 def _flips(value: np.ndarray, bits: int, ball: bool = True) -> np.ndarray:
     """(1 + bits, n): the values, and those with each bit flipped."""
     return np.stack([value, *(value ^ (U64(1) << U64(b)) for b in range(bits if ball else 0))])
@@ -565,9 +581,13 @@ def near_duplicates(
             labelled = known.join(closed, "node", "left").select("node", *own_set, F.coalesce("component", "node").alias("label"))
             last = k == contractions
             closed = _united(closed, keep(wide_links(labelled, n, prints, distance, segments, last, last and not sets, similarity)))
-    # the least doc_id of each group
+    return named_rows(table, known, closed, own_set).select("doc_id", "text_key", *prints, "component_id")
+
+
+def named_rows(table: DataFrame, known: DataFrame, closed: DataFrame, own: list[str]) -> DataFrame:
+    """table with component_id: the least doc_id of the group, in closed(node, component), of the node that has a row's own columns."""
     grouped = closed.union(closed.select("component", "component").distinct()).join(known.select("node", "doc_id"), "node")
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     grouped = grouped.join(least, "component").select("node", "component_id")
-    named = known.join(grouped, "node", "left").select(*own_set, F.coalesce("component_id", "doc_id").alias("component_id"))
-    return table.join(named, own_set, "left").select("doc_id", "text_key", *prints, "component_id")
+    named = known.join(grouped, "node", "left").select(*own, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return table.join(named, own, "left")
