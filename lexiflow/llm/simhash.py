@@ -13,7 +13,9 @@ it; what the table has there is verified on complete distances.
   both parts of that key.
 * `wide_links` (wider fingerprints, larger distances): S segments, whatever the
   number of fingerprints, both sides in the ball: a pair within 3 * S - 1 bits
-  has a segment that differs in at most two, and surely meets.  Chance meetings
+  has a segment that differs in at most two, and surely meets.  Buckets are the
+  leading bits of a segment: a fingerprint is sent once to its own bucket, where
+  the rest of its ball is made, and once for each leading bit.  Chance meetings
   grow with the square of the number of fingerprints (8 segments of 16 bits: a
   key gets 17 of 65,536 fingerprints).  Groups of near copies are contracted
   first, on links between neighbours at bare keys; then all entries of a key that
@@ -346,26 +348,39 @@ def _key_type(width: int):
 
 
 @released
-def _post(width: int, count: int, lanes: int, ball: bool, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(width: int, count: int, lanes: int, ball: bool, top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints by bucket, a segment's number and its `top` leading bits: their own, and with a ball those one bit away."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 5_000):
-            part = batch.slice(at, 5_000)
+        for at in range(0, batch.num_rows, 20_000):
+            part = batch.slice(at, 20_000)
             columns = [c.to_numpy(zero_copy_only=False).view(U64) for c in part.columns]
             node, label = columns[:2]
             prints = np.stack(columns[2 : 2 + lanes], axis=1)
             of_set = columns[2 + lanes :]
-            keys = np.concatenate([_flips(v, width, ball) << U64(4) | U64(s) for s, v in enumerate(segment_values(prints, width, count))])
-            key, who = keys.ravel(), np.tile(np.arange(len(node)), len(keys))
-            bucket = (mix(key) >> U64(64 - bits)).astype(np.int64)
-            order = np.lexsort((key, bucket))
-            key, who, bucket = key[order].astype(_key_type(width)), who[order], bucket[order]
+            leading = [_flips(v >> U64(width - top), top, ball) | U64(s << top) for s, v in enumerate(segment_values(prints, width, count))]
+            bucket = np.concatenate(leading).ravel().astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, who = bucket[order], order % max(1, len(node))
             start = groups(bucket)
-            end = np.append(start[1:], len(key))
+            end = np.append(start[1:], len(bucket))
             # most labels are the node's own: zeros are packed well
-            out = {"keys": key, "nodes": node[who], "labels": (label ^ node)[who], "prints": prints[who]}
+            out = {"nodes": node[who], "labels": (label ^ node)[who], "prints": prints[who]}
             if of_set:
                 out |= {"sizes": of_set[0][who].astype(np.uint32), "sketches": np.stack(of_set[1:], axis=1)[who]}
-            yield pa.record_batch([pa.array(bucket[start]), *(binaries(x, x.nbytes // len(x) * end) for x in out.values())], names=["bucket", *out])
+            yield pa.record_batch([pa.array(bucket[start]), *(binaries(x, x.nbytes // max(1, len(x)) * end) for x in out.values())], names=["bucket", *out])
+
+
+def _entries(prints: np.ndarray, width: int, count: int, ball: bool, top: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places in prints) of a bucket: of fingerprints with its leading bits the ball within it, of others the member that is there."""
+    s, low = bucket >> top, width - top
+    v = segment_values(prints, width, count)[s]
+    lead = U64(bucket & (1 << top) - 1)
+    own = np.flatnonzero(v >> U64(low) == lead)
+    other = np.flatnonzero(v >> U64(low) != lead)
+    within = _flips(v[own], low, ball)
+    moved = v[other] & U64((1 << low) - 1) | lead << U64(low)
+    key = np.concatenate((within.ravel(), moved)) << U64(4) | U64(s)
+    return key.astype(_key_type(width)), np.concatenate((np.tile(own, len(within)), other))
 
 
 def first_keys(prints: np.ndarray, others: np.ndarray, width: int, count: int) -> np.ndarray:
@@ -453,8 +468,8 @@ def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance
     return i, i + best[rows, i] % 64
 
 
-def _meet(distance: int, lanes: int, width: int, count: int, all_pairs: bool, by_label: bool, similarity: float | None, table: pa.Table) -> pa.Table:
-    """Links (node, other) of what meets at the keys of a bucket; other is the smaller.
+def _meet(distance: int, lanes: int, width: int, count: int, top: int, all_pairs: bool, by_label: bool, similarity: float | None, table: pa.Table) -> pa.Table:
+    """Links (node, other, apart) of what meets at the keys of a bucket; other is the smaller.
 
     all_pairs: each entry is compared with all of other labels at its key, and a
     pair is given at the first of its keys; else with some.  by_label: links are
@@ -464,11 +479,16 @@ def _meet(distance: int, lanes: int, width: int, count: int, all_pairs: bool, by
     def column(name: str, dtype) -> np.ndarray:
         return np.frombuffer(ragged(table[name])[0].tobytes(), dtype)
 
-    key, node = column("keys", _key_type(width)), column("nodes", np.int64)
+    node = column("nodes", np.int64)
     label, prints = node ^ column("labels", np.int64), column("prints", U64).reshape(-1, lanes)
-    order = np.lexsort((node, label, key) if all_pairs else (node, *prints.T, key))
-    key, node, label, prints = key[order], node[order], label[order], prints[order]
-    of_set = similarity is not None and (column("sizes", np.uint32)[order], column("sketches", U64).reshape(-1, 2)[order])
+    key, who = _entries(prints, width, count, all_pairs, top, table["bucket"][0].as_py())
+    # places of nodes in order, so that entries of a key are in order too
+    place = np.empty(len(node), np.int64)
+    place[np.lexsort((node, label) if all_pairs else (node, *prints.T))] = np.arange(len(node))
+    order = np.lexsort((place[who], key))
+    key, who = key[order], who[order]
+    node, label, prints = node[who], label[who], prints[who]
+    of_set = similarity is not None and (column("sizes", np.uint32)[who], column("sketches", U64).reshape(-1, 2)[who])
 
     def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = may_reach(*of_set, similarity, i, j) if of_set else _any(i, j)
@@ -478,31 +498,36 @@ def _meet(distance: int, lanes: int, width: int, count: int, all_pairs: bool, by
         return ok
 
     name = label if by_label else node
-    pairs = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
-    found = np.unique(np.sort(np.stack([name[x] for x in pairs], axis=1), axis=1)[:, ::-1], axis=0)
-    return pa.table({"node": found[:, 0], "other": found[:, 1]})
+    i, j = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
+    apart = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
+    found = np.unique(np.column_stack((np.maximum(name[i], name[j]), np.minimum(name[i], name[j]), apart)), axis=0)
+    return pa.table({"node": found[:, 0], "other": found[:, 1], "apart": found[:, 2]})
 
 
-def _meet_wide(distance, lanes, width, count, all_pairs, by_label, similarity, table):
+def _meet_wide(distance, lanes, width, count, top, all_pairs, by_label, similarity, table):
     try:
-        return _meet(distance, lanes, width, count, all_pairs, by_label, similarity, table)
+        return _meet(distance, lanes, width, count, top, all_pairs, by_label, similarity, table)
     finally:
         tidy()
 
 
+#: The least leading bits of a segment that name a bucket.
+LEADING = 5
+
+
 def wide_links(
     known: DataFrame, n: int, prints: list[str], distance: int, segments: int, all_pairs: bool = True, by_label: bool = True, similarity: float | None = None
 ) -> DataFrame:
-    """links(node, other) of known(node, label, f0.., and with a similarity size, p0, p1); with one only pairs of sets that may reach it."""
+    """links(node, other, apart) of known(node, label, f0.., and with a similarity size, p0, p1); with one only pairs of sets that may reach it."""
     width = min(64 * len(prints) // segments, 56)
     posted = n * segments * (width + 1 if all_pairs else 1)
-    bits = max(4, math.ceil(math.log2(max(1, posted) / 300_000)))
+    top = min(width, max(LEADING, math.ceil(math.log2(max(1, posted) / 300_000 / segments))))
     of_set = [] if similarity is None else OF_SET[1:]
-    binary = ["keys", "nodes", "labels", "prints", *["sizes", "sketches"] * bool(of_set)]
+    binary = ["nodes", "labels", "prints", *["sizes", "sketches"] * bool(of_set)]
     met = known.select("node", "label", *prints, *of_set).mapInArrow(
-        partial(_post, width, segments, len(prints), all_pairs, bits), "bucket long, " + ", ".join(f"{x} binary" for x in binary)
+        partial(_post, width, segments, len(prints), all_pairs, top), "bucket long, " + ", ".join(f"{x} binary" for x in binary)
     )
-    return met.groupBy("bucket").applyInArrow(partial(_meet_wide, distance, len(prints), width, segments, all_pairs, by_label, similarity), "node long, other long")
+    return met.groupBy("bucket").applyInArrow(partial(_meet_wide, distance, len(prints), width, segments, top, all_pairs, by_label, similarity), "node long, other long, apart long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -580,7 +605,8 @@ def near_duplicates(
         for k in range(contractions + 1):
             labelled = known.join(closed, "node", "left").select("node", *own_set, F.coalesce("component", "node").alias("label"))
             last = k == contractions
-            closed = _united(closed, keep(wide_links(labelled, n, prints, distance, segments, last, last and not sets, similarity)))
+            links = wide_links(labelled, n, prints, distance, segments, last, last and not sets, similarity)
+            closed = _united(closed, keep(links.select("node", "other") if last else nearest(links)))
     return named_rows(table, known, closed, own_set).select("doc_id", "text_key", *prints, "component_id")
 
 
