@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import set_digest, stable_id
 from ..functions.text import contains_term
-from . import selection
+from . import phrases, selection
 
 #: What a name looks like, words that are none, and how authorities rank.
 CANDIDATE = r"\b(?:[A-Z][a-z]{2,})(?:\s+[A-Z][a-z]{2,}){0,3}\b"
@@ -77,7 +77,7 @@ def impact(segments: DataFrame, term: str) -> DataFrame:
 
 def term_hits(segments: DataFrame, terms: DataFrame, n: int = 8, partition: list[str] | None = None) -> DataFrame:
     """The first n segments (by ordinal) that contain each term in any case."""
-    met = segments.join(terms, F.contains(F.lower("text"), F.lower("term")))
+    met = phrases.containing(segments, terms)
     w = Window.partitionBy(*(partition or []), "term").orderBy("ordinal")
     return met.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= n)
 

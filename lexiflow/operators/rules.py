@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numerics
 from ..functions import text as T
 from ..functions.ids import python_list, stable_id
+from . import phrases
 
 PASSED_THROUGH = ("structural-passthrough", "bibliography-passthrough")
 
@@ -104,15 +105,13 @@ def acronym_missing(ready: DataFrame, glossary: DataFrame) -> DataFrame:
 def term_occurrences(segments: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """segments x terms where the term occurs.
 
-    Word-like terms meet segments on a token (an equi-join that any number of
-    terms survives); terms of other characters are few and are looked for in
-    each text by a nested loop.
+    Word-like terms meet segments on a token, phrases and terms of other
+    characters on their rarest gram: equi-joins that any number of terms survives.
     """
     wordlike = F.regexp_like(term, F.lit("^[A-Za-z0-9_]+$"))
     tokens = segments.withColumn("_token", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))))
     words = tokens.join(terms.where(wordlike).withColumn("_token", F.lower(term)), "_token").drop("_token").where(T.contains_term(F.col(text), F.col(term)))
-    phrases = segments.join(terms.where(~wordlike & (F.col(term) != "")), F.contains(F.lower(text), F.lower(term)))
-    return words.unionByName(phrases)
+    return words.unionByName(phrases.containing(segments, terms.where(~wordlike), text, term))
 
 
 def terminology_mismatch(ready: DataFrame, glossary: DataFrame) -> DataFrame:

@@ -295,6 +295,14 @@ def terminology_mismatch(spark, d):
     return rules.terminology_mismatch(rules.prepared(domain.mock_pairs(spark, d)), domain.glossary(spark, d)).select("segment_id", "message")
 
 
+@query(with_tables("lines", "segments", "pairs", "phrases", body="""
+    SELECT segment_id, 'Expected approved translation for term ''' || term || '''' AS message FROM pairs JOIN phrases ON contains(lower(text), lower(term))
+    WHERE NOT passed AND NOT contains(lower(output), lower(preferred_translation)) AND NOT contains(lower(output), lower(allowed_variants[1]))"""))
+def phrase_mismatch(spark, d):
+    """Terms of several words, which have no token to meet on."""
+    return rules.terminology_mismatch(rules.prepared(domain.mock_pairs(spark, d)), domain.phrases(spark, d)).select("segment_id", "message")
+
+
 @query(with_tables("lines", "segments", body="SELECT segment_id, section_id FROM segments WHERE contains(lower(text), 'tion')"))
 def terminology_impact(spark, d):
     return knowledge.impact(domain.segments(spark, d), " Tion ").select("segment_id", "section_id")

@@ -64,6 +64,14 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("term").agg(F.min("item_id").alias("item_id")).select("term", F.concat(F.lit("译"), F.col("item_id").cast("string")).alias("preferred_translation"), F.array(F.upper("term")).alias("allowed_variants"), F.lit("approved").alias("status"))
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of benchmark passages, the second and third, and a piece across the first two as approved terms."""
+    words = F.split(T.normalize(F.col("text")), " ")
+    terms = F.array(F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 2, 2), " "), F.concat(F.substring(words[0], -2, 2), F.lit(" "), F.substring(words[1], 1, 1)))
+    found = table(spark, sf_dir, "benchmark").where(F.size(words) >= 3).select("item_id", F.explode(terms).alias("term"))
+    return found.groupBy("term").agg(F.min("item_id").alias("item_id")).select("term", F.concat(F.lit("译"), F.col("item_id").cast("string")).alias("preferred_translation"), F.array(F.upper("term")).alias("allowed_variants"), F.lit("approved").alias("status"))
+
+
 #: Common table expressions that give the same tables in SQL.
 SQL = {
     "lines": r"""lines AS (
@@ -92,6 +100,11 @@ SQL = {
         SELECT term, '译' || min(item_id) AS preferred_translation, [upper(term)] AS allowed_variants
         FROM (SELECT regexp_replace(split_part(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ', 1), '[^A-Za-z]', '', 'g') AS term, item_id FROM benchmark)
         WHERE length(term) >= 3 GROUP BY term)""",
+    "phrases": r"""phrases AS (
+        SELECT term, '译' || min(item_id) AS preferred_translation, [upper(term)] AS allowed_variants
+        FROM (SELECT item_id, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3], right(w[1], 2) || ' ' || left(w[2], 1)]) AS term
+              FROM (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') AS w FROM benchmark) WHERE len(w) >= 3)
+        GROUP BY term)""",
 }
 
 
