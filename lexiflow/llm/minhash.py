@@ -7,11 +7,11 @@
    pair in twenty million is missed, above it less.  A first pass over bare keys
    finds the nodes that share any; only these go on.
 3. What meets at a key is verified on its signature (one bit of each minimum: two
-   sets at 0.8 differ in 12.8 of 128, and 40 are eight deviations more), on sizes
+   sets at 0.8 differ in 12.8 of 128, and 33 are six deviations more), on sizes
    and on parity sketches, which bound the similarity.  What is left is confirmed
    on the full sets.
 4. Groups of near copies are contracted first: each node is linked with its
-   nearest neighbour at a key, twice; then all pairs of a key in different groups
+   nearest neighbour at a key and with the smallest likely one, twice; then all pairs of a key in different groups
    are verified, so no link between groups is lost and no group gives all its pairs.
 5. Components by alternating large-star and small-star.
 """
@@ -165,7 +165,7 @@ def _bits(entries: int) -> int:
     return max(4, math.ceil(math.log2(max(1, entries) / 300_000)))
 
 
-def minhash_groups(docs: DataFrame, shingle: int = 4, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 40, seed: int = 42, contractions: int = 2) -> DataFrame:
+def minhash_groups(docs: DataFrame, shingle: int = 4, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 33, seed: int = 42, contractions: int = 2) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_shingles (size of its set), component_id (smallest doc_id reachable over links), kept.
 
     Texts whose sets of shingles (lower-cased A-Z, `shingle` words, shorter texts
@@ -200,7 +200,7 @@ def minhash_groups(docs: DataFrame, shingle: int = 4, similarity: float = 0.8, b
         labelled = active.join(closed, "node", "left").select("node", "keys", F.coalesce("component", "node").alias("label"), *OF_NODE)
         posted = labelled.mapInArrow(partial(_post_bands, bands, _bits(entries), True), "bucket long, keys binary, nodes binary, labels binary, prints binary, sizes binary, sketches binary")
         links = posted.groupBy("bucket").applyInArrow(partial(_meet_bands, last, distance, similarity), "node long, other long, apart long")
-        closed = _united(closed, confirmed(links.select("node", "other") if last else nearest(links), sets, similarity))
+        closed = _united(closed, confirmed(links.select("node", "other") if last else nearest(links, distance), sets, similarity))
     found = named_rows(table, known, closed, SET)
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())

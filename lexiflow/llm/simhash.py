@@ -167,9 +167,12 @@ def sets_of(docs: DataFrame, ends: DataFrame, shingle: int, seed: int) -> DataFr
     return texts.mapInArrow(partial(_sets, shingle, seed), "node long, shingles array<long>").checkpoint()
 
 
-def nearest(links: DataFrame) -> DataFrame:
-    """Of links(node, other, apart) for each node the one with the nearest other."""
-    return links.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("least")).select("node", "least.other")
+def nearest(links: DataFrame, distance: int) -> DataFrame:
+    """Of links(node, other, apart) for each node the nearest other, and the smallest within half the distance, where groups gather."""
+    both = links.union(links.select("other", "node", "apart"))
+    chosen = both.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("least"), F.min(F.when(F.col("apart") * 2 <= distance, F.col("other"))).alias("hub"))
+    chosen = chosen.select("node", F.explode(F.array_compact(F.array("least.other", "hub"))).alias("other"))
+    return chosen.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
 
 def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -453,7 +456,7 @@ AHEAD, NEAREST = 16, 2
 
 
 def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int, wanted=_any) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): for each entry the nearest ones of other labels within the distance that are wanted(i, j), among the next ones of its key."""
+    """(i, j): for each entry the nearest ones of other labels within the distance that are wanted(i, j), among the next ones of its key, and the one with the least label."""
     n = len(key)
     best = np.full((NEAREST, n), np.iinfo(np.int32).max, np.int64)
     for step in range(1, min(AHEAD, n - 1) + 1):
@@ -465,7 +468,16 @@ def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance
             found = np.maximum(row[i], found)
             row[i] = lower
     rows, i = np.nonzero(best < np.iinfo(np.int32).max)
-    return i, i + best[rows, i] % 64
+    j = i + best[rows, i] % 64
+    if not n:
+        return i, j
+    order = np.lexsort((label, key))
+    start = groups(key)
+    hub = np.repeat(order[start], np.diff(np.append(start, n)))
+    own = np.flatnonzero(label != label[hub])
+    own = own[np.bitwise_count(prints[own] ^ prints[hub[own]]).sum(axis=1) <= distance]
+    own = own[wanted(own, hub[own])]
+    return np.concatenate((i, own)), np.concatenate((j, hub[own]))
 
 
 def _meet(distance: int, lanes: int, width: int, count: int, top: int, all_pairs: bool, by_label: bool, similarity: float | None, table: pa.Table) -> pa.Table:
@@ -606,7 +618,7 @@ def near_duplicates(
             labelled = known.join(closed, "node", "left").select("node", *own_set, F.coalesce("component", "node").alias("label"))
             last = k == contractions
             links = wide_links(labelled, n, prints, distance, segments, last, last and not sets, similarity)
-            closed = _united(closed, keep(links.select("node", "other") if last else nearest(links)))
+            closed = _united(closed, keep(links.select("node", "other") if last else nearest(links, distance)))
     return named_rows(table, known, closed, own_set).select("doc_id", "text_key", *prints, "component_id")
 
 
