@@ -1,15 +1,15 @@
 """A project: state tables of one book, and the steps that work on them.
 
-State is Parquet under one root, partitioned by project_id, so that projects
-share tables and a step reads its own partition.  Logs are appended to; derived
-tables are overwritten (their partition alone).
+State is in a Store under a root that projects share: logs are appended to,
+derived tables are overwritten, and a step that changes several tables and
+documents does so in one transaction.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from contextlib import contextmanager
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,92 +18,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.ids import sha256, stable_id, stable_id_of_array
 from ..operators import alignment, audit, knowledge, render, review, rules, segment, selection, sequences
-from ..schema import CURRENT_VERSION, TABLES, empty, schema_of, with_defaults
+from ..schema import CURRENT_VERSION, TABLES, with_defaults
 from ..sources import documents, drafts, epub, jsonl, office
+from .store import Store
 
 APPENDED = ("translations", "section_titles", "reviews", "scope_reviews", "section_summaries", "ambiguities", "audit_resolutions", "terminology_candidates", "terminology_decisions")
 DERIVED_FROM_SOURCE = [t for t in TABLES if t not in ("projects", "manifests", "source_documents")]
 
 
-class Store:
-    """Tables under a root, a partition a project."""
-
-    def __init__(self, spark: SparkSession, root: str, project_id: str):
-        self.spark, self.root, self.project_id = spark, root.rstrip("/"), project_id
-
-    def path(self, *parts: str) -> str:
-        return "/".join([self.root, *parts])
-
-    def _hadoop(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
-
-    def exists(self, path: str) -> bool:
-        fs, p = self._hadoop(path)
-        return fs.exists(p)
-
-    def delete(self, path: str) -> None:
-        fs, p = self._hadoop(path)
-        fs.delete(p, True)
-
-    def put(self, path: str, content: bytes) -> None:
-        fs, p = self._hadoop(path)
-        out = fs.create(p, True)
-        out.write(bytearray(content))
-        out.close()
-
-    def get(self, path: str) -> bytes:
-        return bytes(self.spark.read.format("binaryFile").load(path).first()["content"])
-
-    def folder(self, table: str) -> str:
-        return self.path("state", table, f"project_id={self.project_id}")
-
-    def read(self, table: str) -> DataFrame:
-        folder = self.folder(table)
-        if not self.exists(folder):
-            return empty(self.spark, table).withColumn("_pos", F.lit(None).cast("long"))
-        return self.spark.read.schema(schema_of(table)).parquet(folder).withColumn("_pos", F.col("_metadata.row_index"))
-
-    def overwrite(self, table: str, df: DataFrame) -> DataFrame:
-        """Written beside and renamed, so that a table may be made from itself."""
-        fs, target = self._hadoop(self.folder(table))
-        _, aside = self._hadoop(self.folder(table) + ".new")
-        with_defaults(df, table).write.mode("overwrite").parquet(self.folder(table) + ".new")
-        fs.delete(target, True)
-        fs.rename(aside, target)
-        self.spark.catalog.refreshByPath(self.folder(table))
-        return self.read(table)
-
-    def append(self, table: str, df: DataFrame) -> int:
-        rows = with_defaults(df, table).persist()
-        try:
-            n = rows.count()
-            if n:
-                rows.write.mode("append").parquet(self.folder(table))
-                self.spark.catalog.refreshByPath(self.folder(table))
-            return n
-        finally:
-            rows.unpersist()
-
-    @contextmanager
-    def lock(self, name: str):
-        """One writer at a time: a file that only one can make."""
-        fs, p = self._hadoop(self.path("state", "json", self.project_id, name + ".lock"))
-        if not fs.createNewFile(p):
-            raise RuntimeError(f"another {name} runs on this project")
-        try:
-            yield
-        finally:
-            fs.delete(p, False)
-
-    def put_json(self, name: str, value: dict) -> None:
-        self.put(self.path("state", "json", self.project_id, name), json.dumps(value, ensure_ascii=False, indent=2).encode())
-
-    def get_json(self, name: str) -> dict:
-        path = self.path("state", "json", self.project_id, name)
-        return json.loads(self.get(path)) if self.exists(path) else {}
-
-
 def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -122,8 +44,9 @@ class Project:
         p = cls(spark, root, project_id)
         if p.s.get_json("project.json"):
             raise FileExistsError(f"project {name} exists")
-        p.s.put_json("project.json", {"id": project_id, "name": name, "source_language": source_language, "target_language": target_language, "schema_version": CURRENT_VERSION})
-        p.step("init", "completed")
+        with p.s.transaction():
+            p.s.put_json("project.json", {"id": project_id, "name": name, "source_language": source_language, "target_language": target_language, "schema_version": CURRENT_VERSION})
+            p.step("init", "completed")
         return p
 
     @property
@@ -150,35 +73,42 @@ class Project:
         old = self.source
         if old and old["sha256"] != row["sha256"]:
             raise ValueError("another source is there; use replace")
+        with self.s.transaction():
+            return self._retain(row, path)
+
+    def _retain(self, row, path: str) -> dict:
+        """The original, its text and the records of them; files go to a folder of their own first."""
         doc_id = self.spark.range(1).select(stable_id("doc", self.id, row["sha256"])).first()[0]
-        original = self.s.path("source", self.id, "original." + path.rsplit(".", 1)[-1].lower())
+        folder = self.s.path("source", self.id, f"{row['sha256'][:16]}-{uuid.uuid4().hex[:8]}")
+        original, text = f"{folder}/original.{path.rsplit('.', 1)[-1].lower()}", f"{folder}/document.md"
         self.s.put(original, self.s.get(path))
-        self.s.put(self.s.path("source", self.id, "document.md"), row["markdown"].encode())
-        record = {"id": doc_id, "project_id": self.id, "title": row["title"], "source_path": self.s.path("source", self.id, "document.md"), "original_path": original, "sha256": row["sha256"], "source_format": row["source_format"]}
+        self.s.put(text, row["markdown"].encode())
+        record = {"id": doc_id, "project_id": self.id, "title": row["title"], "source_path": text, "original_path": original, "sha256": row["sha256"], "source_format": row["source_format"]}
         self.s.put_json("source_document.json", record)
         self.s.put_json("import_report.json", json.loads(row["report"]))
         self.step("import", "completed")
         return record
 
     def replace_source(self, path: str) -> dict:
-        """The new source must read well before anything of the old goes."""
+        """The new source in place of the old and of all that was made from it, at once or not at all."""
         row = documents.read_sources(self.spark, path).first()
         if row["error"]:
             raise ValueError(row["error"])
-        for table in DERIVED_FROM_SOURCE:
-            self.s.delete(self.s.folder(table))
-        self.s.delete(self.s.path("source", self.id))
-        for name in ("source_document.json", "translation_brief.json", "agent_campaign.json", "import_report.json"):
-            self.s.delete(self.s.path("state", "json", self.id, name))
-        return self.import_source(path)
+        with self.s.transaction():
+            for table in DERIVED_FROM_SOURCE:
+                self.s.drop(table)
+            for name in ("source_document.json", "translation_brief.json", "agent_campaign.json", "import_report.json"):
+                self.s.drop_json(name)
+            return self._retain(row, path)
 
     def segment(self, unit_size: int = 3) -> tuple[int, int, int]:
         if not self.source:
             raise ValueError("no source has been imported")
         text = self.s.get(self.source["source_path"]).decode()
         docs = self.spark.createDataFrame([(self.source["id"], self.source["title"], text)], "document_id string, title string, markdown string")
-        counts = tuple(self.s.overwrite(t, df).count() for t, df in zip(("sections", "segments", "units"), segment.segment_documents(docs, unit_size)))
-        self.step("segment", "completed")
+        with self.s.transaction():
+            counts = tuple(self.s.overwrite(t, df).count() for t, df in zip(("sections", "segments", "units"), segment.segment_documents(docs, unit_size)))
+            self.step("segment", "completed")
         return counts
 
     def import_reference(self, path: str, language: str, credit: str) -> tuple[int, int, int]:
@@ -275,7 +205,8 @@ class Project:
 
     def propose_knowledge(self, least: int = 2) -> tuple[int, int]:
         glossary, entities = knowledge.propose(self._segments(), self.s.read("glossary").drop("_pos"), self.s.read("entities").drop("_pos"), least)
-        return self.s.overwrite("glossary", glossary).count(), self.s.overwrite("entities", entities).count()
+        with self.s.transaction():
+            return self.s.overwrite("glossary", glossary).count(), self.s.overwrite("entities", entities).count()
 
     def import_glossary(self, path: str) -> int:
         return self.s.overwrite("glossary", drafts.read_glossary(self.spark, path)).count()
@@ -293,9 +224,10 @@ class Project:
         decided = knowledge.adjudicate(found, approve_authoritative)
         evidence = found.select(F.col("id").alias("selected_candidate_id"), "evidence_segment_ids", "confidence")
         rows = decided.join(evidence, "selected_candidate_id").withColumn("created_at", F.lit(now())).withColumn("rationale", F.lit("highest authority, then confidence")).cache()
-        n = self.s.append("terminology_decisions", selection.append_new(self.s.read("terminology_decisions"), rows))
         terms = rows.select("term", F.col("selected_translation").alias("preferred_translation"), "confidence", "evidence_segment_ids", "status")
-        self.s.overwrite("glossary", selection.merge_without_overwrite(self.s.read("glossary").drop("_pos"), with_defaults(terms, "glossary"), "term"))
+        with self.s.transaction():
+            n = self.s.append("terminology_decisions", selection.append_new(self.s.read("terminology_decisions"), rows))
+            self.s.overwrite("glossary", selection.merge_without_overwrite(self.s.read("glossary").drop("_pos"), with_defaults(terms, "glossary"), "term"))
         rows.unpersist()
         return n
 
@@ -315,7 +247,7 @@ class Project:
     def translate(self, segment_ids=(), section_ids=(), term: str = "", reason: str = "initial", most_units: int | None = None, adapter=review.mock, name: str = "mock", model: str = "mock-v1") -> int:
         asked = selection.select_segments(self.s.read("segments").drop("_pos"), segment_ids, section_ids, term)
         again = bool(segment_ids or section_ids or term)
-        with self.s.lock("translate"):
+        with self.s.lease("translate"):
             new = review.translate(self.s.read("units"), asked, self.s.read("translations"), adapter, name, model, again, reason, most_units)
             n = self.s.append("translations", new)
         self.step("translate", "completed" if self.complete() else "in_progress")
@@ -405,9 +337,8 @@ class Project:
         records, new = review.review(self.s.read("segments").drop("_pos"), self.s.read("translations"), self.s.read("reviews"))
         records, new = records.persist(), new.persist()
         try:
-            counts = records.count(), new.count()
-            self.s.append("translations", new)
-            self.s.append("reviews", records)
+            with self.s.transaction():
+                counts = self.s.append("reviews", records), self.s.append("translations", new)
         finally:
             records.unpersist()
             new.unpersist()
@@ -555,10 +486,10 @@ class Project:
         record = self.record
         if record.get("schema_version", 1) >= CURRENT_VERSION:
             return record["schema_version"]
-        for t in TABLES:
-            if self.s.exists(self.s.folder(t)):
+        with self.s.transaction():
+            for t in self.s.state()["tables"]:
                 self.s.overwrite(t, self.s.read(t).drop("_pos"))
-        self.s.put_json("project.json", record | {"schema_version": CURRENT_VERSION})
+            self.s.put_json("project.json", record | {"schema_version": CURRENT_VERSION})
         return CURRENT_VERSION
 
     def auto(self, most_rounds: int = 3, **translation) -> tuple[bool, list[dict]]:
