@@ -452,6 +452,12 @@ def stale_scopes(spark, d):
     return review.stale_scopes(digests(sequences.current_translations(log)), seen, "scope").select("scope", "digest")
 
 
+@query(with_tables("log", "active", body="SELECT segment_id % 10 AS scope, sha256(string_agg(id, chr(31) ORDER BY segment_id)) AS digest FROM active GROUP BY 1"))
+def streaming_scope_digests(spark, d):
+    """The digests of scope_digest, kept by keyed state as the log comes in."""
+    return logs.scope_digests_by_stream(spark, d)
+
+
 @query()
 def truncate_summary(spark, d):
     return review.summarize(domain.segments(spark, d)).select("section_id", "summary", F.array_join("key_points", "|").alias("key_points"))

@@ -23,4 +23,4 @@ def test_append_once_survives_restarts(spark, tmp_path):
     stream = lambda: logs.read_log(spark, str(tmp_path / "in"), rows.schema)
     logs.append_once(stream(), str(tmp_path / "log"), str(tmp_path / "c1"))
     logs.append_once(stream(), str(tmp_path / "log"), str(tmp_path / "c2"))  # a lost checkpoint repeats the batch
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert logs.read_appended(spark, str(tmp_path / "log")).count() == 2
