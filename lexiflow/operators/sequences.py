@@ -1,12 +1,14 @@
 """Ordered operators: current revisions, ordinals, samples, budgets and batches.
 
 Nothing here orders a whole table in one task: document-wide ordinals are a rank
-within a section and the counts of the sections before it, and folds run on one
-section's (or scope's) rows in an array.
+within a section and the counts of the sections before it, prefixes are scanned
+by sections, and folds run on one section's (or scope's) rows in an array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +108,53 @@ def workload_tokens(input_chars: Column, source_chars: Column) -> Column:
     return F.floor((input_chars + 3) / 4) + F.floor(F.lit(0.6) * source_chars + F.lit(0.999))
 
 
-def batch_prefix(pending: DataFrame, key: str, position: str, section: str, source_chars: str, input_chars: str, most_units: int = MOST_UNITS, chars: int | None = None, tokens: int | None = None) -> DataFrame:
+def prefix_scan(rows: DataFrame, key: str, section: str, position: str, measures: dict[str, Column], over: Callable[[Column, dict[str, Column]], Column], most_rows: int | None = None) -> DataFrame:
+    """The rows of each key in order, up to before the first where over(number from 1, running sums) holds; the first row always.
+
+    A scan in segments: totals of sections, running sums over sections, and then
+    only the section in which the limit breaks is opened, so no window orders the
+    rows of a key.  Positions of a section follow each other; sums never fall, and
+    over() stays true once it is.  most_rows: a number of rows that over() refuses,
+    so that later sections needn't be looked at.
+    """
+    totals = rows.groupBy(key, section).agg(F.min(position).alias("_start"), F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{name}") for name, c in measures.items()])
+    order = Window.partitionBy(key).orderBy("_start")
+    if most_rows is not None:  # a section has a row at least
+        totals = totals.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most_rows)
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = totals.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    for name in measures:
+        scanned = scanned.withColumn(f"_b_{name}", F.coalesce(F.sum(f"_t_{name}").over(ahead), F.lit(0)))
+    last = F.col("_before") + F.col("_n")
+    scanned = scanned.withColumn("_breaks", (last > 1) & over(last, {name: F.col(f"_b_{name}") + F.col(f"_t_{name}") for name in measures}))
+    scanned = scanned.withColumn("_broken", F.sum(F.col("_breaks").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = scanned.where((F.col("_broken") == 0) | (F.col("_breaks") & (F.col("_broken") == 1))).select(key, section, "_breaks", "_before", *[f"_b_{name}" for name in measures])
+    met = rows.join(wanted, [key, section])
+    inside = Window.partitionBy(key, section).orderBy(position)
+    number = F.col("_before") + F.row_number().over(inside)
+    sums = {name: F.col(f"_b_{name}") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for name, c in measures.items()}
+    opened = met.where("_breaks").withColumn("_number", number).withColumn("_over", over(number, sums)).where((F.col("_number") == 1) | ~F.col("_over"))
+    return met.where("NOT _breaks").select(*rows.columns).unionByName(opened.select(*rows.columns))
+
+
+def batch_prefix(pending: DataFrame, key: str, position: str, section: str, source_chars: str, input_chars: str, most_units: int = MOST_UNITS, chars: int | None = None, tokens: int | None = None, one_section: bool = True) -> DataFrame:
     """The units of the next batch: from a key's first, up to before the first that breaks a limit.
 
-    Limits: another section than the first unit's, the unit cap, source
-    characters, workload tokens; the first unit is always in.
+    Limits: another section than the first unit's (unless one_section is false),
+    the unit cap, source characters, workload tokens; the first unit is always in.
     """
-    w = Window.partitionBy(key).orderBy(position)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = pending.withColumn("_k", F.row_number().over(w)).withColumn("_first", F.first(section).over(upto))
-    rows = rows.withColumn("_chars", F.sum(source_chars).over(upto)).withColumn("_input", F.sum(input_chars).over(upto))
-    over = (F.col(section) != F.col("_first")) | (F.col("_k") > most_units)
-    over = over | ((F.col("_k") > 1) & (F.col("_chars") > F.lit(source_budget() if chars is None else chars)))
-    over = over | ((F.col("_k") > 1) & (workload_tokens(F.col("_input"), F.col("_chars")) > F.lit(usable_tokens() if tokens is None else tokens)))
-    broken = F.max(over.cast("int")).over(upto)
-    return rows.withColumn("_broken", broken).where("_broken = 0").drop("_k", "_first", "_chars", "_input", "_broken")
+    chars = source_budget() if chars is None else chars
+    tokens = usable_tokens() if tokens is None else tokens
+
+    def over(number: Column, sums: dict[str, Column]) -> Column:
+        heavy = (sums["chars"] > F.lit(chars)) | (workload_tokens(sums["input"], sums["chars"]) > F.lit(tokens))
+        return (number > most_units) | ((number > 1) & heavy)
+
+    rows = pending
+    if one_section:
+        first = pending.groupBy(key).agg(F.min(F.struct(position, section)).alias("_f")).select(key, F.col(f"_f.{section}").alias(section))
+        rows = pending.join(first, [key, section], "left_semi")
+    return prefix_scan(rows, key, section, position, {"chars": F.col(source_chars), "input": F.col(input_chars)}, over, most_units + 1)
 
 
 def checkpoints(pending: DataFrame, section: str, position: str, unit: str, source_chars: str, input_chars: str, most_units: int = 60, chars: int | None = None, tokens: int | None = None, overhead: int = 512) -> DataFrame:
@@ -143,11 +177,9 @@ def checkpoints(pending: DataFrame, section: str, position: str, unit: str, sour
     return packed.groupBy(section, F.col("x.c").alias("checkpoint")).agg(F.count("*").alias("units"), F.sum("x.s").alias("chars"), F.collect_list("x.u").alias("unit_ids"))
 
 
-def campaign_candidates(pending: DataFrame, key: str, position: str, segments: str, most_segments: int) -> DataFrame:
+def campaign_candidates(pending: DataFrame, key: str, position: str, segments: str, most_segments: int, section: str = "section_id") -> DataFrame:
     """Pending units in order while their segments stay within the cap; the first always."""
-    w = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    rows = pending.withColumn("_sum", F.sum(segments).over(w)).withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(position)))
-    return rows.where((F.col("_sum") <= most_segments) | (F.col("_k") == 1)).drop("_sum", "_k")
+    return prefix_scan(pending, key, section, position, {"segments": F.col(segments)}, lambda _, sums: sums["segments"] > F.lit(most_segments))
 
 
 def top_per_key(rows: DataFrame, key: str | list[str], order: list, n: int) -> DataFrame:

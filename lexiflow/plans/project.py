@@ -298,10 +298,7 @@ class Project:
     def batch(self, output: str, most_units: int | None = None) -> int:
         """The next work package: pending units within the envelope, each with its context."""
         limits = {"most_units": most_units, "chars": 1 << 60, "tokens": 1 << 60} if most_units else {}
-        pending = self._pending()
-        if most_units:
-            pending = pending.withColumn("section_id", F.lit("any"))
-        chosen = sequences.batch_prefix(pending, "book", "unit_ordinal", "section_id", "source_chars", "input_chars", **limits)
+        chosen = sequences.batch_prefix(self._pending(), "book", "unit_ordinal", "section_id", "source_chars", "input_chars", one_section=not most_units, **limits)
         packets = segment.context_packets(self.s.read("units").drop("_pos"), self.s.read("segments").drop("_pos"), sequences.current(self.s.read("section_summaries"), "section_id"))
         rows = chosen.select("unit_id", "unit_ordinal", F.col("segment_ids").alias("pending_segment_ids")).join(packets, "unit_id").orderBy("unit_ordinal")
         jsonl.write_jsonl(rows, output)
