@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .simhash import _across, _neighbours, _texts, _united, confirmed, may_reach, named_rows, nearest, parity_sketches, set_digests, sets_of, shingle_hashes, shingle_sets
+from .simhash import _across, _chosen, _neighbours, _texts, _united, confirmed, may_reach, named_rows, nearest, parity_sketches, set_digests, sets_of, shingle_hashes, shingle_sets
 from .textops import U64, binaries, groups, mix, ragged, released, slices, tidy
 
 #: Shingles that are hashed at once, so that they stay in a processor's cache.
 AT_ONCE = 1 << 15
 #: What is known of a node but its keys.
-OF_NODE = ["f0", "f1", "size", "p0", "p1"]
+OF_NODE = ["f0", "f1", "size", "sketch"]
+#: Bits of a parity sketch: enough to tell the differing shingles of short texts nearly one by one.
+PARITIES = 512
 #: Two digests tell sets apart.
 SET = ["d0", "d1", "size"]
 
@@ -94,15 +96,16 @@ def _sign(shingle: int, bands: int, rows: int, seed: int, batches: Iterator[pa.R
             h, first = shingle_sets(*shingle_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle, seed))
             signature = minima(h, first, bands * rows, seed)
             n = np.diff(first)
-            of_node = np.column_stack((signature_bits(signature), n.astype(U64), parity_sketches(h, first), set_digests(h, first), set_digests(mix(h ^ U64(0xA24BAED4963EE407)), first)))
-            numbers = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in of_node.T]
-            keys = binaries(band_keys(signature, bands), 8 * bands * np.arange(1, j - i + 1))
-            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), keys, *numbers], names=names)
+            numbers = np.column_stack((signature_bits(signature), n.astype(U64), set_digests(h, first), set_digests(mix(h ^ U64(0xA24BAED4963EE407)), first)))
+            f0, f1, size, d0, d1 = (pa.array(np.ascontiguousarray(c).view(np.int64)) for c in numbers.T)
+            each = np.arange(1, j - i + 1)
+            keys, sketch = binaries(band_keys(signature, bands), 8 * bands * each), binaries(parity_sketches(h, first, PARITIES), PARITIES // 8 * each)
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), keys, f0, f1, size, sketch, d0, d1], names=names)
 
 
 def signature_table(docs: DataFrame, shingle: int = 4, bands: int = 32, rows: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, text_key (a hash of the text), keys (of the bands), OF_NODE and two digests of the set, of every row; size 0: no words."""
-    schema = "doc_id long, text_key long, keys binary, " + ", ".join(f"{c} long" for c in [*OF_NODE, "d0", "d1"])
+    schema = "doc_id long, text_key long, keys binary, " + ", ".join(f"{c} {'binary' if c == 'sketch' else 'long'}" for c in [*OF_NODE, "d0", "d1"])
     return _texts(docs).mapInArrow(partial(_sign, shingle, bands, rows, seed), schema)
 
 
@@ -122,9 +125,10 @@ def _post_bands(bands: int, bits: int, of_node: bool, batches: Iterator[pa.Recor
             end = np.append(start[1:], len(key))
             out = {"keys": key, "nodes": node[who]}
             if of_node:
-                label, f0, f1, size, p0, p1 = (part.column(k).to_numpy(zero_copy_only=False) for k in range(2, 8))
+                label, f0, f1, size = (part.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
+                sketch = np.frombuffer(ragged(part.column(6))[0].tobytes(), U64).reshape(-1, PARITIES // 64)
                 # most labels are the node's own: zeros are packed well
-                out |= {"labels": (label ^ node)[who], "prints": np.column_stack((f0, f1))[who], "sizes": size.astype(np.uint32)[who], "sketches": np.column_stack((p0, p1))[who]}
+                out |= {"labels": (label ^ node)[who], "prints": np.column_stack((f0, f1))[who], "sizes": size.astype(np.uint32)[who], "sketches": sketch[who]}
             yield pa.record_batch([pa.array(bucket[start]), *(binaries(x, x.nbytes // max(1, len(x)) * end) for x in out.values())], names=["bucket", *out])
 
 
@@ -151,18 +155,20 @@ def _meet_bands(all_pairs, distance, similarity, table):
         label, prints = node ^ _column(table, "labels", np.int64), _column(table, "prints", U64).reshape(-1, 2)
         order = np.lexsort((node, label, key) if all_pairs else (node, *prints.T, key))
         key, node, label, prints = key[order], node[order], label[order], prints[order]
-        sizes, sketches = _column(table, "sizes", np.uint32)[order], _column(table, "sketches", U64).reshape(-1, 2)[order]
+        sizes, sketches = _column(table, "sizes", np.uint32)[order], _column(table, "sketches", U64).reshape(-1, PARITIES // 64)[order]
         wanted = lambda i, j: may_reach(sizes, sketches, similarity, i, j)
         i, j = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
         apart = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
         found = np.unique(np.column_stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), apart)), axis=0)
+        if not all_pairs:
+            found = _chosen(found, distance)
         return pa.table({"node": found[:, 0], "other": found[:, 1], "apart": found[:, 2]})
     finally:
         tidy()
 
 
 def _bits(entries: int) -> int:
-    return max(4, math.ceil(math.log2(max(1, entries) / 300_000)))
+    return max(2, math.ceil(math.log2(max(1, entries) / 300_000)))
 
 
 def minhash_groups(docs: DataFrame, shingle: int = 4, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 33, seed: int = 42, contractions: int = 2) -> DataFrame:

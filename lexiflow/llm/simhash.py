@@ -96,15 +96,15 @@ def set_digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 PARITIES = 128
 
 
-def parity_sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(documents, 2) of 64 bits: bit k is the parity of the number of shingles dealt to k.
+def parity_sketches(h: np.ndarray, first: np.ndarray, parities: int = PARITIES) -> np.ndarray:
+    """(documents, parities / 64) of 64 bits: bit k is the parity of the number of shingles dealt to k (a power of two of them).
 
     The bits that differ between two sets are no more than the shingles that do.
     """
     n = len(first) - 1
-    at = np.repeat(np.arange(n), np.diff(first)) * PARITIES + (mix(h) & U64(PARITIES - 1)).astype(np.int64)
-    odd = np.bincount(at, minlength=n * PARITIES).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, PARITIES), axis=1, bitorder="little").view(U64)
+    at = np.repeat(np.arange(n), np.diff(first)) * parities + (mix(h) & U64(parities - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * parities).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, parities), axis=1, bitorder="little").view(U64)
 
 
 #: What is known of a set of shingles besides its fingerprint.
@@ -480,6 +480,17 @@ def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance
     return np.concatenate((i, own)), np.concatenate((j, hub[own]))
 
 
+def _chosen(found: np.ndarray, distance: int) -> np.ndarray:
+    """Of rows (node, other, apart) what nearest() can choose from: each node's nearest other, and the smallest within half the distance."""
+    both = np.concatenate((found, found[:, [1, 0, 2]]))
+    kept = []
+    for rows, order in ((both, (1, 2, 0)), (both[2 * both[:, 2] <= distance], (1, 0))):
+        rows = rows[np.lexsort([rows[:, k] for k in order])]
+        kept.append(rows[groups(rows[:, 0])])
+    kept = np.concatenate(kept)
+    return np.unique(np.column_stack((kept[:, :2].max(axis=1), kept[:, :2].min(axis=1), kept[:, 2])), axis=0)
+
+
 def _meet(distance: int, lanes: int, width: int, count: int, top: int, all_pairs: bool, by_label: bool, similarity: float | None, table: pa.Table) -> pa.Table:
     """Links (node, other, apart) of what meets at the keys of a bucket; other is the smaller.
 
@@ -513,6 +524,8 @@ def _meet(distance: int, lanes: int, width: int, count: int, top: int, all_pairs
     i, j = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
     apart = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
     found = np.unique(np.column_stack((np.maximum(name[i], name[j]), np.minimum(name[i], name[j]), apart)), axis=0)
+    if not all_pairs:
+        found = _chosen(found, distance)
     return pa.table({"node": found[:, 0], "other": found[:, 1], "apart": found[:, 2]})
 
 
