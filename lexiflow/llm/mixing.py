@@ -8,9 +8,12 @@ for each integer boundary that the sum crosses.
 The order is by size: classes of sizes within a sixteenth of an octave, the
 largest first.  What a class leaves of a copy is carried to the next class in
 words, so that a source's taken words stay near its target whatever the sizes.
-A class is summed up before its documents are ranked (a fold over a source's few
-hundred classes), and ranked in SALTS parts by a hash of the doc_id: no source
-and no class is ever one task's, and the parts don't depend on the table's size.
+So a class's copies are a whole number (a fold over a source's few hundred
+classes, with the source's offset), and each of its documents expects an equal part
+of them; the prefix sum runs over all documents of the source, class by class, and
+the same offset decides which of them cross a boundary.  Documents of a class are
+ranked in SALTS parts by a hash of the doc_id: no source and no class is ever one
+task's, and the parts don't depend on the table's size.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: i
 
 
 def _copies_of_classes(classes: DataFrame, most: int, seed: str) -> DataFrame:
-    """(site, class, docs, take): the copies that each class takes, from classes(site, class, docs, words, target, source_size)."""
+    """(site, class, docs, take, offset): the copies that each class takes, from classes(site, class, docs, words, target, source_size)."""
     listed = classes.groupBy("site", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("place"), "docs", "words"))).alias("list"))
     expects = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _hex(F.concat(F.lit(seed), "site"), 8).cast("double") / F.lit(4294967296.0)
@@ -60,7 +63,7 @@ def _copies_of_classes(classes: DataFrame, most: int, seed: str) -> DataFrame:
 
     start = F.struct(F.lit(0.0).alias("left"), none.alias("done"))
     folded = listed.withColumn("expects", expects).withColumn("offset", offset).withColumn("done", F.aggregate("list", start, step)["done"])
-    return folded.select("site", F.inline("done")).select("site", (-F.col("place")).alias("class"), "docs", "take")
+    return folded.select("site", "offset", F.inline("done")).select("site", (-F.col("place")).alias("class"), "docs", "take", "offset")
 
 
 def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
@@ -79,9 +82,11 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, most: int,
     ahead = ahead.withColumn("ahead", F.sum("n").over(Window.partitionBy("site", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
     ahead = ahead.join(taking, ["site", "class"]).join(sources, "site")
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("size"), "doc_id", "row_key"))).join(ahead, key)
+    # copies of earlier classes are whole numbers and change no boundary
     place = F.col("ahead") + F.col("rank")
-    copies = F.expr("(take * (ahead + rank)) div docs - (take * (ahead + rank - 1)) div docs")
-    return ranked.withColumn("place", place).withColumn("copies", copies).select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    upto = lambda number: F.floor(F.col("take") * number / F.col("docs") + F.col("offset"))
+    copies = F.when(place < F.col("docs"), upto(place)).otherwise(F.col("take")) - upto(place - 1)
+    return ranked.withColumn("copies", copies).select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
@@ -90,7 +95,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Sources in order (null last) weigh `weights` by turns and share `share`
     times all words; a target stops at `most` times its source, the excess is
     shared again by weight.  Null text: size 0, and copies like any other (in a
-    source without words none).  Rows of one doc_id and size are in the order of
+    source without words none).  seed: of the offsets, one a source; over many seeds
+    a row's copies are target / source_size on average.  Rows of one doc_id and size are in the order of
     row_key, so runs agree; only equal rows are interchangeable.  Null doc_ids
     are dealt by row_key.  Other columns count in row_key alone.  An empty table has
     no rows.

@@ -233,7 +233,8 @@ ORACLES: dict[str, str] = {
             FROM f JOIN k ON k.site = f.site AND k.i = f.i + 1,
                  LATERAL (SELECT k.e * k.docs + CASE WHEN k.mean > 0 THEN (f.due - f.take) * f.mean / k.mean ELSE 0 END AS due) v),
         n AS (SELECT *, row_number() OVER (PARTITION BY site, class ORDER BY salt, size DESC, doc_id) AS rank FROM c)
-        SELECT doc_id, size, source_size, target, ((take * rank) // docs - (take * (rank - 1)) // docs) * size AS taken
+        SELECT doc_id, size, source_size, target,
+               (CASE WHEN rank < docs THEN floor(take * rank / docs + u) ELSE take END - floor(take * (rank - 1) / docs + u))::BIGINT * size AS taken
         FROM n JOIN f USING (site, class)""",
     "op11_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -540,6 +540,31 @@ def test_mix_meets_targets(spark):
     assert len(target) == 3 and all(abs(taken[s] - target[s]) < 0.005 * target[s] for s in target)
 
 
+def test_mix_takes_each_document_as_often_as_expected(spark):
+    """Over many offsets a document's copies are target / size on average, and only the offset decides."""
+    rng = random.Random(13)
+    rows = [(k, "w " * rng.choice([0, 3, 3, 8, 50]), f"s{k % 3}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    total, taken, seeds = Counter(), [], 24
+    mixes = [mixing.mix(docs, seed=f"seed {k}") for k in range(seeds)]
+    expected = {r.doc_id: r.target / r.source_size for r in mixes[0].collect()}
+    for m in mixes:
+        own = {r.doc_id: r.copies for r in m.collect()}
+        assert set(own.values()) <= {0, 1, 2}
+        total.update(own)
+        taken.append(own)
+    assert len(set(expected.values())) == 3
+    for i, e in expected.items():
+        assert abs(total[i] / seeds - e) < 0.45, (i, total[i] / seeds, e)
+    by_source = Counter()
+    for i in expected:
+        by_source[i % 3] += total[i] / seeds / expected[i] / 20
+    assert all(abs(x - 1) < 0.1 for x in by_source.values()), by_source
+    # which documents are taken changes with the offset
+    sometimes = [i for i in expected if 1 < total[i] < seeds * 2 - 1 and len({own[i] for own in taken}) > 1]
+    assert len(sometimes) > 20
+
+
 def test_emit_keeps_other_columns_apart(spark):
     """Rows equal but for another column are each emitted for themselves."""
     rows = [(k // 2, "some words that are the same", "s", "qz"[k % 2]) for k in range(40)] + [(7, "own", "s", None)] * 3
