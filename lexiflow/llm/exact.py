@@ -3,15 +3,17 @@
 Index: a directory over the leading bits of a 64-bit text hash, which points to
 buckets, and files of buckets' entries.  The directory doubles until no bucket
 holds more than `capacity` keys; only overfull buckets are split, so each bucket
-has a depth of its own and several pointers may name it.  Owner tasks take
-ranges of keys: texts with one hash are chained, and only equal bytes make one
-entry.  Copies are combined before they are sent, so a group of any size is one
-entry a task.
+has a depth of its own and several pointers may name it.  Texts are sent to the
+owners of their buckets, which are ranges of keys.  An owner compares the bytes of
+the texts of a key: equal ones become one entry with the largest doc_id and their
+number, different ones are chained.  Keys of more than a thousandth of all rows,
+under a thousand of them, are combined in SALTS parts before they are sent, so a
+group of any size is SALTS texts at most to its owner.
 
 Lookup: a row finds its bucket through the directory, and in the bucket the
 chain of its hash; along the chain it is told apart by its address, the SHA-256
-of its text.  The owner compares the bytes of all texts of a hash and fails if
-two of them had one address, so equal addresses in the index are equal bytes.
+of its text.  The owner fails if two texts of a chain had one address, so equal
+addresses in the index are equal bytes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import new_folder, shared_dir
 
+#: Parts that copies of a frequent text are combined in.
+SALTS = 64
 #: Directories of more pointers than this are joined by a shuffle, not a broadcast (16 bytes each).
 MOST_BROADCAST = 1 << 18
 
@@ -72,7 +76,7 @@ def _pointed(rows: DataFrame, pointers: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("cell", cell_of(F.col("key"), depth)).join(F.broadcast(pointers) if small else pointers, "cell").drop("cell")
 
 
-def exact_groups(docs: DataFrame, capacity: int = 100_000, folder: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int = 500, folder: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, depth, chain.
 
     Texts are equal when their bytes are after normal().  The row with the
@@ -96,9 +100,16 @@ def exact_groups(docs: DataFrame, capacity: int = 100_000, folder: str | None =
     found.write.parquet(f"{folder}/directory")
     pointers = spark.read.parquet(f"{folder}/directory")
 
+    # frequent keys are combined first
+    frequent = log.groupBy("key").count().where(F.col("count") * 1000 > total).select("key").checkpoint()
+    texts = rows.join(F.broadcast(frequent), "key", "left_anti").select("key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    if frequent.count():
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+        copies = rows.join(F.broadcast(frequent), "key", "left_semi").groupBy("key", "norm", salt.alias("salt")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        texts = texts.unionByName(copies.drop("salt"))
     # owners: equal bytes are one entry, entries of one hash are a chain
-    entries = rows.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("text_sha256", address).drop("norm")
-    entries = _pointed(entries, pointers, depth).repartition("bucket")  # a bucket is a range of keys
+    sent = _pointed(texts, pointers, depth).repartition("bucket")
+    entries = sent.groupBy("bucket", "depth", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).withColumn("text_sha256", address).drop("norm")
     chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
     entries = entries.withColumn("chain", F.row_number().over(chain)).withColumn("twin", F.lag("text_sha256").over(chain))
     collision = F.raise_error(F.lit("two texts have one address"))
