@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import lines, mixing, packing, quality, simhash
 from lexiflow.llm.queries import vocabulary
-from lexiflow.llm.shared import new_folder
+from lexiflow.llm.shared import columns, new_folder
 
 
 #: Eight segments of 16 bits: a pair within 23 bits meets at a key for sure.  A set
@@ -21,16 +21,20 @@ NEAR = {"shingle": 5, "distance": 32, "lanes": 2, "segments": 8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: whole rows, repeated ones alike; null and short texts go; of no documents none."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate; those that were nothing else go."""
+    """Documents without cross-site boilerplate; those that were nothing else go.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, and no
+    documents give none.
+    """
     found = lines.dedup_lines(docs, min_sites=5).where("_removed = 0 OR _removed < _lines")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found.select(*columns(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +48,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs, **NEAR, similarity=0.8)
     copies = simhash.small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct())
     same = (docs.doc_id.cast("long") == copies.copy_id) & (F.xxhash64(docs.text.cast("string")) == copies.copy_key)
-    return docs.join(copies, same, "left_anti").select(*docs.columns)
+    return docs.join(copies, same, "left_anti").select(*columns(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a null source is a source, null texts have no words, no documents give none."""
     return mixing.emit(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix in sequences of up to 2,048 tokens."""
+    """Pieces of the mix in sequences of up to 2,048 tokens; null texts are empty, repeated rows are packed each, no documents give none."""
     return packing.pack(docs, vocabulary(), size=2048, end_id=1)
 
 
