@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_hash, shared_dir, unused
+from .shared import column, row_hash, shared_dir, unused
 
 BLANK = " \t\r\x0b\x0c"
 KEY = ["h1", "h2"]
@@ -73,4 +73,4 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, site: str = "source") -> Da
     met = met.withColumn("text", F.array_join(kept, "\n"))
     content = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANK)) != ""))
     counts = [F.greatest(content, F.lit(0)).cast("long").alias("_lines"), F.greatest(F.size(gone_at), F.lit(0)).cast("long").alias("_removed")]
-    return met.select(*[c for c in docs.columns if c not in ("_lines", "_removed")], *counts)
+    return met.select(*[column(c) for c in docs.columns if c not in ("_lines", "_removed")], *counts)

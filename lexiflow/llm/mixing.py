@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import row_hash, shared_dir, unused
+from .shared import columns, row_hash, shared_dir, unused
 
 #: Parts that a class's rows are ranked in.
 SALTS = 256
@@ -118,4 +118,4 @@ def emit(docs: DataFrame, **more) -> DataFrame:
     total = mix(docs, **more).groupBy(F.coalesce(F.col("doc_id"), F.lit(0)).alias(a), F.col("row_key").alias(b)).agg(F.sum("copies").alias(taken)).where(F.col(taken) > 0)
     keyed = docs.withColumn(a, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(b, row_hash(docs))
     met = keyed.join(total, [a, b]).withColumn(n, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(0)))).where(F.col(n) == 1)
-    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(taken).cast("int")))).select(*docs.columns)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(taken).cast("int")))).select(*columns(docs))

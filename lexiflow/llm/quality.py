@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .shared import shared_dir
+from .shared import columns, shared_dir
 from .textops import Numbering, SEPARATOR, U64, Words, expand, mix, per_document, ragged, released, slices, window_hashes
 
 COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -115,11 +116,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counts(docs: DataFrame, stratum: str = "lang", rows: bool = False) -> DataFrame:
     """COUNTS of every row of docs, and base_failed; with the whole row too if asked.  Null text: no words."""
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text")]
+    asked = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text")]
     if rows:
-        found = docs.select(*columns, F.struct(*map(F.col, docs.columns)).alias("row")).mapInArrow(_count_rows, f"row {docs.schema.simpleString()}, {COUNTS}")
+        found = docs.select(*asked, F.struct(*columns(docs)).alias("row")).mapInArrow(_count_rows, StructType([StructField("row", docs.schema), *StructType.fromDDL(COUNTS).fields]))
     else:
-        found = docs.select(*columns).mapInArrow(_count, COUNTS)
+        found = docs.select(*asked).mapInArrow(_count, COUNTS)
     return found.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
@@ -202,7 +203,11 @@ def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.01, delta: floa
 
 
 def keep(docs: DataFrame, labels: DataFrame, limit: float = 0.01, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
-    """The rows of docs that quality() keeps, whole; texts aren't shuffled but counted twice."""
+    """The rows of docs that quality() keeps, whole; texts aren't shuffled but counted twice.
+
+    Null texts and texts of few words go; repeated rows are judged alike; all
+    columns stay, whatever their names.  An empty table has no rows.
+    """
     shared_dir(docs.sparkSession)
     cutoffs = fit(counts(docs, stratum), labels, limit, delta)
     return counts(docs, stratum, rows=True).where(~F.col("base_failed") & verdict(cutoffs)).select("row.*")

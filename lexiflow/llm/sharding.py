@@ -46,6 +46,7 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def shard(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """docs with slot and shard (replaced if there); equal keys get one shard, null keys that of ''.
 
+    Repeated rows stay repeated; an empty table has no rows.
     The broadcast table has `slots` rows, whatever the data.
     """
     spark = docs.sparkSession

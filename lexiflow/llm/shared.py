@@ -48,7 +48,17 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of that name, dots, blanks and quotes in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns of docs, for a table that has them among others."""
+    return [column(name) for name in docs.columns]
+
+
 def row_hash(docs: DataFrame) -> Column:
     """A 64-bit hash of all columns of docs; it tells rows of one doc_id apart."""
-    columns = [(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType.simpleString()) for f in docs.schema.fields]
+    columns = [(column(f.name), f.dataType.simpleString()) for f in docs.schema.fields]
     return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else c for c, kind in columns])

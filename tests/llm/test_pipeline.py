@@ -193,3 +193,28 @@ def test_bound_loses_no_similar_set():
     union = np.diff(first)[i] + np.diff(first)[j] - both
     assert kept[both >= 0.8 * union].all()
     assert kept[both < 0.8 * union].mean() < 0.2
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near", "mixing", "emit", "shard", "dedup_lines", "keep"])
+def test_columns_of_any_name(spark, corpus, name):
+    """Dots, blanks and quotes in names of columns that are kept, also on an empty table."""
+    from lexiflow.llm import lines, mixing, quality, sharding
+
+    folder, rows = corpus
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame([(*r, f"v{k}", k, {"x.y": k}) for k, r in enumerate(rows)], SCHEMA + ", `a.b` string, `my col` long, `q``t` map<string,int>")
+    step = {
+        "quality": lambda d: corpus_pipeline.quality_stage(spark, d, folder),
+        "lines": lambda d: corpus_pipeline.line_stage(spark, d, folder),
+        "near": lambda d: corpus_pipeline.near_stage(spark, d, folder),
+        "mixing": lambda d: corpus_pipeline.mixing_stage(spark, d, folder),
+        "emit": mixing.emit,
+        "shard": lambda d: sharding.shard(d, ["a", "b"]),
+        "dedup_lines": lines.dedup_lines,
+        "keep": lambda d: quality.keep(d, labels),
+    }[name]
+    found = step(docs)
+    assert set(docs.columns) <= set(found.columns)
+    values = {r.doc_id: (r["a.b"], r["my col"], r["q`t"]) for r in found.collect()}
+    assert len(values) > 20 and all(v == (f"v{i}", i, {"x.y": i}) for i, v in values.items())
+    assert step(docs.limit(0)).count() == 0
