@@ -163,10 +163,13 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: Fixed value: a Latin token, in escaped text; names of escaped marks are none.
+LATIN_TOKEN = r"(?<!&)(?<!&[agl])(?<!&am)([A-Za-z0-9](?:[A-Za-z0-9._:/+%#?=@()\-]|&amp;)*)"
+
+
 def latin_markup(text: Column) -> Column:
-    """Latin runs in a font of their own; short ones without URL marks don't break."""
-    run = r"[A-Za-z0-9][A-Za-z0-9 .,'()/:?&=%+_-]*[A-Za-z0-9]|[A-Za-z0-9]"
-    marked = F.regexp_replace(escape_html(text), f"({run})", '<font name="latin">$1</font>')
+    """Latin tokens in a font of their own; those of up to 40 characters without marks of URLs don't break."""
+    marked = F.regexp_replace(escape_html(text), LATIN_TOKEN, '<font name="latin">$1</font>')
     return F.regexp_replace(marked, r'<font name="latin">([^</:?&=]{1,40})</font>', '<nobr><font name="latin">$1</font></nobr>')
 
 

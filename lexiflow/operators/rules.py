@@ -152,24 +152,44 @@ def resolve(issues: DataFrame, active: DataFrame, resolutions: DataFrame) -> Dat
     return met.withColumn("severity", F.when(F.col("_held"), F.lit("warning")).otherwise(F.col("severity"))).withColumn("status", F.when(F.col("_held"), F.lit("resolved")).otherwise(F.col("status"))).select(*issues.columns)
 
 
-def academic_issues(segments: DataFrame, report: DataFrame, assets: DataFrame) -> DataFrame:
-    """Figures and tables as many as reported, and an asset of the recorded digest for each image.
-
-    segments: raw, kind; report: figures, tables (a row, or none); assets: path,
-    sha256, found_sha256 (null: not there).
+#: An image block of an article, and the messages, which are part of issue identities.
+ASSET = r"^!\[[^\]]*\]\((assets/[^)]+)\)$"
+ACADEMIC = {
+    "academic_missing_import_report": "JATS import report is missing",
+    "academic_figure_count_mismatch": "JATS report lists %d figures but normalized source has %d image blocks",
+    "academic_table_count_mismatch": "JATS report lists %d tables but normalized source has %d table blocks",
+    "academic_missing_figure_asset": "Missing fetched figure asset %s",
+    "academic_figure_asset_changed": "Figure asset hash differs from manifest for %s",
+}
+
+
+def academic_issues(projects: DataFrame, segments: DataFrame, report: DataFrame, assets: DataFrame) -> DataFrame:
+    """project and an issue for each figure or table that an article lacks, and for each image without the asset recorded for it.
+
+    projects: project (those of articles); segments: project, segment_id, raw,
+    kind; report: project, figures, tables; assets: project, path, sha256,
+    found_sha256 (null: not there).  Of a project without a report that alone is said.
     """
-    seen = segments.agg(F.count_if(T.is_structural(F.col("raw"))).alias("f"), F.count_if(F.col("kind") == "table").alias("t"))
-    none = seen.join(report.limit(1).select(F.lit(1).alias("there")), how="left").where("there IS NULL")
-    missing = none.select(F.lit("missing_import_report").alias("kind"), F.lit("Import report is missing").alias("message"), F.lit(None).cast("string").alias("segment_id"))
-    counts = seen.crossJoin(report.limit(1))
-    parts = [missing]
-    for kind, got, wanted in (("figure_count", "f", "figures"), ("table_count", "t", "tables")):
-        parts.append(counts.where(F.col(got) != F.col(wanted)).select(F.lit(kind).alias("kind"), F.concat(F.lit(f"Expected {wanted}: "), wanted, F.lit(", found "), got).alias("message"), F.lit(None).cast("string").alias("segment_id")))
-    images = segments.where(T.is_structural(F.col("raw"))).select("segment_id", F.regexp_extract("raw", r"\]\(([^\n)]+)\)", 1).alias("path")).join(assets, "path", "left")
-    parts.append(images.where("found_sha256 IS NULL").select(F.lit("missing_asset").alias("kind"), F.concat(F.lit("Missing asset "), "path").alias("message"), "segment_id"))
-    parts.append(images.where("found_sha256 <> sha256").select(F.lit("changed_asset").alias("kind"), F.concat(F.lit("Changed asset "), "path").alias("message"), "segment_id"))
+    images = segments.withColumn("path", F.nullif(F.regexp_extract("raw", ASSET, 1), F.lit("")))
+    seen = images.groupBy("project").agg(F.count("path").alias("_images"), F.count_if(F.col("kind") == "table").alias("_tables"))
+    met = projects.join(report.withColumn("_told", F.lit(True)), "project", "left").join(seen, "project", "left").fillna(0, ["_images", "_tables"])
+    whole = F.lit(None).cast(segments.schema["segment_id"].dataType).alias("segment_id")
+
+    def said(rows: DataFrame, kind: str, segment, *values) -> DataFrame:
+        return rows.select("project", F.lit(kind).alias("kind"), F.format_string(ACADEMIC[kind], *values).alias("message") if values else F.lit(ACADEMIC[kind]).alias("message"), segment)
+
+    told = met.where("_told")
+    cited = images.where("path IS NOT NULL").join(told.select("project"), "project", "left_semi").join(assets, ["project", "path"], "left")
+    absent = F.col("sha256").isNull() | F.col("found_sha256").isNull()
+    parts = [
+        said(met.where("_told IS NULL"), "academic_missing_import_report", whole),
+        said(told.where("_images <> figures"), "academic_figure_count_mismatch", whole, F.col("figures").cast("long"), "_images"),
+        said(told.where("_tables <> tables"), "academic_table_count_mismatch", whole, F.col("tables").cast("long"), "_tables"),
+        said(cited.where(absent), "academic_missing_figure_asset", F.col("segment_id"), "path"),
+        said(cited.where(~absent & (F.col("sha256") != F.col("found_sha256"))), "academic_figure_asset_changed", F.col("segment_id"), "path"),
+    ]
     found = reduce(DataFrame.unionByName, parts)
-    return found.select(stable_id("issue", F.col("kind"), F.coalesce("segment_id", F.lit("project")), F.col("message")).alias("id"), "kind", "message", "segment_id", F.lit("error").alias("severity"), F.lit("open").alias("status"))
+    return found.select("project", stable_id("issue", F.col("kind"), F.coalesce(F.col("segment_id").cast("string"), F.lit("project")), F.col("message")).alias("id"), "kind", "message", "segment_id", F.lit("error").alias("severity"), F.lit("open").alias("status"))
 
 
 def chain_violations(log: DataFrame, owner: str, known: DataFrame | None = None) -> DataFrame:

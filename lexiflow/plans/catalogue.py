@@ -352,6 +352,33 @@ def resolution_downgrade(spark, d):
     return rules.resolve(issues, active, held)
 
 
+@query("""
+    WITH s AS (SELECT l_suppkey AS project, l_orderkey * 8 + l_linenumber AS segment_id, l_returnflag = 'R' AS image, l_returnflag = 'A' AS tab, 'assets/' || l_partkey || '.png' AS path FROM lineitem),
+    c AS (SELECT project, count(*) FILTER (image) AS f, count(*) FILTER (tab) AS t FROM s GROUP BY project),
+    p AS (SELECT s_suppkey AS project, coalesce(f, 0) AS f, coalesce(t, 0) AS t, s_suppkey % 5 <> 0 AS reported, 10 + s_nationkey AS figures, coalesce(t, 0) + (s_suppkey % 2) AS tables
+          FROM supplier LEFT JOIN c ON c.project = s_suppkey),
+    a AS (SELECT 'assets/' || p_partkey || '.png' AS path, p_size % 5 = 0 AS absent, p_size % 7 = 0 AS changed FROM part),
+    i AS (
+        SELECT project, 'academic_missing_import_report' AS kind, 'JATS import report is missing' AS message, NULL AS segment_id FROM p WHERE NOT reported
+        UNION ALL SELECT project, 'academic_figure_count_mismatch', 'JATS report lists ' || figures || ' figures but normalized source has ' || f || ' image blocks', NULL FROM p WHERE reported AND f <> figures
+        UNION ALL SELECT project, 'academic_table_count_mismatch', 'JATS report lists ' || tables || ' tables but normalized source has ' || t || ' table blocks', NULL FROM p WHERE reported AND t <> tables
+        UNION ALL SELECT s.project, CASE WHEN absent THEN 'academic_missing_figure_asset' ELSE 'academic_figure_asset_changed' END,
+            CASE WHEN absent THEN 'Missing fetched figure asset ' || path ELSE 'Figure asset hash differs from manifest for ' || path END, segment_id
+        FROM s JOIN p ON p.project = s.project AND reported JOIN a USING (path) WHERE image AND (absent OR changed))
+    SELECT project, 'issue_' || substr(sha256(kind || chr(31) || coalesce(segment_id::VARCHAR, 'project') || chr(31) || message), 1, 16) AS id, kind, message, segment_id FROM i""")
+def academic_issues(spark, d):
+    """Lines of orders as the segments of suppliers' articles, parts as their figures."""
+    flag = F.col("l_returnflag")
+    path = F.concat(F.lit("assets/"), F.col("l_partkey").cast("string"), F.lit(".png"))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("project"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("segment_id"), F.when(flag == "R", F.concat(F.lit("![figure]("), path, F.lit(")"))).otherwise(F.lit("text")).alias("raw"), F.when(flag == "A", F.lit("table")).otherwise(F.lit("paragraph")).alias("kind"), "l_partkey")
+    projects = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project"), F.col("s_nationkey").alias("nation"))
+    tables = lines.groupBy("project").agg(F.count_if(F.col("kind") == "table").alias("held"))
+    report = projects.join(tables, "project", "left").where("project % 5 <> 0").select("project", (F.col("nation") + 10).alias("figures"), (F.coalesce("held", F.lit(0)) + F.col("project") % 2).alias("tables"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.md5(F.col("p_name").cast("binary")).alias("sha256"), F.when(F.col("p_size") % 5 == 0, F.lit(None)).when(F.col("p_size") % 7 == 0, F.lit("other")).otherwise(F.md5(F.col("p_name").cast("binary"))).alias("found_sha256"))
+    assets = lines.select("project", "l_partkey").distinct().join(parts, "l_partkey").select("project", F.concat(F.lit("assets/"), F.col("l_partkey").cast("string"), F.lit(".png")).alias("path"), "sha256", "found_sha256")
+    return rules.academic_issues(projects.select("project"), lines.drop("l_partkey"), report, assets).select("project", "id", "kind", "message", "segment_id")
+
+
 # -- knowledge -------------------------------------------------------------------------------
 @query(with_tables("lines", "segments", body=r"""
     , w AS (SELECT DISTINCT segment_id, ordinal, document, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}'))) AS term FROM segments)

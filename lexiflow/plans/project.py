@@ -377,7 +377,37 @@ class Project:
         active = sequences.current_translations(self.s.read("translations"))
         if segment_ids or section_ids:  # only a whole run can tell orphans
             active = active.join(segments.select("segment_id"), "segment_id", "left_semi")
-        return rules.validate(segments, active, self.s.read("glossary"), mode, self.s.read("audit_resolutions"))
+        found = rules.validate(segments, active, self.s.read("glossary"), mode, self.s.read("audit_resolutions"))
+        return found.unionByName(self._academic_issues().select(*found.columns)) if self.source.get("source_format") == "jats" else found
+
+    def _academic_issues(self) -> DataFrame:
+        """An article's figures, tables and assets against its import report and the manifest of fetched assets."""
+        one = self.spark.createDataFrame([(self.id,)], "project string")
+        segments = self.s.read("segments").select(F.lit(self.id).alias("project"), F.col("id").alias("segment_id"), "raw", "kind")
+        report = self.s.get_json("import_report.json")
+        report = self.spark.createDataFrame([(self.id, report.get("figures", 0), report.get("tables", 0))] if report else [], "project string, figures long, tables long")
+        manifest = [(self.id, a["path"].removeprefix("source/"), a["sha256"]) for a in self.s.get_json("academic_assets.json").get("assets", [])]
+        folder = self.source["source_path"].rsplit("/", 1)[0] + "/assets"
+        there = self.spark.createDataFrame([], "path string, found_sha256 string")
+        if self.s.exists(folder):
+            files = self.spark.read.format("binaryFile").load(folder)
+            there = files.select(F.concat(F.lit("assets/"), F.regexp_extract("path", "([^/]+)$", 1)).alias("path"), F.sha2("content", 256).alias("found_sha256"))
+        assets = self.spark.createDataFrame(manifest, "project string, path string, sha256 string").join(there, "path", "left")
+        return rules.academic_issues(one, segments, report, assets)
+
+    def import_assets(self, folder: str) -> int:
+        """Take fetched figures (PNG, JPEG, GIF or TIFF by their first bytes) and record their digests."""
+        files = self.spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+        known = F.lower(F.hex(F.substring("content", 1, 4)))
+        bad = files.where(~F.startswith(known, F.lit("89504e47")) & ~F.startswith(known, F.lit("ffd8ff")) & ~F.startswith(known, F.lit("47494638")) & ~known.isin("49492a00", "4d4d002a"))
+        if odd := [r["name"] for r in bad.select("name").limit(5).collect()]:
+            raise ValueError(f"not an image: {', '.join(odd)}")
+        target, rows = self.source["source_path"].rsplit("/", 1)[0] + "/assets", []
+        for r in files.select("name", F.sha2("content", 256).alias("sha256")).toLocalIterator():
+            self.s.put(f"{target}/{r['name']}", self.s.get(f"{folder.rstrip('/')}/{r['name']}"))
+            rows.append({"path": f"source/assets/{r['name']}", "sha256": r["sha256"]})
+        self.s.put_json("academic_assets.json", {"assets": sorted(rows, key=lambda a: a["path"])})
+        return len(rows)
 
     def validate(self, mode: str = "relaxed", segment_ids=(), section_ids=()) -> DataFrame:
         found = self.s.overwrite("issues", self._issues(mode, segment_ids, section_ids))
