@@ -8,6 +8,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .operators.sequences import WINDOW_TOKENS
+
 SELECT = [("--segment", {"action": "append", "default": []}), ("--section", {"action": "append", "default": []})]
 ADAPTER = [("--adapter", {"default": "agent"}), ("--model", {"default": "unknown"}), ("--reason", {"default": "draft"})]
 #: command: (help, arguments)
@@ -28,11 +30,11 @@ COMMANDS: dict[str, tuple[str, list]] = {
     "translate-titles": ("translate section titles", [("--refresh", {"action": "store_true"})]),
     "translation-import": ("load a draft", [("path", {}), *ADAPTER]),
     "title-import": ("load a title draft", [("path", {}), *ADAPTER]),
-    "agent-batch": ("write the next work package", [("output", {}), ("--max-units", {"type": int})]),
+    "agent-batch": ("write the next work package", [("output", {}), ("--max-units", {"type": int}), SELECT[1], ("--source-chars", {"type": int}), ("--context-window", {"type": int, "default": WINDOW_TOKENS})]),
     "agent-campaign": ("plan work packages, or show their progress", [("--max-segments", {"type": int}), ("--refresh", {"action": "store_true"})]),
     "audit-repair": ("write what strict validation finds", [("output", {}), ("--max-segments", {"type": int})]),
     "resolution-import": ("accept findings", [("path", {}), ("--reviewer", {"required": True}), ("--model", {"default": "unknown"})]),
-    "review": ("review translations", []),
+    "review": ("review translations", [*SELECT]),
     "review-sections": ("review sections that changed", []),
     "review-book": ("review the book if it changed", []),
     "validate": ("run the rules", [*SELECT, ("--numeric-mode", {"choices": ["relaxed", "balanced", "strict"], "default": "relaxed"})]),
@@ -42,6 +44,7 @@ COMMANDS: dict[str, tuple[str, list]] = {
     "reference-simplify": ("adapt the reference by a phrase table", [("dictionary", {})]),
     "audit": ("check for release", [("--allow-mock", {"action": "store_true"})]),
     "status": ("counts and steps", []),
+    "assets-import": ("take fetched figures of an article", [("path", {})]),
     "migrate": ("bring old tables up to date", []),
     "auto": ("all steps", [("--max-rounds", {"type": int, "default": 3})]),
 }
@@ -86,11 +89,11 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
             case "translate-titles": show(p.translate_titles(a.refresh))
             case "translation-import": show(p.import_draft(a.path, a.adapter, a.model, a.reason))
             case "title-import": show(p.import_title_draft(a.path, a.adapter, a.model, a.reason))
-            case "agent-batch": show(p.batch(a.output, a.max_units))
+            case "agent-batch": show(p.batch(a.output, a.max_units, a.section, a.source_chars, a.context_window))
             case "agent-campaign": show(p.campaign(a.max_segments, refresh=a.refresh))
             case "audit-repair": show(p.repair_batch(a.output, a.max_segments))
             case "resolution-import": show(p.import_resolutions(a.path, a.reviewer, a.model))
-            case "review": show(p.review())
+            case "review": show(p.review(a.segment, a.section))
             case "review-sections": show(p.review_scopes("section"))
             case "review-book": show(p.review_scopes("book"))
             case "validate":
@@ -106,6 +109,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
                 show({"ready": ready, "failed": [c["id"] for c in checks if c["status"] != "pass"]})
                 return int(not ready)
             case "status": show(p.status())
+            case "assets-import": show(p.import_assets(a.path))
             case "migrate": show(p.migrate())
         return 0
     except (ValueError, FileExistsError, FileNotFoundError, RuntimeError) as e:

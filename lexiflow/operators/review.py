@@ -116,6 +116,13 @@ def inconsistent_outputs(rows: DataFrame, scope: str) -> DataFrame:
     return rows.groupBy(scope, F.lower("text").alias("source")).agg(F.count_distinct(F.lower("output")).alias("outputs")).where("outputs > 1")
 
 
+def one_rendering(rows: DataFrame) -> DataFrame:
+    """A scope review that gives repeated sources (any case) of a scope the output of the first of them: (scope_id, segment_id, output)."""
+    first = rows.groupBy("scope_id", F.lower("text").alias("_source")).agg(F.min_by("output", "ordinal").alias("_first"), F.count_distinct(F.lower("output")).alias("_n")).where("_n > 1")
+    met = rows.withColumn("_source", F.lower("text")).join(first, ["scope_id", "_source"])
+    return met.where("output <> _first").select("scope_id", "segment_id", F.col("_first").alias("output"))
+
+
 def summarize(segments: DataFrame, section: str = "section_id", position: str = "in_section") -> DataFrame:
     """section, summary (1,200 characters), key_points (240) and evidence of the first, middle and last segment."""
     chosen = sequences.first_middle_last(segments, section, position)

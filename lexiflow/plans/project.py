@@ -295,10 +295,22 @@ class Project:
         open_ = self._segments().join(members, "segment_id").join(active, "segment_id", "left_anti")
         return open_.groupBy(F.lit(self.id).alias("book"), "unit_id", "section_id", "unit_ordinal").agg(F.sum(F.length("text")).alias("source_chars"), F.sum(F.length("raw") + F.length("text") + 200).alias("input_chars"), F.count("*").alias("segments"), F.sort_array(F.collect_list("segment_id")).alias("segment_ids"))
 
-    def batch(self, output: str, most_units: int | None = None) -> int:
-        """The next work package: pending units within the envelope, each with its context."""
-        limits = {"most_units": most_units, "chars": 1 << 60, "tokens": 1 << 60} if most_units else {}
-        chosen = sequences.batch_prefix(self._pending(), "book", "unit_ordinal", "section_id", "source_chars", "input_chars", one_section=not most_units, **limits)
+    def batch(self, output: str, most_units: int | None = None, section_ids=(), source_chars: int | None = None, window: int = sequences.WINDOW_TOKENS) -> int:
+        """The next work package: pending units (of the sections, if any are named) within the envelope, each with its context.
+
+        source_chars: the budget of source text, else a part of the window (tokens).
+        A cap on units alone crosses sections and has no other limit.
+        """
+        if min(x for x in (most_units, source_chars, window, 1) if x is not None) < 1:
+            raise ValueError("limits must be at least 1")
+        selection.require_known(self.s.read("sections"), "id", list(section_ids), "section")
+        pending = self._pending()
+        if section_ids:
+            pending = pending.where(F.col("section_id").isin(list(section_ids)))
+        limits = {"chars": source_chars or sequences.source_budget(window), "tokens": sequences.usable_tokens(window)}
+        if most_units:
+            limits = {"most_units": most_units, "chars": source_chars or 1 << 60, "tokens": 1 << 60}
+        chosen = sequences.batch_prefix(pending, "book", "unit_ordinal", "section_id", "source_chars", "input_chars", one_section=not most_units, **limits)
         packets = segment.context_packets(self.s.read("units").drop("_pos"), self.s.read("segments").drop("_pos"), sequences.current(self.s.read("section_summaries"), "section_id"))
         rows = chosen.select("unit_id", "unit_ordinal", F.col("segment_ids").alias("pending_segment_ids")).join(packets, "unit_id").orderBy("unit_ordinal")
         jsonl.write_jsonl(rows, output)
@@ -330,8 +342,10 @@ class Project:
         return rows.count()
 
     # -- review ----------------------------------------------------------------------------------
-    def review(self) -> tuple[int, int]:
-        records, new = review.review(self.s.read("segments").drop("_pos"), self.s.read("translations"), self.s.read("reviews"))
+    def review(self, segment_ids=(), section_ids=()) -> tuple[int, int]:
+        """(reviewed, revised) of the current records that no review has seen, of the segments and sections named or all."""
+        asked = selection.select_segments(self.s.read("segments").drop("_pos"), segment_ids, section_ids)
+        records, new = review.review(asked, self.s.read("translations"), self.s.read("reviews"))
         records, new = records.persist(), new.persist()
         try:
             with self.s.transaction():
@@ -341,34 +355,78 @@ class Project:
             new.unpersist()
         return counts
 
-    def review_scopes(self, scope_type: str) -> int:
-        """Reviews for sections (or the book) that changed since their last one: consistency of repeated sources."""
+    def review_scopes(self, scope_type: str, adapter=None, name: str = "heuristic", model: str = "consistency-v1") -> int:
+        """Reviews of the sections (or the book) that changed since their last one; the number of reviews."""
+        return self._review_scopes(scope_type, adapter, name, model)[0]
+
+    def _review_scopes(self, scope_type: str, adapter=None, name: str = "heuristic", model: str = "consistency-v1", touched: DataFrame | None = None) -> tuple[int, DataFrame]:
+        """(number of reviews, segment_id of what they revised).
+
+        adapter: from rows (scope_id, segment_id, ordinal, text, output) of the scopes
+        to (scope_id, segment_id, output) that it would have otherwise; without one
+        nothing is revised.  A proposal must be for a segment of its scope.  touched:
+        only scopes of these segments are looked at.
+        """
         if not self.complete():
             raise ValueError("translation is incomplete")
-        active = sequences.current_translations(self.s.read("translations"))
+        log = self.s.read("translations")
+        active = sequences.current_translations(log)
         key = F.col("section_id") if scope_type == "section" else F.lit(self.id)
         rows = self._segments().select("segment_id", "ordinal", "text", key.alias("scope_id"))
+        if touched is not None:
+            rows = rows.join(rows.join(touched, "segment_id", "left_semi").select("scope_id").distinct(), "scope_id", "left_semi")
         digests = review.scope_digests(rows, active.select("segment_id", "id"), "scope_id")
         past = self.s.read("scope_reviews").where(F.col("scope_type") == scope_type)
-        stale = review.stale_scopes(digests, past, "scope_id")
-        odd = review.inconsistent_outputs(rows.join(active.select("segment_id", F.col("translated_text").alias("output")), "segment_id"), "scope_id").groupBy("scope_id").agg(F.count("*").alias("_odd"))
-        met = stale.join(odd, "scope_id", "left").withColumn("_odd", F.coalesce("_odd", F.lit(0)))
+        stale = review.stale_scopes(digests, past, "scope_id").persist()
+        try:
+            with self.s.transaction():
+                return self._record_scopes(scope_type, adapter, name, model, rows.join(stale.select("scope_id"), "scope_id", "left_semi"), stale, log, active)
+        finally:
+            stale.unpersist()
+
+    def _record_scopes(self, scope_type: str, adapter, name: str, model: str, rows: DataFrame, stale: DataFrame, log: DataFrame, active: DataFrame) -> tuple[int, DataFrame]:
+        held = rows.join(active.select("segment_id", "unit_id", F.col("translated_text").alias("output")), "segment_id")
+        odd = review.inconsistent_outputs(held, "scope_id").groupBy("scope_id").agg(F.count("*").alias("_odd"))
+        revised = self.spark.createDataFrame([], "scope_id string, segment_id string, id string")
+        after = active.select("segment_id", "id")
+        if adapter is not None:
+            asked = adapter(held.drop("unit_id")).select("scope_id", "segment_id", F.col("output").alias("proposed"))
+            if odd_ids := [r["segment_id"] for r in asked.join(held, ["scope_id", "segment_id"], "left_anti").limit(5).collect()]:
+                raise ValueError(f"revisions outside their scope: {', '.join(map(str, odd_ids))}")
+            wanted = held.join(asked, ["scope_id", "segment_id"]).where("trim(proposed) <> '' AND proposed <> output")
+            drafts_ = wanted.select("segment_id", "unit_id", F.col("text").alias("source_text"), F.col("proposed").alias("translated_text"))
+            before = self.s.read("translations").select("id")
+            self.s.append("translations", review.next_revisions(drafts_, log, name, model, f"{scope_type}-review", prompt=review.REVIEW_PROMPT))
+            new = self.s.read("translations").join(before, "id", "left_anti").select("segment_id", "id")
+            revised = rows.join(new, "segment_id").select("scope_id", "segment_id", "id")
+            after = sequences.current_translations(self.s.read("translations")).select("segment_id", "id")
+        outputs = review.scope_digests(rows, after, "scope_id").withColumnRenamed("digest", "_out")
+        told = revised.groupBy("scope_id").agg(F.sort_array(F.collect_list("segment_id")).alias("_segments"), F.sort_array(F.collect_list("id")).alias("_ids"))
+        met = stale.join(odd, "scope_id", "left").join(outputs, "scope_id").join(told, "scope_id", "left").withColumn("_odd", F.coalesce("_odd", F.lit(0)))
         none = F.array().cast("array<string>")
-        new = met.select(
-            stable_id("scope_review", F.lit(scope_type), F.col("scope_id"), F.col("digest"), F.lit("heuristic"), F.lit("consistency-v1")).alias("id"), F.lit(scope_type).alias("scope_type"), "scope_id",
-            F.col("digest").alias("input_digest"), F.col("digest").alias("output_digest"), F.lit("heuristic").alias("adapter"), F.lit("consistency-v1").alias("model"), F.lit(now()).alias("created_at"), F.lit("pass").alias("verdict"),
-            F.concat(F.col("_odd").cast("string"), F.lit(" repeated sources with several translations")).alias("rationale"), F.when(F.col("_odd") > 0, F.array(F.lit("consistency"))).otherwise(none).alias("categories"), none.alias("evidence_segment_ids"), none.alias("revised_translation_ids"), F.lit(0.6).alias("confidence"),
+        reviews = met.select(
+            stable_id("scope_review", F.lit(scope_type), F.col("scope_id"), F.col("digest"), F.lit(name), F.lit(model)).alias("id"), F.lit(scope_type).alias("scope_type"), "scope_id",
+            F.col("digest").alias("input_digest"), F.col("_out").alias("output_digest"), F.lit(name).alias("adapter"), F.lit(model).alias("model"), F.lit(now()).alias("created_at"), F.when(F.col("_ids").isNull(), F.lit("pass")).otherwise(F.lit("revised")).alias("verdict"),
+            F.concat(F.col("_odd").cast("string"), F.lit(" repeated sources with several translations")).alias("rationale"), F.when(F.col("_odd") > 0, F.array(F.lit("consistency"))).otherwise(none).alias("categories"), F.coalesce("_segments", none).alias("evidence_segment_ids"), F.coalesce("_ids", none).alias("revised_translation_ids"), F.lit(0.6).alias("confidence"),
         )
-        return self.s.append("scope_reviews", new)
+        return self.s.append("scope_reviews", reviews), revised.select("segment_id")
+
+    def converge(self, most_rounds: int = 3, adapter=None, name: str = "heuristic", model: str = "consistency-v1") -> int:
+        """Segment, section and book reviews until a round revises nothing.
 
-    def converge(self, most_rounds: int = 3) -> int:
-        """Segment, section and book reviews until a round revises nothing."""
+        From the second round on only scopes are looked at that hold what the round
+        before revised.
+        """
+        touched = None
         for k in range(1, most_rounds + 1):
-            _, revised = self.review()
-            self.review_scopes("section")
-            self.review_scopes("book")
-            if not revised:
+            seen = self.s.read("translations").select("id")
+            self.review()
+            self._review_scopes("section", adapter, name, model, touched)
+            self._review_scopes("book", adapter, name, model, touched)
+            delta = self.s.read("translations").join(seen, "id", "left_anti").select("segment_id").distinct()
+            if delta.isEmpty():
                 return k
+            touched = delta
         raise RuntimeError(f"reviews still revise after {most_rounds} rounds")
 
     # -- validation, export, audit -------------------------------------------------------------------

@@ -5,6 +5,7 @@ import shutil
 
 import pytest
 from lexiflow.cli import COMMANDS, run
+from lexiflow.operators import review
 from lexiflow.plans.project import Project
 from pyspark.sql import functions as F
 
@@ -155,6 +156,67 @@ def test_batches_and_campaigns(spark, tmp_path):
     assert sorted(c["status"] for c in p.campaign()) == ["completed", "pending", "pending", "pending"]
 
 
+def test_batches_of_sections_and_budgets(spark, tmp_path):
+    p = Project.init(spark, str(tmp_path / "store"), "Scope", "en", "de")
+    p.import_source(write(tmp_path / "w.md", "# A\n\n" + "\n\n".join(f"Sentence {k} of it." for k in range(6)) + "\n\n# B\n\nOther text.\n\nSecond text.\n"))
+    p.segment(1)
+    b = next(r.id for r in p.s.read("sections").collect() if r.title == "B")
+    assert p.batch(str(tmp_path / "1"), section_ids=[b]) == 2
+    assert p.batch(str(tmp_path / "2"), source_chars=36) == 2 and p.batch(str(tmp_path / "3"), most_units=9, source_chars=50) == 2
+    assert p.batch(str(tmp_path / "4"), window=300) < 6
+    with pytest.raises(ValueError, match="unknown section"):
+        p.batch(str(tmp_path / "5"), section_ids=["none"])
+    with pytest.raises(ValueError, match="at least 1"):
+        p.batch(str(tmp_path / "5"), source_chars=0)
+    p.translate()
+    assert p.review(section_ids=[b]) == (2, 0) and p.review() == (6, 0)
+    with pytest.raises(ValueError, match="unknown segment"):
+        p.review(segment_ids=["none"])
+
+
+def test_scope_reviews_revise_until_nothing_changes(spark, tmp_path, monkeypatch):
+    p = Project.init(spark, str(tmp_path / "store"), "Cohere", "en", "de")
+    p.import_source(write(tmp_path / "w.md", "# A\n\nA refrain.\n\nOther.\n\nA REFRAIN.\n\n# B\n\nUntouched text.\n"))
+    p.segment(1)
+    p.translate(adapter=lambda raw, text: F.concat(F.lit("T "), F.ascii(F.substring(text, 3, 1)).cast("string")), name="agent", model="m")
+    looked, scopes = [], review.scope_digests
+    monkeypatch.setattr(review, "scope_digests", lambda rows, *a: looked.append(sorted(r.scope_id for r in rows.select("scope_id").distinct().collect())) or scopes(rows, *a))
+    assert p.converge(adapter=review.one_rendering, name="editor", model="e1") == 2
+    last = {r.segment_id: r for r in p.s.read("translations").collect() if r.revision == 2}
+    assert [r.translated_text for r in last.values()] == ["T 114"]
+    past = {(r.scope_type, r.verdict): r for r in p.s.read("scope_reviews").collect()}
+    found = past["section", "revised"]
+    assert found.evidence_segment_ids == list(last) and found.revised_translation_ids == [r.id for r in last.values()] and found.input_digest != found.output_digest
+    sections = {r.title: r.id for r in p.s.read("sections").collect()}
+    # the first round looks at both sections, the second at the one that was revised
+    assert looked[0] == sorted(sections.values()) and [sections["A"]] in looked and looked[-1] != looked[0]
+    assert p.review_scopes("section") == 0 and p.converge(adapter=review.one_rendering) == 1
+    with pytest.raises(ValueError, match="outside their scope"):
+        p.import_draft(write(tmp_path / "d.jsonl", json.dumps({"segment_id": next(iter(last)), "translated_text": "new"})), "agent", "m")
+        p.review_scopes("section", lambda rows: rows.select("scope_id", F.lit("elsewhere").alias("segment_id"), "output"))
+
+
+def test_articles_need_their_figures(spark, tmp_path):
+    p = Project.init(spark, str(tmp_path / "store"), "Article", "en", "de")
+    p.import_source(write(tmp_path / "w.md", "# A\n\n![one](assets/g001.png)\n\n![two](assets/g002.png)\n\nText.\n"))
+    with p.s.transaction():
+        p.s.put_json("source_document.json", p.source | {"source_format": "jats"})
+        p.s.put_json("import_report.json", {"figures": 2, "tables": 1})
+    p.segment()
+    p.translate()
+    kinds = lambda: sorted(i.kind for i in p.validate().collect())
+    assert kinds() == ["academic_missing_figure_asset"] * 2 + ["academic_table_count_mismatch"]
+    (tmp_path / "got").mkdir()
+    (tmp_path / "got/g001.png").write_bytes(b"\x89PNG\r\n1")
+    (tmp_path / "got/g002.png").write_bytes(b"\x89PNG\r\n2")
+    assert p.import_assets(str(tmp_path / "got")) == 2 and kinds() == ["academic_table_count_mismatch"]
+    p.s.put(p.source["source_path"].rsplit("/", 1)[0] + "/assets/g002.png", b"\x89PNGother")
+    assert kinds() == ["academic_figure_asset_changed", "academic_table_count_mismatch"]
+    (tmp_path / "got/page.png").write_text("<html>")
+    with pytest.raises(ValueError, match="not an image: page.png"):
+        p.import_assets(str(tmp_path / "got"))
+
+
 def test_terminology(spark, done, tmp_path):
     p, *_ = done
     segment = p.s.read("segments").first().id
