@@ -44,6 +44,7 @@ COMMANDS: dict[str, tuple[str, list]] = {
     "reference-simplify": ("adapt the reference by a phrase table", [("dictionary", {})]),
     "audit": ("check for release", [("--allow-mock", {"action": "store_true"})]),
     "status": ("counts and steps", []),
+    "inspect": ("counts of what is open; changes nothing", []),
     "assets-import": ("take fetched figures of an article", [("path", {})]),
     "migrate": ("bring old tables up to date", []),
     "auto": ("all steps", [("--max-rounds", {"type": int, "default": 3})]),
@@ -109,6 +110,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
                 show({"ready": ready, "failed": [c["id"] for c in checks if c["status"] != "pass"]})
                 return int(not ready)
             case "status": show(p.status())
+            case "inspect": show(p.inspect())
             case "assets-import": show(p.import_assets(a.path))
             case "migrate": show(p.migrate())
         return 0

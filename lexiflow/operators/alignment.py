@@ -16,6 +16,12 @@ def align(source: DataFrame, reference: DataFrame, book: str = "book", key: str
     return met.withColumn("method", F.lit("chapter-key")).withColumn("confidence", F.lit(0.98))
 
 
+def in_chapter_order(sections: DataFrame, book: str = "book", key: str = "chapter_key") -> DataFrame:
+    """Sections that have a chapter key with chapter_number, its numeric end, and place (from 1) in that order; of equals by ordinal."""
+    numbered = sections.where(F.col(key).isNotNull()).withColumn("chapter_number", F.nullif(F.regexp_extract(key, "([0-9]+)$", 1), F.lit("")).cast("int"))
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy("chapter_number", "ordinal")))
+
+
 def ranges(aligned: DataFrame, sections: DataFrame, book: str = "book") -> DataFrame:
     """source_section_id and each reference section from its start to before the next aligned start.
 

@@ -126,7 +126,8 @@ def terminology_mismatch(ready: DataFrame, glossary: DataFrame) -> DataFrame:
 def repeated_source_inconsistent(ready: DataFrame) -> DataFrame:
     """Segments of one source text (in any case) with several translations; counted before they are joined back."""
     prose = ready.where(~F.col("passed") & ~T.is_image_only(F.col("raw"), F.col("text"))).withColumn("_key", F.sha2(F.lower("text").cast("binary"), 256))
-    several = prose.groupBy("_key").agg(F.min(F.xxhash64(F.lower("output"))).alias("a"), F.max(F.xxhash64(F.lower("output"))).alias("b")).where("a <> b")
+    output = F.sha2(F.lower("output").cast("binary"), 256)
+    several = prose.groupBy("_key").agg(F.min(output).alias("a"), F.max(output).alias("b")).where("a <> b")
     return prose.join(several, "_key", "left_semi").select(*issue("repeated_source_inconsistent", "warning", "Identical source text has inconsistent translations"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,14 @@ def merge_without_overwrite(existing: DataFrame, new: DataFrame, key: str) -> Da
 def same_sets(left: DataFrame, right: DataFrame, column: str) -> bool:
     a, b = left.select(column).distinct(), right.select(column).distinct()
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def union_last(parts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of all parts, each key once, as the last part that has it gives it; part counts from 0.
+
+    Of rows of one key in one part any counts.
+    """
+    numbered = [p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)]
+    together = reduce(DataFrame.unionByName, numbered)
+    rest = [c for c in together.columns if c not in (key, "part")]
+    return together.groupBy(key).agg(F.max_by(F.struct(*rest), "part").alias("_r"), F.max("part").alias("part")).select(key, "_r.*", "part")

@@ -37,6 +37,11 @@ def document_ordinals(rows: DataFrame, document: str, section: str, position: st
     return inside.join(counts, [document, section]).withColumn("ordinal", F.col("_before") + F.col("in_section")).drop("_before")
 
 
+def root_sections(sections: DataFrame, document: str) -> DataFrame:
+    """document and root_section_id, its section with the least ordinal."""
+    return sections.groupBy(document).agg(F.min_by("section_id", "ordinal").alias("root_section_id"))
+
+
 def units(segments: DataFrame, size: int = 3, section: str = "section_id", position: str = "in_section") -> DataFrame:
     """section, unit_no and the segment rows' ids in order, `size` a unit; a unit never crosses sections."""
     chunk = F.floor(F.col(position) / F.lit(size)).cast("long")

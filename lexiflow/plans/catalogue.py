@@ -89,6 +89,54 @@ def unreviewed_records(spark, d):
     return table(spark, d, "documents").select("doc_id").join(review.reviewed_ids(seen).withColumnRenamed("record_id", "doc_id"), "doc_id", "left_anti")
 
 
+CHAIN = """, v AS (
+        SELECT id, segment_id AS owner, revision, lag(id) OVER (PARTITION BY segment_id ORDER BY revision) AS parent, _pos FROM log),
+    c AS (SELECT CASE WHEN _pos % 97 = 0 THEN 'tr_copy' ELSE id END AS id, owner, revision,
+                 CASE WHEN _pos % 50 = 0 THEN NULL WHEN _pos % 41 = 0 THEN 'tr_' || _pos // 2 ELSE parent END AS supersedes FROM v),
+    p AS (SELECT id AS supersedes, any_value(owner) AS po, any_value(revision) AS pr FROM c WHERE id <> 'tr_copy' GROUP BY id),
+    m AS (SELECT c.*, po, pr FROM c LEFT JOIN p USING (supersedes) WHERE coalesce(supersedes, '') <> 'tr_copy')
+    SELECT id, CASE WHEN revision = 1 THEN 'first has a parent' ELSE 'broken parent' END AS reason FROM m
+    WHERE (revision = 1 AND supersedes IS NOT NULL) OR (revision > 1 AND (pr IS NULL OR po <> owner OR pr <> revision - 1))
+    UNION ALL SELECT id, 'repeated id' FROM c GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT id, 'unknown owner' FROM c WHERE owner NOT IN (SELECT s_suppkey FROM supplier) AND coalesce(supersedes, '') <> 'tr_copy'"""
+
+
+@query(with_tables("log", body=CHAIN))
+def chain_violations(spark, d):
+    """The events log with parents, some of them lost, wrong or with a copied id."""
+    w = Window.partitionBy("segment_id").orderBy("revision")
+    log = domain.translation_log(spark, d).withColumn("parent", F.lag("id").over(w))
+    lost, wrong, copied = (F.col("_pos") % k == 0 for k in (50, 41, 97))
+    parent = F.when(lost, F.lit(None)).when(wrong, F.concat(F.lit("tr_"), F.floor(F.col("_pos") / 2).cast("string"))).otherwise(F.col("parent"))
+    log = log.select(F.when(copied, F.lit("tr_copy")).otherwise(F.col("id")).alias("id"), "segment_id", "revision", parent.alias("supersedes")).where("coalesce(supersedes, '') <> 'tr_copy'")
+    return rules.chain_violations(log, "segment_id", table(spark, d, "supplier").select(F.col("s_suppkey").alias("segment_id")))
+
+
+@query(with_tables("lines", "segments", "glossary", body="""
+    , f AS (SELECT segment_id, document, ordinal FROM (SELECT *, count(*) OVER (PARTITION BY section_id) AS n FROM segments) WHERE in_section IN (0, n // 2, n - 1)),
+    h AS (SELECT segment_id, document, ordinal FROM (
+        SELECT s.*, row_number() OVER (PARTITION BY s.document, g.term ORDER BY s.ordinal) AS hit FROM segments s JOIN glossary g ON contains(lower(s.text), lower(g.term))) WHERE hit <= 8)
+    SELECT document, segment_id, ordinal, max(part) AS part FROM (SELECT *, 0 AS part FROM f UNION ALL SELECT *, 1 FROM h) GROUP BY ALL"""))
+def review_sample(spark, d):
+    """What a review of a book gets: first, middle and last of sections and the first hits of terms, each segment once."""
+    segments = domain.segments(spark, d)
+    ends = sequences.first_middle_last(segments, "section_id", "in_section").select("document", "segment_id", "ordinal")
+    hits = knowledge.term_hits(segments, domain.glossary(spark, d).select("term"), 8, ["document"]).select("document", "segment_id", "ordinal")
+    return selection.union_last([ends, hits], "segment_id").select("document", "segment_id", "ordinal", "part")
+
+
+@query("""
+    WITH s AS (SELECT source, doc_id, lang || ' ' || (doc_id * 7) % 30 AS title FROM documents),
+    k AS (SELECT source, doc_id, CASE WHEN regexp_matches(title, '^[a-z]+ [0-9]+$') THEN (split_part(title, ' ', 2))::INT END AS number FROM s)
+    SELECT source, doc_id, number, rank() OVER (PARTITION BY source ORDER BY number, doc_id)::INT AS place, min(doc_id) OVER (PARTITION BY source) AS root FROM k""")
+def chapter_order(spark, d):
+    """Chapters in the order of their numbers, not of their keys' letters, and the root section of each book."""
+    sections = table(spark, d, "documents").select("source", F.col("doc_id").alias("section_id"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("chapter-"), ((F.col("doc_id") * 7) % 30).cast("string")).alias("chapter_key"))
+    ordered = alignment.in_chapter_order(sections, "source")
+    root = sequences.root_sections(sections, "source")
+    return ordered.join(root, "source").select("source", F.col("section_id").alias("doc_id"), F.col("chapter_number").alias("number"), "place", F.col("root_section_id").alias("root"))
+
+
 # -- segments, units, context --------------------------------------------------------------
 @query(with_tables("lines", "segments", body="SELECT section_id, document, pos, text, ordinal, in_section FROM segments"))
 def segment_lines(spark, d):

@@ -566,6 +566,21 @@ class Project:
         manifest.setdefault("steps", {})["translate"] = "completed" if active and active == counts["segment_count"] else "in_progress" if active else "pending"
         return manifest
 
+    def inspect(self) -> dict:
+        """Counts of what is open, without a change to the project."""
+        active = sequences.current_translations(self.s.read("translations"))
+        segments = self.s.read("segments")
+        return {
+            "pending_segments": segments.select(F.col("id").alias("segment_id")).join(active, "segment_id", "left_anti").count(),
+            "unreviewed_records": active.join(review.reviewed_ids(self.s.read("reviews"), self.s.read("scope_reviews")).withColumnRenamed("record_id", "id"), "id", "left_anti").count(),
+            "open_issues": self.s.read("issues").where("status = 'open'").count(),
+            "open_ambiguities": self.s.read("ambiguities").where("status = 'open'").count(),
+            "proposed_terms": self.s.read("glossary").where("status = 'proposed'").count(),
+            "proposed_entities": self.s.read("entities").where("status = 'proposed'").count(),
+            "mock_translations": active.where("adapter = 'mock'").count(),
+            "version": self.s.version(),
+        }
+
     def migrate(self) -> int:
         """Fill defaults of older tables; identifiers stay."""
         record = self.record

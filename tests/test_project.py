@@ -51,6 +51,8 @@ def done(spark, tmp_path_factory):
 def test_auto_is_ready(done):
     p, ready, checks, _ = done
     assert [c["id"] for c in checks if c["status"] != "pass"] == [] and ready and len(checks) == 21
+    open_ = p.inspect()
+    assert (open_["pending_segments"], open_["unreviewed_records"], open_["open_issues"], open_["open_ambiguities"], open_["mock_translations"]) == (0, 0, 0, 1, 3) and p.inspect() == open_
     status = p.status()
     assert (status["section_count"], status["segment_count"], status["unit_count"], status["translation_count"]) == (2, 3, 2, 3)
     assert status["steps"]["translate"] == "completed"
