@@ -605,32 +605,40 @@ def _edition(spark, d, content, kept="length(raw) > 80"):
     return render.render(blocks, "section_id").select("section_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"), F.length("markdown").alias("chars"))
 
 
-def _edition_sql(heading, block):
-    return with_tables("lines", "segments", body=f"""
-    , s AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY ordinal) AS k FROM segments WHERE length(raw) > 80),
-    b AS (SELECT section_id, ordinal, CASE WHEN k = 1 THEN {heading} || chr(10) || chr(10) ELSE '' END || {block} AS block FROM s),
+def _edition_sql(heading, block, where="length(raw) > 80"):
+    """block: of a line, with {mark} where a subheading's mark stands."""
+    return with_tables("lines", "segments", body=rf"""
+    , s AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY ordinal) AS k, string_split(text, ' ') AS w,
+                   regexp_replace(raw, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g') AS bare FROM segments WHERE {where}),
+    m AS (SELECT *, CASE WHEN len(w) BETWEEN 2 AND 8 AND length(bare) <= 80 AND NOT regexp_matches(bare, '[.!?;:]$|[\[\]*_`>#|]')
+                         AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^\p{{Lu}}') OR lower(x) IN ('of', 'the', 'and', 'in', 'to')))) = 0 THEN '### ' ELSE '' END AS mark FROM s),
+    b AS (SELECT section_id, ordinal, CASE WHEN k = 1 THEN {heading} || chr(10) || chr(10) ELSE '' END || {block} AS block FROM m),
     r AS (SELECT section_id, string_agg(block, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS m FROM b GROUP BY section_id)
     SELECT section_id, sha256(m) AS markdown_sha256, length(m)::INT AS chars FROM r""")
 
 
-@query(_edition_sql("'## Teil ' || section_id", "replace(raw, 'e', 'E')"))
+TRANSLATED = "'## Teil ' || section_id", "mark || replace(raw, 'e', 'E')"
+BILINGUAL = "'## Section ' || section_id || ' / Teil ' || section_id", "'> ' || raw || chr(10) || chr(10) || mark || replace(raw, 'e', 'E') || chr(10) || chr(10) || '---'"
+
+
+@query(_edition_sql(*TRANSLATED))
 def render_markdown_blocks(spark, d):
-    """Editions of a document's long lines (over 80 characters, so none is a heading)."""
+    """Editions of a document's long lines (over 80 characters)."""
     return _edition(spark, d, "translated")
 
 
-@query(_edition_sql("'## Section ' || section_id || ' / Teil ' || section_id", "'> ' || raw || chr(10) || chr(10) || replace(raw, 'e', 'E') || chr(10) || chr(10) || '---'"))
+@query(_edition_sql(*BILINGUAL))
 def bilingual_render(spark, d):
     return _edition(spark, d, "bilingual")
 
 
-@query()
+@query(_edition_sql(*TRANSLATED, "true"))
 def render_markdown_whole(spark, d):
     """Editions of all lines, subheadings included."""
     return _edition(spark, d, "translated", "true")
 
 
-@query()
+@query(_edition_sql(*BILINGUAL, "true"))
 def bilingual_render_whole(spark, d):
     return _edition(spark, d, "bilingual", "true")
 
