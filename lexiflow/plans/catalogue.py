@@ -533,7 +533,18 @@ def streaming_scope_digests(spark, d):
     return logs.scope_digests_by_stream(spark, d)
 
 
-@query()
+def _truncated(text, limit):
+    """In SQL: after a sentence, else a word, in the later half."""
+    head = f"substr({text}, 1, {limit})"
+    sentence = rf"length(rtrim(regexp_extract({head}, '(?s)^.*(?:[。！？]|[.!?] )'), ' '))"
+    word = f"length(regexp_extract({head}, '(?s)^.* ')) - 1"
+    return f"CASE WHEN length({text}) <= {limit} THEN {text} ELSE rtrim(substr({text}, 1, CASE WHEN {sentence} > {limit // 2} THEN {sentence} WHEN {word} >= {limit // 2} THEN {word} ELSE {limit} END), ' ') END"
+
+
+@query(with_tables("lines", "segments", body=f"""
+    , c AS (SELECT section_id, in_section, text, {_truncated("text", 240)} AS point FROM (SELECT *, count(*) OVER (PARTITION BY section_id) AS n FROM segments) WHERE in_section IN (0, n // 2, n - 1)),
+    j AS (SELECT section_id, string_agg(text, ' ' ORDER BY in_section) AS joined, string_agg(point, '|' ORDER BY in_section) AS key_points FROM c GROUP BY section_id)
+    SELECT section_id, {_truncated("joined", 1200)} AS summary, key_points FROM j"""))
 def truncate_summary(spark, d):
     return review.summarize(domain.segments(spark, d)).select("section_id", "summary", F.array_join("key_points", "|").alias("key_points"))
 
