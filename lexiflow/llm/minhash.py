@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .simhash import _across, _chosen, _neighbours, _texts, _united, confirmed, may_reach, named_rows, nearest, parity_sketches, set_digests, sets_of, shingle_hashes, shingle_sets
+from .simhash import _across, _chosen, _neighbours, _texts, _united, confirmed, gathered, may_reach, named_rows, parity_sketches, set_digests, sets_of, shingle_hashes, shingle_sets
 from .textops import U64, binaries, groups, mix, ragged, released, slices, tidy
 
 #: Shingles that are hashed at once, so that they stay in a processor's cache.
@@ -157,7 +157,7 @@ def _meet_bands(all_pairs, distance, similarity, table):
         key, node, label, prints = key[order], node[order], label[order], prints[order]
         sizes, sketches = _column(table, "sizes", np.uint32)[order], _column(table, "sketches", U64).reshape(-1, PARITIES // 64)[order]
         wanted = lambda i, j: may_reach(sizes, sketches, similarity, i, j)
-        i, j = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
+        i, j = _across(key, label, prints, distance, wanted) if all_pairs else _neighbours(key, label, prints, distance, wanted, hubs=True)
         apart = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
         found = np.unique(np.column_stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), apart)), axis=0)
         if not all_pairs:
@@ -206,7 +206,7 @@ def minhash_groups(docs: DataFrame, shingle: int = 4, similarity: float = 0.8, b
         labelled = active.join(closed, "node", "left").select("node", "keys", F.coalesce("component", "node").alias("label"), *OF_NODE)
         posted = labelled.mapInArrow(partial(_post_bands, bands, _bits(entries), True), "bucket long, keys binary, nodes binary, labels binary, prints binary, sizes binary, sketches binary")
         links = posted.groupBy("bucket").applyInArrow(partial(_meet_bands, last, distance, similarity), "node long, other long, apart long")
-        closed = _united(closed, confirmed(links.select("node", "other") if last else nearest(links, distance), sets, similarity))
+        closed = _united(closed, confirmed(links.select("node", "other") if last else gathered(links, distance), sets, similarity))
     found = named_rows(table, known, closed, SET)
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())

@@ -167,8 +167,13 @@ def sets_of(docs: DataFrame, ends: DataFrame, shingle: int, seed: int) -> DataFr
     return texts.mapInArrow(partial(_sets, shingle, seed), "node long, shingles array<long>").checkpoint()
 
 
-def nearest(links: DataFrame, distance: int) -> DataFrame:
-    """Of links(node, other, apart) for each node the nearest other, and the smallest within half the distance, where groups gather."""
+def nearest(links: DataFrame) -> DataFrame:
+    """Of links(node, other, apart) for each node the one with the nearest other."""
+    return links.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("least")).select("node", "least.other")
+
+
+def gathered(links: DataFrame, distance: int) -> DataFrame:
+    """Of links(node, other, apart) for each node, either way, the nearest other, and the smallest within half the distance, where groups gather."""
     both = links.union(links.select("other", "node", "apart"))
     chosen = both.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("least"), F.min(F.when(F.col("apart") * 2 <= distance, F.col("other"))).alias("hub"))
     chosen = chosen.select("node", F.explode(F.array_compact(F.array("least.other", "hub"))).alias("other"))
@@ -455,8 +460,8 @@ def _across(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: in
 AHEAD, NEAREST = 16, 2
 
 
-def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int, wanted=_any) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): for each entry the nearest ones of other labels within the distance that are wanted(i, j), among the next ones of its key, and the one with the least label."""
+def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance: int, wanted=_any, hubs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each entry the nearest ones of other labels within the distance that are wanted(i, j), among the next ones of its key; with hubs the one with the least label too."""
     n = len(key)
     best = np.full((NEAREST, n), np.iinfo(np.int32).max, np.int64)
     for step in range(1, min(AHEAD, n - 1) + 1):
@@ -469,7 +474,7 @@ def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance
             row[i] = lower
     rows, i = np.nonzero(best < np.iinfo(np.int32).max)
     j = i + best[rows, i] % 64
-    if not n:
+    if not n or not hubs:
         return i, j
     order = np.lexsort((label, key))
     start = groups(key)
@@ -481,7 +486,7 @@ def _neighbours(key: np.ndarray, label: np.ndarray, prints: np.ndarray, distance
 
 
 def _chosen(found: np.ndarray, distance: int) -> np.ndarray:
-    """Of rows (node, other, apart) what nearest() can choose from: each node's nearest other, and the smallest within half the distance."""
+    """Of rows (node, other, apart) what gathered() can choose from: each node's nearest other, and the smallest within half the distance."""
     both = np.concatenate((found, found[:, [1, 0, 2]]))
     kept = []
     for rows, order in ((both, (1, 2, 0)), (both[2 * both[:, 2] <= distance], (1, 0))):
@@ -524,8 +529,6 @@ def _meet(distance: int, lanes: int, width: int, count: int, top: int, all_pairs
     i, j = (_across if all_pairs else _neighbours)(key, label, prints, distance, wanted)
     apart = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
     found = np.unique(np.column_stack((np.maximum(name[i], name[j]), np.minimum(name[i], name[j]), apart)), axis=0)
-    if not all_pairs:
-        found = _chosen(found, distance)
     return pa.table({"node": found[:, 0], "other": found[:, 1], "apart": found[:, 2]})
 
 
@@ -631,7 +634,7 @@ def near_duplicates(
             labelled = known.join(closed, "node", "left").select("node", *own_set, F.coalesce("component", "node").alias("label"))
             last = k == contractions
             links = wide_links(labelled, n, prints, distance, segments, last, last and not sets, similarity)
-            closed = _united(closed, keep(links.select("node", "other") if last else nearest(links, distance)))
+            closed = _united(closed, keep(links.select("node", "other") if last else nearest(links)))
     return named_rows(table, known, closed, own_set).select("doc_id", "text_key", *prints, "component_id")
 
 
