@@ -38,3 +38,12 @@ def test_glossary_merge_of_odd_letters(spark, tmp_path):
     odd = "SELECT item_id, unnest(['schß.', 'ŉa', 'ﬁx', 'ᾳ', 'ΑΣ', 'ας', 'İran', 'iran', 'ǰ', '', NULL]) || ' x' AS text FROM range(1) t(item_id) UNION ALL SELECT 1, NULL"
     names = f"SELECT * REPLACE (CASE n_nationkey WHEN 0 THEN 'STRAẞE' WHEN 1 THEN 'IRAN' WHEN 2 THEN 'ασ' ELSE n_name END AS n_name) FROM '{SF}/nation.parquet'"
     assert compare(spark, "glossary_merge_no_overwrite", tables_with(tmp_path, benchmark=odd, nation=names)) is None
+
+
+@no_tables
+def test_phrases_of_odd_letters(spark, tmp_path):
+    """Approved forms in capitals keep ß and others one letter; white space in passages is the SQL's."""
+    words = ["Enlich schß. Und", "dieŉ ﬁx ǰa", "ᾳ schß. da", "a\u00a0b c d", "zwei\x0bdrei vier fünf", "nur zwei"]
+    passages = " UNION ALL ".join(f"SELECT {k} AS item_id, '{w}' AS text" for k, w in enumerate(words))
+    texts = " UNION ALL ".join(f"SELECT {k}::BIGINT AS doc_id, '{w} weiter' || chr(10) || 'Und {w}' AS text, 'de' AS lang, 'web' AS source, 9 AS n_chars" for k, w in enumerate(words * 7))
+    assert compare(spark, "phrase_mismatch", tables_with(tmp_path, benchmark=passages, documents=texts)) is None
