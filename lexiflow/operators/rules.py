@@ -102,7 +102,7 @@ def acronym_missing(ready: DataFrame, glossary: DataFrame) -> DataFrame:
     return met.where(~rendered).select(*issue("acronym_missing", "warning", message))
 
 
-def term_occurrences(segments: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
+def term_occurrences(segments: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", among: DataFrame | None = None) -> DataFrame:
     """segments x terms where the term occurs.
 
     Word-like terms meet segments on a token, phrases and terms of other
@@ -111,14 +111,15 @@ def term_occurrences(segments: DataFrame, terms: DataFrame, text: str = "text",
     wordlike = F.regexp_like(term, F.lit("^[A-Za-z0-9_]+$"))
     tokens = segments.withColumn("_token", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))))
     words = tokens.join(terms.where(wordlike).withColumn("_token", F.lower(term)), "_token").drop("_token").where(T.contains_term(F.col(text), F.col(term)))
-    return words.unionByName(phrases.containing(segments, terms.where(~wordlike), text, term))
+    return words.unionByName(phrases.containing(segments, terms.where(~wordlike), text, term, among=among))
 
 
-def terminology_mismatch(ready: DataFrame, glossary: DataFrame) -> DataFrame:
+def terminology_mismatch(ready: DataFrame, glossary: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """among: any rows with the texts of all segments, if they are cheaper to read (see `phrases.containing`)."""
     terms = glossary.where("status = 'approved' AND preferred_translation <> ''").select("term", "preferred_translation", "allowed_variants")
-    met = term_occurrences(ready.where(~F.col("passed")).select("segment_id", "text", "output"), terms)
+    met = term_occurrences(ready.where(~F.col("passed")).select("segment_id", "text", T.lower("output").alias("output")), terms, among=among)
     wanted = F.concat(F.array("preferred_translation"), F.coalesce("allowed_variants", F.array().cast("array<string>")))
-    absent = ~F.exists(wanted, lambda x: F.contains(F.lower("output"), F.lower(x)))
+    absent = ~F.exists(wanted, lambda x: F.contains("output", T.lower(x)))
     message = F.concat(F.lit("Expected approved translation for term '"), "term", F.lit("'"))
     return met.where(absent).select(*issue("terminology_mismatch", "warning", message))
 

@@ -65,3 +65,37 @@ def test_first_hits_of_a_term(spark):
     rows = spark.createDataFrame([("b", k, f"s{k}", "an Odd one" if k % 3 else "even") for k in range(40)], "document string, ordinal int, segment_id string, text string")
     found = knowledge.term_hits(rows, spark.createDataFrame([("odd ONE",)], "term string"), 3, ["document"])
     assert sorted((r.ordinal, r.hit) for r in found.collect()) == [(1, 1), (2, 2), (4, 3)] and "NestedLoop" not in plan(found)
+
+
+def test_letters_whose_lower_case_depends_on_neighbours(spark):
+    """Part of a text stays part of it in lower case: sigma at an end, İ."""
+    texts = [(0, "ΟΔΟΣΙΑ İzmir"), (1, "οδοσ"), (2, "ΟΔΟΣ ΑΣ"), (3, "izmir")]
+    for most in (200_000, 0):
+        found = phrases.containing(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame([("ΟΔΟΣ",), ("İz",), ("Σ",)], "term string"), most=most)
+        assert sorted((r.i, r.term) for r in found.select("i", "term").collect()) == [(0, "İz"), (0, "ΟΔΟΣ"), (0, "Σ"), (1, "ΟΔΟΣ"), (1, "Σ"), (2, "ΟΔΟΣ"), (2, "Σ"), (3, "İz")]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("stretch,block", [(1, 1), (7, 16), (4096, 1 << 20)])
+def test_stretches_and_blocks_miss_no_term(spark, monkeypatch, most, stretch, block):
+    monkeypatch.setattr(phrases, "STRETCH", stretch)
+    texts, terms = corpus()
+    held = phrases.stretches(spark.createDataFrame(texts, "i int, text string"), "text")
+    grams = sorted({x[p : p + n].lower() for _, x in terms if x for n in (2, 4) for p in range(len(x) - n + 1)})
+    want = {(t.lower(), g) for _, t in texts if t for g in grams if g in t.lower()}
+    # a block's size is the driver's here: the batches are looked through in this process
+    monkeypatch.setattr(phrases, "BLOCK", block)
+    batches = held.join(spark.createDataFrame(texts, "i int, text string").select(phrases._hash("text"), "text").distinct(), "_text").toArrow().to_batches(max_chunksize=17)
+    seeker = phrases.Seeker(grams)
+    got = {(batch.column("text")[int(r)].as_py().lower(), seeker.grams[k]) for batch in batches for rows, ks in seeker.found(batch) for r, k in zip(rows, ks)}
+    assert got == want
+    found = phrases.containing(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(terms, "j int, term string"), most=most)
+    assert found.count() == sum(x.lower() in t.lower() for _, t in texts for _, x in terms if t and x)
+
+
+def test_long_texts_are_not_copied_for_their_grams(spark):
+    """A text of a million characters has a million grams; rows of grams have no text."""
+    texts = spark.range(3).select("id", F.concat(F.repeat(F.lit("wie es im so ist "), 60_000), F.col("id").cast("string")).alias("text"))
+    terms = spark.createDataFrame([("es im",), ("ist 2",), ("m s",), ("gibt es nicht",)], "term string")
+    found = phrases.containing(texts, terms)
+    assert sorted((r.id, r.term) for r in found.select("id", "term").collect()) == sorted([(k, t) for k in range(3) for t in ("es im", "m s")] + [(2, "ist 2")])
